@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lectern.llm import exact_dedup, source_mix, url_filter
+from lectern.llm import exact_dedup, ngram_join, source_mix, url_filter
 
-_MODULES = (source_mix, exact_dedup, url_filter)
+_MODULES = (ngram_join, source_mix, exact_dedup, url_filter)
 
 QUERIES: dict = {}
 ORACLE: dict = {}
