@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lectern.llm import exact_dedup, ngram_join, source_mix, url_filter
+from lectern.llm import exact_dedup, license_scan, ngram_join, source_mix, url_filter, warc
 
-_MODULES = (ngram_join, source_mix, exact_dedup, url_filter)
+_MODULES = (ngram_join, source_mix, exact_dedup, license_scan, warc, url_filter)
 
 QUERIES: dict = {}
 ORACLE: dict = {}
