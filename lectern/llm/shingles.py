@@ -18,8 +18,9 @@ WIDTH = 5
 
 _SEPARATOR = np.zeros(256, bool)
 _SEPARATOR[[32, *range(9, 14)]] = True
-_FOLD = np.arange(1, 257, dtype=np.uint64)
-_FOLD[65:91] += 32
+PLAIN = np.arange(1, 257, dtype=np.uint64)
+FOLDED = PLAIN.copy()
+FOLDED[65:91] += 32
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _KEYS = np.array([0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
@@ -45,8 +46,8 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _tables["up"], _tables["down"]
 
 
-def _hash_piece(data: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and hashes of the words in ``data``; ``breaks`` are offsets where a new text begins."""
+def _hash_piece(data: np.ndarray, breaks: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and hashes of the words in ``data``; ``breaks`` are offsets where a new text begins."""
     inside = ~_SEPARATOR[data]
     edge = np.empty(len(data) + 1, bool)
     edge[0] = edge[-1] = True
@@ -59,8 +60,8 @@ def _hash_piece(data: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.nd
     up, down = _powers(len(data) + 1)
     sums = np.empty(len(data) + 1, np.uint64)
     sums[0] = 0
-    np.cumsum(_FOLD[data] * up[: len(data)], out=sums[1:])
-    return starts, mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    np.cumsum(values[data] * up[: len(data)], out=sums[1:])
+    return starts, ends, mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -74,28 +75,34 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Word hashes of all texts in turn, and the offsets of each text's words among them."""
-    data, offsets = text_bytes(column)
-    starts, hashes, lo = [], [], 0
+def word_spans(data: np.ndarray, offsets: np.ndarray, values: np.ndarray = FOLDED) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and hashes of all words; bytes count as ``values`` says, so FOLDED ignores the case of A-Z."""
+    found, lo = [], 0
     while lo < len(data):
         hi = min(len(data), lo + PIECE)
         if hi < len(data):  # cut behind white space or where a text ends
             cut = np.flatnonzero(_SEPARATOR[data[lo:hi]])
             text = offsets[(offsets > lo) & (offsets <= hi)]
             if len(cut) or len(text):
-                hi = max(lo + cut[-1] + 1 if len(cut) else 0, text[-1] if len(text) else 0)
+                hi = int(max(lo + cut[-1] + 1 if len(cut) else 0, text[-1] if len(text) else 0))
             else:
                 more = np.flatnonzero(_SEPARATOR[data[hi:]])
                 later = offsets[offsets > hi]
                 hi = int(min(hi + more[0] if len(more) else len(data), later[0] if len(later) else len(data)))
-        s, h = _hash_piece(data[lo:hi], offsets[(offsets > lo) & (offsets < hi)] - lo)
-        starts.append(s + lo)
-        hashes.append(h)
+        starts, ends, hashes = _hash_piece(data[lo:hi], offsets[(offsets > lo) & (offsets < hi)] - lo, values)
+        found.append((starts + lo, ends + lo, hashes))
         lo = hi
-    if not starts:
-        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
-    return np.concatenate(hashes), np.searchsorted(np.concatenate(starts), offsets)
+    if not found:
+        none = np.zeros(0, np.int64)
+        return none, none, np.zeros(0, np.uint64)
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Word hashes of all texts in turn, and the offsets of each text's words among them."""
+    data, offsets = text_bytes(column)
+    starts, _, hashes = word_spans(data, offsets)
+    return hashes, np.searchsorted(starts, offsets)
 
 
 def sequence_hash(w: np.ndarray) -> np.ndarray:
