@@ -2,9 +2,20 @@
 
 from __future__ import annotations
 
-from lectern.llm import decontaminate, exact_dedup, license_scan, ngram_join, quality_lm, source_mix, token_count, url_filter, warc
+from lectern.llm import (
+    decontaminate,
+    exact_dedup,
+    license_scan,
+    ngram_join,
+    quality_lm,
+    source_mix,
+    suffix_dedup,
+    token_count,
+    url_filter,
+    warc,
+)
 
-_MODULES = (ngram_join, source_mix, token_count, exact_dedup, license_scan, warc, decontaminate, quality_lm, url_filter)
+_MODULES = (ngram_join, source_mix, token_count, exact_dedup, license_scan, warc, decontaminate, quality_lm, url_filter, suffix_dedup)
 
 QUERIES: dict = {}
 ORACLE: dict = {}
