@@ -1,3 +1,5 @@
-"""Queries over the driver tables, one per operator."""
+"""All query modules; importing them fills the registry."""
 
 from __future__ import annotations
+
+from lectern.plans import q_search, q_transcript  # noqa: F401
