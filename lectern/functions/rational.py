@@ -11,37 +11,48 @@ _D = "decimal(38,0)"
 MAX_EXPONENT = 12
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
 def parse_rational(raw: Column) -> Column:
     """struct(num, den, unit), or null where the text is no number that can be kept exactly."""
-    s0 = F.replace(F.lower(F.trim(fold_width(raw))), F.lit("−"), F.lit("-"))
-    percent = s0.endswith("%")
-    s1 = F.when(percent, F.trim(F.regexp_replace(s0, "%$", ""))).otherwise(s0)
-    unit = F.regexp_extract(s1, "([a-zµω°·/]+)$", 1)
-    s2 = F.regexp_replace(F.trim(F.regexp_replace(s1, "[a-zµω°·/]+$", "")), "[_,]", "")
-    s = F.regexp_replace(s2, r"[×*x]10", "e")
+    trimmed = F.replace(F.lower(F.trim(fold_width(raw))), F.lit("−"), F.lit("-"))
+    return _let(trimmed, lambda s: _let(F.trim(F.regexp_replace(s, "%$", "")), lambda t: _with_unit(t, s.endswith("%"))))
+
+
+def _with_unit(text: Column, percent: Column) -> Column:
+    unit = F.regexp_extract(text, "([a-zµω°·/]+)$", 1)
+    bare = F.regexp_replace(F.trim(F.regexp_replace(text, "[a-zµω°·/]+$", "")), "[_,]", "")
     hundred = F.when(percent, F.lit(100)).otherwise(F.lit(1)).cast(_D)
+    return _let(F.regexp_replace(bare, r"[×*x]10", "e"), lambda s: _number(s, hundred, unit))
+
+
+_FRACTION = r"^([+-]?[0-9]{1,15})\s*/\s*([0-9]{1,15})$"
+_DECIMAL = r"^([+-]?)([0-9]*)(?:\.([0-9]+))?(?:e([+-]?[0-9]{1,4}))?$"
+
+
+def _number(s: Column, hundred: Column, unit: Column) -> Column:
+    num, den = F.regexp_extract(s, _FRACTION, 1).try_cast(_D), F.regexp_extract(s, _FRACTION, 2).try_cast(_D)
+    fraction = F.when(den > 0, F.struct(num.alias("num"), (den * hundred).cast(_D).alias("den"), unit.alias("unit")))
+    groups = F.struct(*[F.regexp_extract(s, _DECIMAL, k).alias(n) for k, n in enumerate(("sign", "whole", "part", "power"), 1)])
+
+    def decimal(g: Column) -> Column:
+        digits = F.concat(g["whole"], g["part"])
+        exponent = F.coalesce(g["power"].try_cast("int"), F.lit(0)) - F.length(g["part"])
+        mantissa = F.when(F.length(digits).between(1, 15), F.when(g["sign"] == "-", -1).otherwise(1) * digits.try_cast("long")).cast(_D)
+        ten = F.get(F.array(*[F.lit(10**k).cast(_D) for k in range(MAX_EXPONENT + 1)]), F.abs(exponent))
+        whole = (F.length(g["whole"]) > 0) | (g["power"] == "")
+        return F.when(
+            mantissa.isNotNull() & ten.isNotNull() & whole,
+            F.struct(
+                F.when(exponent > 0, mantissa * ten).otherwise(mantissa).cast(_D).alias("num"),
+                F.when(exponent < 0, ten * hundred).otherwise(hundred).cast(_D).alias("den"), unit.alias("unit"),
+            ),
+        )
 
-    frac = r"^([+-]?[0-9]{1,15})\s*/\s*([0-9]{1,15})$"
-    num, den = F.regexp_extract(s, frac, 1).try_cast(_D), F.regexp_extract(s, frac, 2).try_cast(_D)
-    fraction = F.when(den > 0, F.struct(num.alias("num"), (den * hundred).cast(_D).alias("den")))
-
-    sci = r"^([+-]?)([0-9]*)(?:\.([0-9]+))?(?:e([+-]?[0-9]{1,4}))?$"
-    sign = F.when(F.regexp_extract(s, sci, 1) == "-", F.lit(-1)).otherwise(F.lit(1))
-    whole, part, power = (F.regexp_extract(s, sci, k) for k in (2, 3, 4))
-    digits = F.concat(whole, part)
-    exponent = F.coalesce(power.try_cast("int"), F.lit(0)) - F.length(part)
-    mantissa = F.when(F.length(digits).between(1, 15), sign * digits.try_cast("long"))
-    up = F.expr("array(1L,10L,100L,1000L,10000L,100000L,1000000L,10000000L,100000000L,1000000000L,10000000000L,100000000000L,1000000000000L)")
-    ten = F.get(up, F.abs(exponent))
-    plain = F.when(
-        s.rlike(sci) & (F.length(digits) > 0) & ((F.length(whole) > 0) | (power == "")) & mantissa.isNotNull() & (F.abs(exponent) <= MAX_EXPONENT),
-        F.struct(
-            F.when(exponent > 0, mantissa.cast(_D) * ten).otherwise(mantissa.cast(_D)).cast(_D).alias("num"),
-            F.when(exponent < 0, ten.cast(_D) * hundred).otherwise(hundred).cast(_D).alias("den"),
-        ),
-    )
-    value = F.when(s.rlike(frac), fraction).otherwise(plain)
-    return F.when(value.isNotNull(), F.struct(value["num"].alias("num"), value["den"].alias("den"), unit.alias("unit")))
+    return F.when(s.rlike(_FRACTION), fraction).when(s.rlike(_DECIMAL), _let(groups, decimal))
 
 
 def equal_value(a: Column, b: Column) -> Column:

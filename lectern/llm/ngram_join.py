@@ -9,7 +9,8 @@ others a set keeps the rarest ones, as many as the prefix bound demands; a set t
 such as one with a common passage inside its own text, keeps none and is done. What remains are
 buckets: a shingle with the sets that keep it.
 
-Stars. Each set is compared with the set that leads most of its buckets; found links are contracted.
+Stars. Each set is compared with the sets that lead most of its buckets (the one that shares most, then
+random ones, anew in each round for sets of different components); found links are contracted.
 
 Trees. Buckets that still hold sets of different components get signature trees: leaves are sets with
 their token bitmaps, inner nodes OR-combine the bitmaps of up to eight children and hold the range of
@@ -35,7 +36,11 @@ from lectern.llm.components import components
 BUCKET_BLOCK = 4096
 #: Document frequencies are exact up to this and equal beyond; only their order matters.
 MAX_FREQUENCY = 50_000
+#: Star rounds, and random leaders of a bucket in each; what they leave goes to the trees.
+STAR_ROUNDS, LEADERS = 4, 3
 _FANOUT = 8
+#: In buckets up to this size all leaves hang on the root, and many buckets are compared at once.
+_SMALL = 16
 _PAIR_BYTES = 1 << 23
 
 
@@ -271,17 +276,62 @@ def _bucket_pairs(sid: np.ndarray, comp: np.ndarray, n: np.ndarray, bits: list[b
                 yield sid[at[i]], sid[other[j]]
 
 
+def _matrices(bits: list[bytes], at: np.ndarray) -> np.ndarray:
+    return np.frombuffer(b"".join(bits[i] for i in at), np.uint64).reshape(len(at), -1)
+
+
+def _bounded(i: np.ndarray, j: np.ndarray, n: np.ndarray, bits: list[bytes]) -> np.ndarray:
+    """Which row pairs pass the bounds of size and common bits."""
+    keep = (4 * n[i] >= 3 * n[j]) & (4 * n[j] >= 3 * n[i])
+    width = np.array([len(b) // 8 for b in bits])
+    low = np.minimum(width[i], width[j])
+    for w in np.unique(low[keep]):
+        pairs = np.flatnonzero(keep & (low == w))
+        used = np.unique(np.concatenate([i[pairs], j[pairs]]))
+        row, rows = np.zeros(len(n), np.int64), np.zeros((len(used), w), np.uint64)
+        row[used] = np.arange(len(used))
+        slack = np.zeros(len(used), np.int64)
+        for v in np.unique(width[used]):
+            own = np.flatnonzero(width[used] == v)
+            rows[own] = _folded(_matrices(bits, used[own]), w)
+        slack = n[used] - np.bitwise_count(rows).sum(axis=1, dtype=np.int64)
+        for lo in range(0, len(pairs), step := max(1, _PAIR_BYTES // (8 * int(w)))):
+            p = pairs[lo : lo + step]
+            x, y = row[i[p]], row[j[p]]
+            common = np.bitwise_count(rows[x] & rows[y]).sum(axis=1, dtype=np.int64) + np.minimum(slack[x], slack[y])
+            keep[p] = 7 * common >= 3 * (n[i[p]] + n[j[p]])
+    return keep
+
+
 def _tree_candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by bucket (h, i, j): h, i, j, side, sid, comp, n, bits. Yields candidate pairs a, b."""
     held: list[pa.RecordBatch] = []
     found: list[np.ndarray] = []
 
-    def run(rows: pa.Table) -> None:
-        if rows.num_rows < 2:
-            return
-        col = {c: rows[c].to_numpy() for c in ("i", "j", "side", "sid", "comp", "n")}
-        for a, b in _bucket_pairs(col["sid"], col["comp"], col["n"], rows["bits"].to_pylist(), col["side"], col["i"][0] != col["j"][0]):
-            found.append(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1))
+    def add(a: np.ndarray, b: np.ndarray) -> None:
+        found.append(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1))
+
+    def run(t: pa.Table, cuts: np.ndarray) -> None:
+        """All buckets of ``t``; bucket k is rows cuts[k] to cuts[k + 1]."""
+        col = {c: t[c].to_numpy() for c in ("i", "j", "side", "sid", "comp", "n")}
+        size = np.diff(cuts)
+        split = col["i"][cuts[:-1]] != col["j"][cuts[:-1]]
+        small = (size <= _SMALL) & ~split
+        end = np.repeat(np.where(small, cuts[1:], 0), size)
+        at = np.arange(t.num_rows)
+        pairs = [(k := np.flatnonzero(at + d < end), k + d) for d in range(1, _SMALL)]
+        i, j = (np.concatenate(x) for x in zip(*pairs, strict=True))
+        other = col["comp"][i] != col["comp"][j]
+        i, j = i[other], j[other]
+        if len(i):
+            bits = t["bits"].to_pylist()
+            keep = _bounded(i, j, col["n"], bits)
+            add(col["sid"][i[keep]], col["sid"][j[keep]])
+        for k in np.flatnonzero(~small):
+            lo, hi = cuts[k], cuts[k + 1]
+            part = {c: v[lo:hi] for c, v in col.items()}
+            for a, b in _bucket_pairs(part["sid"], part["comp"], part["n"], t["bits"].slice(lo, hi - lo).to_pylist(), part["side"], split[k]):
+                add(a, b)
 
     def told() -> pa.RecordBatch:
         pairs = np.unique(np.concatenate(found), axis=0)
@@ -289,21 +339,42 @@ def _tree_candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
     for batch in batches:
-        t = pa.Table.from_batches([*held, batch])
+        t = pa.Table.from_batches([*held, batch]).combine_chunks()
         key = np.stack([t[c].to_numpy() for c in ("h", "i", "j")])
         cuts = np.r_[0, np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1]
-        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-            run(t.slice(lo, hi - lo))
+        if len(cuts) > 1:
+            run(t.slice(0, cuts[-1]), cuts)
         held = t.slice(cuts[-1]).to_batches()
-        if sum(map(len, found)) > 1 << 16:
+        if sum(map(len, found)) > 1 << 18:
             yield told()
     if held:
-        run(pa.Table.from_batches(held))
+        t = pa.Table.from_batches(held)
+        run(t, np.array([0, t.num_rows]))
     if found:
         yield told()
 
 
+def _screened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of pairs a, b, n, m, x, y (sizes and bitmaps), those whose bitmaps allow a link."""
+    for batch in batches:
+        k = len(batch)
+        n = np.concatenate([batch.column(2).to_numpy(), batch.column(3).to_numpy()])
+        keep = _bounded(np.arange(k), np.arange(k) + k, n, batch.column(4).to_pylist() + batch.column(5).to_pylist())
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep))
+
+
+def _screen(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs that the bitmaps allow, before whole sets move."""
+    return (
+        pairs.join(sets.select(F.col("sid").alias("a"), "n", F.col("bits").alias("x")), "a")
+        .join(sets.select(F.col("sid").alias("b"), F.col("n").alias("m"), F.col("bits").alias("y")), "b")
+        .select("a", "b", "n", "m", "x", "y")
+        .mapInArrow(_screened, "a long, b long")
+    )
+
+
 def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Linked pairs, by their whole sets."""
     items = sets.select("sid", "items")
     return (
         pairs.join(items.select(F.col("sid").alias("a"), F.col("items").alias("x")), "a")
@@ -313,6 +384,27 @@ def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     )
 
 
+def _led(placed: DataFrame, turn: int) -> DataFrame:
+    """Pairs of sets with leaders of their buckets, of another component. ``placed``: h, sid, rank, comp."""
+    picks = [F.min_by(F.struct("sid", "comp"), F.xxhash64("sid", F.lit(1000 * turn + k))).alias(f"l{k}") for k in range(LEADERS)]
+    if turn == 0:
+        picks.append(F.max_by(F.struct("sid", "comp"), F.struct("rank", "sid")).alias(f"l{LEADERS}"))
+    names = [f"l{k}" for k in range(len(picks))]
+    lead = placed.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), *picks).filter("lo <> hi")
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(c)["sid"].alias("b"), F.col(c)["comp"].alias("bc")) for k, c in enumerate(names)]))
+    votes = placed.join(lead.select("h", *names), "h").select(F.col("sid").alias("a"), "comp", each.alias("e")).filter("comp <> e.bc")
+    votes = votes.groupBy("a", "e.k", "e.b").count()
+    best = votes.groupBy("a", "k").agg(F.max(F.struct("count", "b")).alias("m"))
+    return best.select(F.least("a", "m.b").alias("a"), F.greatest("a", "m.b").alias("b")).distinct()
+
+
+def _placed(buckets: DataFrame, found: DataFrame | None) -> DataFrame:
+    """Buckets with the component of each set so far, its own name where it has no link."""
+    if found is None:
+        return buckets.withColumn("comp", F.col("sid"))
+    return buckets.join(found.select(F.col("node").alias("sid"), "root"), "sid", "left").select("h", "sid", "rank", F.coalesce("root", "sid").alias("comp"))
+
+
 def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, n_shingles, component_id (the smallest id that links reach).
 
@@ -335,21 +427,26 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     kept = kept.select("sid", "n", F.size("held").alias("rank"), F.explode(F.slice("held", F.lit(1), F.col("more"))).alias("e")).select("e.h", "sid", "n", "rank")
     buckets = durable(kept, "ngram-buckets")
 
-    # stars: each set with the leader of most of its buckets
-    lead = buckets.groupBy("h").agg(F.max(F.struct("rank", "sid")).alias("lead"), F.count(F.lit(1)).alias("size")).filter("size > 1")
-    led = buckets.join(lead.select("h", F.col("lead.sid").alias("b")), "h").select(F.col("sid").alias("a"), "b")
-    members = durable(led.groupBy("a", "b").count(), "ngram-led")
-    stars = members.filter("a <> b").groupBy("a").agg(F.max(F.struct("count", "b")).alias("m")).select("a", F.col("m.b").alias("b"))
-    wanted = durable(members.select(F.col("a").alias("sid")).distinct().join(sets_n, "sid").select("sid", "n", "id"), "ngram-wanted")
-    with_filter = wanted.filter("n >= 1").select("sid", "id")
+    shared_keys = buckets.groupBy("h").count().filter("count > 1").select("h")
+    wanted = buckets.join(shared_keys, "h", "left_semi").select("sid").distinct().join(sets_n, "sid").select("sid", "n", "id")
+    wanted = durable(wanted, "ngram-wanted").filter("n >= 1").select("sid", "id")
     spark.conf.set("spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold", "16MB")
-    sets = texts.join(with_filter, "id").select("sid", "text").mapInArrow(_profiles, "sid long, n long, bits binary, items binary")
-    sets = durable(sets, "ngram-sets")
-    links = durable(_verify(stars, sets), "ngram-stars")
-    first = components(links)
+    sets = durable(texts.join(wanted, "id").select("sid", "text").mapInArrow(_profiles, "sid long, n long, bits binary, items binary"), "ngram-sets")
+
+    # stars, round by round, while they link much
+    links, before, found = None, 0, None
+    for turn in range(STAR_ROUNDS):
+        placed = _placed(buckets, found)
+        new = durable(_verify(_screen(_led(placed, turn), sets), sets), "ngram-stars")
+        links = new if links is None else links.unionByName(new)
+        found = components(links)
+        now = found.count()
+        if now - before < 0.01 * now or now == 0:
+            break
+        before = now
 
     # trees: buckets that hold several components
-    placed = buckets.join(first.select(F.col("node").alias("sid"), "root"), "sid", "left").select("h", "sid", F.coalesce("root", "sid").alias("comp"))
+    placed = _placed(buckets, found)
     mixed = placed.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("size")).filter("lo <> hi")
     blocks = F.ceil(F.col("size") / BUCKET_BLOCK).cast("int")
     own = F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int")
