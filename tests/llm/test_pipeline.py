@@ -1,0 +1,40 @@
+from __future__ import annotations
+
+import duckdb
+import pytest
+
+import corpus_pipeline
+from lectern.llm import registry
+from lectern.llm.common import durable
+
+DIR = "/root/testdata/sf0.001"
+
+
+def test_stages(spark):
+    docs = spark.read.parquet(f"{DIR}/documents.parquet")
+    columns, ids = docs.columns, {r.doc_id for r in docs.collect()}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = durable(stage(spark, docs, DIR), "test-stage")
+        kept = {r.doc_id for r in docs.collect()}
+        assert docs.columns == columns and kept <= ids and len(kept) > 0.7 * len(ids), name
+        ids = kept
+    mixed = corpus_pipeline.STAGES[-1][1](spark, docs, DIR)
+    rows = mixed.select("doc_id", "mix_copy", "mix_copies", "mix_size").collect()
+    assert {r.doc_id for r in rows} <= ids
+    assert len(rows) == len({(r.doc_id, r.mix_copy) for r in rows}) and max(r.mix_copies for r in rows) <= 2
+    total = sum(len((r.text or "").split()) for r in docs.collect())
+    assert sum(r.mix_size for r in rows) == pytest.approx(1.5 * total, rel=0.05)
+
+
+@pytest.mark.parametrize("name", sorted(registry.ORACLE))
+def test_query_equals_its_sql(spark, name):
+    con = duckdb.connect()
+    for t in ("documents", "pages", "labels", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DIR}/{t}.parquet'")
+    df = registry.QUERIES[name](spark, DIR)
+    columns = sorted(df.columns)
+    found = con.execute(registry.ORACLE[name])
+    names = [x[0] for x in found.description]
+    assert sorted(names) == columns
+    want = sorted((tuple(r[names.index(c)] for c in columns) for r in found.fetchall()), key=repr)
+    assert sorted((tuple(r[c] for c in columns) for r in df.collect()), key=repr) == want
