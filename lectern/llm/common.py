@@ -35,6 +35,15 @@ def durable(df: DataFrame, name: str, **options: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Up to this many ids (some 8 MB) go to every task; beyond, the join moves both sides.
+SMALL_IDS = 500_000
+
+
+def ids_beside(ids: DataFrame) -> DataFrame:
+    """A written table of one id column, marked for broadcast when a count shows that it is small."""
+    return F.broadcast(ids) if ids.limit(SMALL_IDS + 1).count() <= SMALL_IDS else ids
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only."""
     return F.translate(text, UPPER, LOWER)

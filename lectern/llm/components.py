@@ -15,7 +15,6 @@ def components(edges: DataFrame) -> DataFrame:
     neighbours are never collected: only their minimum is, so a hub of any degree is two joins.
     """
     e = durable(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
-    before = None
     while True:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
@@ -26,7 +25,8 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
         e = durable(small.filter("a <> b").distinct(), "links-small")
-        now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
-        if now == before:
+        # done when each node has one link and no link's end has one: all components are stars
+        ends = e.select(F.col("b").alias("node"), F.lit(1).alias("end"), F.lit(0).alias("own")).unionByName(e.select(F.col("a").alias("node"), F.lit(0).alias("end"), F.lit(1).alias("own")))
+        per = ends.groupBy("node").agg(F.max("end").alias("end"), F.sum("own").alias("own"))
+        if per.filter("own > 1 OR (own > 0 AND end > 0)").isEmpty():
             return e.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        before = now

@@ -17,7 +17,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm.common import WS, durable, shared_dir, table
+from lectern.llm.common import WS, durable, ids_beside, shared_dir, table
 
 _RUN_OPTIONS = {"parquet.bloom.filter.enabled#digest": "true", "parquet.bloom.filter.max.bytes": "1048576"}
 
@@ -31,6 +31,12 @@ def digest_of(norm: Column) -> Column:
     return F.unhex(F.sha2(norm, 256))
 
 
+def digested(rows: DataFrame) -> DataFrame:
+    """``rows``: id, text. Returns id, chars (code points of the original text), norm, digest."""
+    chars = F.length(F.coalesce("text", F.lit(""))).cast("long")
+    return rows.select("id", chars.alias("chars"), normalised(F.col("text")).alias("norm")).withColumn("digest", digest_of(F.col("norm")))
+
+
 def _winner(chars: Column, ident: Column) -> Column:
     """Orders a group: most code points first, then smallest id; a null id comes last."""
     return F.struct((-chars).alias("c"), ident.isNull().alias("z"), ident.alias("id"))
@@ -84,9 +90,16 @@ def distinct_forms(texts: DataFrame, digests: DataFrame) -> DataFrame:
     )
 
 
-def clashing_digests(texts: DataFrame, level: DataFrame) -> DataFrame:
-    """Byte verification of the hits: digests that stand for more than one text (none is expected)."""
-    forms = distinct_forms(texts, level.filter("group_size > 1").select("digest"))
+def clashing_digests(docs: DataFrame, entries: DataFrame, level: DataFrame) -> DataFrame:
+    """Byte verification of the hits: digests that stand for more than one text (none is expected).
+
+    Hits are found by id, so that the other texts are neither normalised again nor moved: their ids go
+    to every task where they are few, and into Spark's runtime Bloom filter otherwise.
+    """
+    hits = entries.join(level.filter("group_size > 1").select("digest", "group_size"), "digest").select("id", "group_size")
+    hits = durable(hits, "digest-hits").filter("group_size > 1").select("id")
+    rows = docs.filter("id IS NOT NULL").join(ids_beside(hits), "id", "left_semi").unionByName(docs.filter("id IS NULL"))
+    forms = digested(rows).groupBy("digest", "norm").agg(F.lit(1).alias("one"))
     return forms.groupBy("digest").agg(F.count(F.lit(1)).alias("forms")).filter("forms > 1").select("digest")
 
 
@@ -99,15 +112,14 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     their id wins; an empty table gives no rows. Other columns are ignored.
     """
     spark = docs.sparkSession
-    norm = normalised(F.col(text_col))
-    texts = docs.select(
-        F.col(id_col).alias("id"), F.length(F.coalesce(F.col(text_col), F.lit(""))).cast("long").alias("chars"), norm.alias("norm")
-    ).withColumn("digest", digest_of(F.col("norm")))
+    spark.conf.set("spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold", "16MB")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    texts = digested(rows)
     index = DigestIndex(spark)
     index.flush(texts.drop("norm"))
     level = index.compact()
 
-    clashes = durable(clashing_digests(texts, level), "digest-clashes")
+    clashes = durable(clashing_digests(rows, index.entries(), level), "digest-clashes")
     entries, owners = index.entries(), level.select("digest", "keep_id", "group_size")
     if clashes.isEmpty():
         joined = entries.join(owners, "digest")

@@ -9,14 +9,15 @@ others a set keeps the rarest ones, as many as the prefix bound demands; a set t
 such as one with a common passage inside its own text, keeps none and is done. What remains are
 buckets: a shingle with the sets that keep it.
 
-Stars. Each set is compared with the sets that lead most of its buckets (the one that shares most, then
-random ones, anew in each round for sets of different components); found links are contracted.
+Stars. Each set is compared with the sets that lead most of its buckets, the one that shares most and a
+random one; found links are contracted.
 
 Trees. Buckets that still hold sets of different components get signature trees: leaves are sets with
 their token bitmaps, inner nodes OR-combine the bitmaps of up to eight children and hold the range of
 their sizes. A dual traversal starts at pairs of roots and prunes a pair when the sizes exclude 0.75,
 when the common bits (plus the collisions inside a bitmap) bound the overlap below what 0.75 needs,
-or when all below is one component. Surviving pairs of sets are compared exactly. A bucket larger
+or when all below is one component. A pair of sets that is known to share an earlier bucket is left to
+that one; the other surviving pairs are compared exactly. A bucket larger
 than ``BUCKET_BLOCK`` is cut in blocks and every pair of blocks is a task's worth of work of its own.
 """
 
@@ -36,8 +37,8 @@ from lectern.llm.components import components
 BUCKET_BLOCK = 4096
 #: Document frequencies are exact up to this and equal beyond; only their order matters.
 MAX_FREQUENCY = 50_000
-#: Star rounds, and random leaders of a bucket in each; what they leave goes to the trees.
-STAR_ROUNDS, LEADERS = 4, 3
+#: Of a set's buckets the first few by hash travel with it, to tell pairs that meet in several buckets.
+_FIRST = 4
 _FANOUT = 8
 #: In buckets up to this size all leaves hang on the root, and many buckets are compared at once.
 _SMALL = 16
@@ -147,14 +148,14 @@ def _bitmap(s: np.ndarray) -> bytes:
 
 
 def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """sid, n, bitmap and the sorted set itself of each text."""
+    """sid, n, bitmap, the sorted set itself and the first buckets (passed on) of each text."""
     for batch in batches:
         rows: list[tuple] = []
         size = 0
-        for sid, s in zip(batch.column(0).to_pylist(), shingles.shingle_sets(batch.column(1)), strict=True):
+        for sid, low, s in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), shingles.shingle_sets(batch.column(1)), strict=True):
             if not len(s) or shingles.set_id(s) != sid:  # another text under a repeated id
                 continue
-            rows.append((sid, len(s), _bitmap(s), s.tobytes()))
+            rows.append((sid, len(s), _bitmap(s), s.tobytes(), low))
             size += len(rows[-1][3])
             if size > 1 << 22:
                 yield _profile_batch(rows)
@@ -164,8 +165,9 @@ def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _profile_batch(rows: list[tuple]) -> pa.RecordBatch:
-    sid, n, bits, items = zip(*rows, strict=True)
-    return pa.RecordBatch.from_arrays([pa.array(sid, pa.int64()), pa.array(n, pa.int64()), pa.array(bits, pa.binary()), pa.array(items, pa.binary())], ["sid", "n", "bits", "items"])
+    sid, n, bits, items, low = zip(*rows, strict=True)
+    arrays = [pa.array(sid, pa.int64()), pa.array(n, pa.int64()), pa.array(bits, pa.binary()), pa.array(items, pa.binary()), pa.array(low, pa.list_(pa.int64()))]
+    return pa.RecordBatch.from_arrays(arrays, ["sid", "n", "bits", "items", "low"])
 
 
 def _overlap(a: np.ndarray, b: np.ndarray) -> int:
@@ -255,8 +257,8 @@ def _traverse(x: _Tree, y: _Tree) -> Iterator[tuple[np.ndarray, np.ndarray]]:
                 stack.append((k - 1, ci[ok], cj[ok]))
 
 
-def _bucket_pairs(sid: np.ndarray, comp: np.ndarray, n: np.ndarray, bits: list[bytes], side: np.ndarray, split: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Candidate pairs of one bucket or pair of blocks, by trees for each bitmap width."""
+def _bucket_pairs(comp: np.ndarray, n: np.ndarray, bits: list[bytes], side: np.ndarray, split: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Candidate row pairs of one bucket or pair of blocks, by trees for each bitmap width."""
     widths = np.array([len(b) // 8 for b in bits])
     groups = {}
     for w in np.unique(widths):
@@ -273,7 +275,7 @@ def _bucket_pairs(sid: np.ndarray, comp: np.ndarray, n: np.ndarray, bits: list[b
             x = _Tree(rows, n[at], comp[at])
             y = x if (v, t) == (w, s) else _Tree(_folded(more, w), n[other], comp[other])
             for i, j in _traverse(x, y):
-                yield sid[at[i]], sid[other[j]]
+                yield at[i], other[j]
 
 
 def _matrices(bits: list[bytes], at: np.ndarray) -> np.ndarray:
@@ -303,8 +305,30 @@ def _bounded(i: np.ndarray, j: np.ndarray, n: np.ndarray, bits: list[bytes]) ->
     return keep
 
 
+def _low_matrix(column: pa.ChunkedArray) -> np.ndarray:
+    """The first buckets of each row, short lists filled with numbers that no two rows share."""
+    flat = column.combine_chunks()
+    offsets = flat.offsets.to_numpy()
+    size = np.diff(offsets)
+    out = np.tile(np.arange(_FIRST, dtype=np.int64), (len(size), 1)) + np.arange(len(size))[:, None] * _FIRST + np.iinfo(np.int64).min
+    row = np.repeat(np.arange(len(size)), size)
+    out[row, np.arange(len(row)) - np.repeat(offsets[:-1] - offsets[0], size)] = flat.values.to_numpy()[offsets[0] : offsets[-1]]
+    return out
+
+
+def _met_before(low: np.ndarray, h: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Which row pairs share one of their first buckets that comes before this bucket, h."""
+    out = np.zeros(len(i), bool)
+    for x in range(_FIRST):
+        a = low[i, x]
+        early = a < h[i]
+        for y in range(_FIRST):
+            out |= early & (a == low[j, y])
+    return out
+
+
 def _tree_candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by bucket (h, i, j): h, i, j, side, sid, comp, n, bits. Yields candidate pairs a, b."""
+    """Rows sorted by bucket (h, i, j): h, i, j, side, sid, comp, n, bits, low. Yields candidate pairs a, b."""
     held: list[pa.RecordBatch] = []
     found: list[np.ndarray] = []
 
@@ -313,7 +337,8 @@ def _tree_candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 
     def run(t: pa.Table, cuts: np.ndarray) -> None:
         """All buckets of ``t``; bucket k is rows cuts[k] to cuts[k + 1]."""
-        col = {c: t[c].to_numpy() for c in ("i", "j", "side", "sid", "comp", "n")}
+        col = {c: t[c].to_numpy() for c in ("h", "i", "j", "side", "sid", "comp", "n")}
+        low = _low_matrix(t["low"])
         size = np.diff(cuts)
         split = col["i"][cuts[:-1]] != col["j"][cuts[:-1]]
         small = (size <= _SMALL) & ~split
@@ -321,8 +346,10 @@ def _tree_candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         at = np.arange(t.num_rows)
         pairs = [(k := np.flatnonzero(at + d < end), k + d) for d in range(1, _SMALL)]
         i, j = (np.concatenate(x) for x in zip(*pairs, strict=True))
-        other = col["comp"][i] != col["comp"][j]
-        i, j = i[other], j[other]
+        fresh = col["comp"][i] != col["comp"][j]
+        i, j = i[fresh], j[fresh]
+        fresh = ~_met_before(low, col["h"], i, j)
+        i, j = i[fresh], j[fresh]
         if len(i):
             bits = t["bits"].to_pylist()
             keep = _bounded(i, j, col["n"], bits)
@@ -330,8 +357,9 @@ def _tree_candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         for k in np.flatnonzero(~small):
             lo, hi = cuts[k], cuts[k + 1]
             part = {c: v[lo:hi] for c, v in col.items()}
-            for a, b in _bucket_pairs(part["sid"], part["comp"], part["n"], t["bits"].slice(lo, hi - lo).to_pylist(), part["side"], split[k]):
-                add(a, b)
+            for i, j in _bucket_pairs(part["comp"], part["n"], t["bits"].slice(lo, hi - lo).to_pylist(), part["side"], split[k]):
+                fresh = ~_met_before(low[lo:hi], part["h"], i, j)
+                add(part["sid"][i[fresh]], part["sid"][j[fresh]])
 
     def told() -> pa.RecordBatch:
         pairs = np.unique(np.concatenate(found), axis=0)
@@ -384,25 +412,18 @@ def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     )
 
 
-def _led(placed: DataFrame, turn: int) -> DataFrame:
-    """Pairs of sets with leaders of their buckets, of another component. ``placed``: h, sid, rank, comp."""
-    picks = [F.min_by(F.struct("sid", "comp"), F.xxhash64("sid", F.lit(1000 * turn + k))).alias(f"l{k}") for k in range(LEADERS)]
-    if turn == 0:
-        picks.append(F.max_by(F.struct("sid", "comp"), F.struct("rank", "sid")).alias(f"l{LEADERS}"))
-    names = [f"l{k}" for k in range(len(picks))]
-    lead = placed.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), *picks).filter("lo <> hi")
-    each = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(c)["sid"].alias("b"), F.col(c)["comp"].alias("bc")) for k, c in enumerate(names)]))
-    votes = placed.join(lead.select("h", *names), "h").select(F.col("sid").alias("a"), "comp", each.alias("e")).filter("comp <> e.bc")
-    votes = votes.groupBy("a", "e.k", "e.b").count()
+def _led(buckets: DataFrame) -> DataFrame:
+    """Each set with the two leaders of most of its buckets. ``buckets``: h, sid, rank."""
+    lead = buckets.groupBy("h").agg(F.max(F.struct("rank", "sid")).alias("most"), F.min(F.struct(F.xxhash64("sid").alias("r"), "sid")).alias("any"), F.count(F.lit(1)).alias("size"))
+    lead = lead.filter("size > 1").select("h", F.array("most.sid", "any.sid").alias("leaders"))
+    votes = buckets.join(lead, "h").select(F.col("sid").alias("a"), F.posexplode("leaders").alias("k", "b")).filter("a <> b").groupBy("a", "k", "b").count()
     best = votes.groupBy("a", "k").agg(F.max(F.struct("count", "b")).alias("m"))
     return best.select(F.least("a", "m.b").alias("a"), F.greatest("a", "m.b").alias("b")).distinct()
 
 
-def _placed(buckets: DataFrame, found: DataFrame | None) -> DataFrame:
+def _placed(buckets: DataFrame, found: DataFrame) -> DataFrame:
     """Buckets with the component of each set so far, its own name where it has no link."""
-    if found is None:
-        return buckets.withColumn("comp", F.col("sid"))
-    return buckets.join(found.select(F.col("node").alias("sid"), "root"), "sid", "left").select("h", "sid", "rank", F.coalesce("root", "sid").alias("comp"))
+    return buckets.join(found.select(F.col("node").alias("sid"), "root"), "sid", "left").select("h", "sid", F.coalesce("root", "sid").alias("comp"))
 
 
 def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -424,26 +445,18 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     per_set = shared.groupBy("sid").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("held"))  # at most a third of one set
     required = F.floor(F.ceil(3 * F.col("n") / 4) / 12).cast("int") + 1
     kept = per_set.join(sets_n, "sid").withColumn("more", F.size("held") - required + 1).filter("more > 0")
-    kept = kept.select("sid", "n", F.size("held").alias("rank"), F.explode(F.slice("held", F.lit(1), F.col("more"))).alias("e")).select("e.h", "sid", "n", "rank")
-    buckets = durable(kept, "ngram-buckets")
+    hs = F.array_sort(F.transform(F.slice("held", F.lit(1), F.col("more")), lambda e: e["h"]))
+    kept = durable(kept.select("sid", "n", "id", F.size("held").alias("rank"), hs.alias("hs")), "ngram-kept")
+    buckets = kept.select(F.explode("hs").alias("h"), "sid", "rank")
 
-    shared_keys = buckets.groupBy("h").count().filter("count > 1").select("h")
-    wanted = buckets.join(shared_keys, "h", "left_semi").select("sid").distinct().join(sets_n, "sid").select("sid", "n", "id")
-    wanted = durable(wanted, "ngram-wanted").filter("n >= 1").select("sid", "id")
+    met = buckets.join(buckets.groupBy("h").count().filter("count > 1").select("h"), "h", "left_semi").select("sid").distinct()
+    wanted = durable(kept.join(met, "sid").select("sid", "n", "id", F.slice("hs", 1, _FIRST).alias("low")), "ngram-wanted")
     spark.conf.set("spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold", "16MB")
-    sets = durable(texts.join(wanted, "id").select("sid", "text").mapInArrow(_profiles, "sid long, n long, bits binary, items binary"), "ngram-sets")
-
-    # stars, round by round, while they link much
-    links, before, found = None, 0, None
-    for turn in range(STAR_ROUNDS):
-        placed = _placed(buckets, found)
-        new = durable(_verify(_screen(_led(placed, turn), sets), sets), "ngram-stars")
-        links = new if links is None else links.unionByName(new)
-        found = components(links)
-        now = found.count()
-        if now - before < 0.01 * now or now == 0:
-            break
-        before = now
+    sets = texts.join(wanted.filter("n >= 1").select("sid", "id", "low"), "id").select("sid", "text", "low")
+    sets = durable(sets.mapInArrow(_profiles, "sid long, n long, bits binary, items binary, low array<bigint>"), "ngram-sets")
+
+    links = durable(_verify(_screen(_led(buckets), sets), sets), "ngram-stars")
+    found = components(links)
 
     # trees: buckets that hold several components
     placed = _placed(buckets, found)
@@ -454,7 +467,7 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         placed.join(mixed.select("h", blocks.alias("blocks")), "h").withColumn("own", own)
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select("h", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.col("own").alias("side"), "sid", "comp")
-        .join(sets.select("sid", "n", "bits"), "sid").select("h", "i", "j", "side", "sid", "comp", "n", "bits")
+        .join(sets.select("sid", "n", "bits", "low"), "sid").select("h", "i", "j", "side", "sid", "comp", "n", "bits", "low")
     )
     pairs = placed.repartition("h", "i", "j").sortWithinPartitions("h", "i", "j").mapInArrow(_tree_candidates, "a long, b long").distinct()
     more = durable(_verify(pairs, sets), "ngram-links")

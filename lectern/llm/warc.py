@@ -247,7 +247,7 @@ def archive_pages(pages: DataFrame, folder: str | None = None, columns: tuple[st
     dictionary = fit_dictionary([bytes(r["s"]) for r in sample.collect() if r["s"]])
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
     manifest = durable(write_archives(with_revisits(pages), folder, dictionary), "warc-manifest")
-    return read_archives(manifest.repartition(F.col("path")), folder, columns)
+    return read_archives(manifest.repartition(max(1, manifest.count()), "path"), folder, columns)  # about an archive for each task
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
