@@ -239,7 +239,8 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     spark.conf.set("spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold", "16MB")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).filter("id IS NOT NULL AND text IS NOT NULL")
     sparse = durable(texts.mapInArrow(_positions, "g long, id long, pos int"), "suffix-positions")
-    common = sparse.groupBy("g").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("g")
+    # written first, so that the join shuffles both sides by itself and Spark can split the partition of a very common start
+    common = durable(sparse.groupBy("g").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "suffix-common").select("g")
     wanted = sparse.join(common, "g").groupBy("id").agg(F.collect_set("pos").alias("at"), F.count(F.lit(1)).alias("n"))  # at most the positions of one text
     wanted = durable(wanted, "suffix-wanted")
     suffixes = texts.join(wanted.filter("n > 0").select("id", "at"), "id").select("id", "at", "text").mapInArrow(_contexts, _SUFFIX)
