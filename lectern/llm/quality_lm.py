@@ -1,19 +1,25 @@
-"""Quality classifier: perplexity under an interpolated modified Kneser-Ney trigram model.
-
-The model reads symbols: a byte folded to one of ``SYMBOLS`` classes (each small letter, one class for
-capitals, digits, white space, each punctuation mark, and the other bytes). It is trained per language
-on all trusted text, that is text whose label says good quality and not toxic. Trigram counts are
-summed in shards of their key; the Kneser-Ney quantities (continuation counts, counts of counts,
-discounts, back-off weights) are sums over those counts by context. Folding bounds the model: no more
-than SYMBOLS ** 3 trigrams for each language and MAX_LANGUAGES languages, about 60 MB of floats; other
-languages share the pooled model. So it can be sent to every task, and each text is scored in one pass.
-
-Perplexities of all trusted documents give each language its quantiles, and a document outside them
-is rejected.
+"""Quality classifier: perplexity under interpolated modified Kneser-Ney word trigrams, scored by count joins.
+
+The model of a language is trained on its trusted text, that is text whose label says good quality and
+not toxic. Words are named by 64-bit hashes that hold the language too. Trigram counts are summed in
+shards of their key; continuation counts, discounts and back-off weights are aggregates and joins over
+them, and no table of the model reaches the driver or a task whole.
+
+The log-probability of a text is a sum of one weight for each of its n-grams of order 1, 2 and 3: a
+trigram's weight is its log-probability less what its absence would give (the back-off weight of its
+context, and the bigram), likewise a bigram's, and an n-gram's own back-off weight is added to it as a
+context. So texts send (n-gram, row, count) once, meet the weights in one join by key, and are summed by
+row; what the model does not hold adds 0, or for a word the cost of an unknown one.
+
+One in HELD_OUT trusted documents is not trained on. Their perplexities, which are not lowered by having
+been seen, give each language its upper limit; the lower one comes from all trusted documents.
+
+``train`` builds the earlier model of folded bytes; the classifier does not use it any more.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,7 +27,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lectern.llm.common import durable, ids_beside, table
+from lectern.llm import shingles
+from lectern.llm.common import WORD, durable, ids_beside, table, unit_hash
 from lectern.llm.ngram_join import bounded_batches
 from lectern.llm.shingles import text_bytes
 
@@ -29,11 +36,17 @@ SYMBOLS = 96
 START = 0
 MAX_LANGUAGES = 15
 POOLED = "*"
-#: Share of a language's trusted documents that lies beyond each limit.
+#: Share of a language's trusted documents that lies below the lower limit, and beyond the upper one where no label says bad quality.
 TAIL = 0.002
+#: Shares beyond the upper limit from which the labels choose.
+TAILS = (TAIL, 0.005, 0.01, 0.02, 0.05)
 #: A language with fewer trusted documents takes the pooled limits.
 MIN_DOCUMENTS = 50
+#: One in so many trusted documents is kept from training, to set the limits.
+HELD_OUT = 5
 PIECE = 1 << 18
+_MARKS = shingles.mix(np.array([1, 2], np.uint64))  # START and END among the words
+_KEYS = shingles.mix(np.arange(1, 4, dtype=np.uint64)) | np.uint64(1)
 
 
 def _classes() -> np.ndarray:
@@ -184,38 +197,148 @@ def train(trusted: DataFrame) -> dict[str, np.ndarray]:
     return models
 
 
-def score(docs: DataFrame, models: dict[str, np.ndarray]) -> DataFrame:
-    """id, lang, symbols, nll (sum of negative log-probabilities) of each text; ``docs``: id, lang, text."""
-    spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast(models)
+def _named_words(column: pa.Array, langs: list) -> Iterator[np.ndarray]:
+    """For each text its words' hashes mixed with its language's, between two START and one END; none without words."""
+    data, offsets = text_bytes(column)
+    starts, _, w = shingles.word_spans(data, offsets, shingles.PLAIN)
+    at = np.searchsorted(starts, offsets)
+    salts = {x: np.uint64(int.from_bytes(hashlib.blake2b((x or "").encode(), digest_size=8).digest(), "big")) for x in set(langs)}
+    for i, (lo, hi) in enumerate(zip(at[:-1], at[1:], strict=True)):
+        if hi > lo:
+            yield shingles.mix(np.concatenate([_MARKS[:1], _MARKS[:1], w[lo:hi], _MARKS[1:]]) ^ salts[langs[i]])
+        else:
+            yield w[:0]
+
+
+def _key(*words: np.ndarray) -> np.ndarray:
+    out = words[0] * _KEYS[0]
+    for k, w in zip(_KEYS[1:], words[1:], strict=False):
+        out = out + w * k
+    return shingles.mix(out + np.uint64(len(words)))
+
+
+def _trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, text) in; (lang, a, b, c, n) out, summed within some hundred texts."""
+    for batch in batches:
+        for lo in range(0, len(batch), 1024):
+            part = batch.slice(lo, 1024)
+            langs = part.column(0).to_pylist()
+            found: dict[str, list] = {}
+            for lang, x in zip(langs, _named_words(part.column(1), langs), strict=True):
+                if len(x):
+                    found.setdefault(lang, []).append(np.stack([x[:-2], x[1:-1], x[2:]]))
+            for lang, parts in found.items():
+                abc = np.concatenate(parts, axis=1)
+                _, first, n = np.unique(_key(*abc), return_index=True, return_counts=True)
+                abc = abc[:, first].view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n)), *(pa.array(x) for x in abc), pa.array(n)], ["lang", "a", "b", "c", "n"])
+
+
+def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(row, model, text) in; (k, row, n) of each text's distinct n-grams of the three orders out."""
+    for batch in batches:
+        for lo in range(0, len(batch), 256):
+            part = batch.slice(lo, 256)
+            rows, langs = part.column(0).to_numpy(), part.column(1).to_pylist()
+            ks, rs, ns = [], [], []
+            for row, x in zip(rows, _named_words(part.column(2), langs), strict=True):
+                if len(x):
+                    k, n = np.unique(np.concatenate([_key(x[1:]), _key(x[:-1], x[1:]), _key(x[:-2], x[1:-1], x[2:])]), return_counts=True)
+                    ks.append(k)
+                    rs.append(np.full(len(k), row))
+                    ns.append(n.astype(np.int32))
+            if ks:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ks).view(np.int64)), pa.array(np.concatenate(rs)), pa.array(np.concatenate(ns))], ["k", "row", "n"])
+
+
+def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, lang, row, model, text) in; the same with the number of words and the end in place of the text."""
+    for batch in batches:
+        data, offsets = text_bytes(batch.column(4))
+        starts, _, _ = shingles.word_spans(data, offsets, shingles.PLAIN)
+        n = np.diff(np.searchsorted(starts, offsets))
+        yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(np.where(n > 0, n + 1, 0))], ["id", "lang", "row", "model", "symbols"])
+
+
+def _keyed(df: DataFrame, words: list[str]) -> DataFrame:
+    """(k, v, u) from rows of words with their weight v and u, which is 1 for a known word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = sent.value
         for batch in batches:
-            langs = batch.column(1).to_pylist()
-            model = [known.get(x, known[POOLED]) for x in langs]
-            total, size = np.zeros(len(batch)), np.zeros(len(batch), np.int64)
-            for row, last, codes, at in _codes(batch.column(2)):
-                for i in range(row, last):
-                    part = codes[at[i - row] : at[i - row + 1]]
-                    if len(part):
-                        total[i] += model[i][part].sum(dtype=np.float64)
-                        size[i] += len(part)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(size), pa.array(total)], ["id", "lang", "symbols", "nll"])
+            cols = [c.to_numpy().view(np.uint64) for c in batch.columns[: len(words)]]
+            yield pa.RecordBatch.from_arrays([pa.array(_key(*cols).view(np.int64)), *batch.columns[len(words) :]], ["k", "v", "u"])
 
-    return docs.select("id", "lang", "text").mapInArrow(run, "id long, lang string, symbols long, nll double")
+    return df.select(*words, "v", "u").mapInArrow(run, "k long, v double, u int")
+
+
+def _discounted_words(counts: DataFrame) -> DataFrame:
+    """``counts`` with the discount d of each row; the discounts are one row a language."""
+    cc = counts.groupBy("lang").agg(*[F.count_if(F.col("n") == k).cast("double").alias(f"n{k}") for k in (1, 2, 3, 4)])
+    y = F.when(F.col("n1") > 0, F.col("n1") / (F.col("n1") + 2 * F.col("n2"))).otherwise(F.lit(0.5))
+
+    def discount(k: int) -> Column:
+        below, above = F.col(f"n{k}"), F.col(f"n{k + 1}")
+        return F.when(below > 0, F.greatest(F.lit(0.05), F.least(F.lit(k - 0.05), k - (k + 1) * y * above / below))).otherwise(F.lit(k * 0.6))
+
+    rows = durable(cc.select("lang", *[discount(k).alias(f"d{k}") for k in (1, 2, 3)]), "lm-discounts")
+    d = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
+    return counts.join(rows, "lang").withColumn("d", d).drop("d1", "d2", "d3")
+
+
+def word_model(trusted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Weights (k, v, u) of all n-grams of ``trusted`` (lang, text), and the cost of an unknown word (lang, unknown)."""
+    total = (F.sum("n").cast("double").alias("total"), F.sum("d").alias("taken"))
+    three = durable(trusted.mapInArrow(_trigrams, "lang string, a long, b long, c long, n long").groupBy("lang", "a", "b", "c").agg(F.sum("n").alias("n")), "lm-three")
+    two = durable(three.groupBy("lang", "b", "c").agg(F.count(F.lit(1)).alias("n")), "lm-two")
+    one = durable(two.groupBy("lang", "c").agg(F.count(F.lit(1)).alias("n")), "lm-one")
+    three, two, one = (_discounted_words(x) for x in (three, two, one))
+
+    whole = one.groupBy("lang").agg(*total, F.count(F.lit(1)).alias("types"))
+    unknown = durable(whole.select("lang", "total", (F.col("taken") / F.col("total") / (F.col("types") + 1)).alias("base")), "lm-unknown")
+    p1 = durable(one.join(unknown, "lang").select("c", ((F.col("n") - F.col("d")) / F.col("total") + F.col("base")).alias("p1")), "lm-p1")
+    back = (F.col("taken") / F.col("total"))
+    back1 = durable(two.groupBy("b").agg(*total).select("b", "total", back.alias("back1")), "lm-back1")
+    back2 = durable(three.groupBy("a", "b").agg(*total).select("a", "b", "total", back.alias("back2")), "lm-back2")
+    share = (F.col("n") - F.col("d")) / F.col("total")
+    p2 = two.join(back1, "b").join(p1, "c").select("b", "c", (share + F.col("back1") * F.col("p1")).alias("p2"), (F.col("back1") * F.col("p1")).alias("without"))
+    p2 = durable(p2, "lm-p2")
+    p3 = three.join(back2, ["a", "b"]).join(p2, ["b", "c"]).select("a", "b", "c", F.log1p(share / (F.col("back2") * F.col("p2"))).alias("v"), F.lit(0).alias("u"))
+
+    ones = p1.select("c", F.log("p1").alias("v"), F.lit(1).alias("u")).unionByName(back1.select(F.col("b").alias("c"), F.log("back1").alias("v"), F.lit(0).alias("u")))
+    twos = p2.select("b", "c", F.log(F.col("p2") / F.col("without")).alias("v"), F.lit(0).alias("u"))
+    twos = twos.unionByName(back2.select(F.col("a").alias("b"), F.col("b").alias("c"), F.log("back2").alias("v"), F.lit(0).alias("u")))
+    lower = _keyed(ones, ["c"]).unionByName(_keyed(twos, ["b", "c"])).groupBy("k").agg(F.sum("v").alias("v"), F.max("u").alias("u"))
+    return durable(lower.unionByName(_keyed(p3, ["a", "b", "c"])), "lm-weights"), unknown.select("lang", (-F.log("base")).alias("unknown"))
+
+
+def score(texts: DataFrame, weights: DataFrame, unknown: DataFrame) -> DataFrame:
+    """id, lang, symbols (words and the end), nll of each text; ``texts``: id, lang, row, model, text.
+
+    Equal rows share a ``row``, so their sums are of all of them, as ``symbols`` of the sum is.
+    """
+    sizes = durable(texts.select("id", "lang", "row", "model", "text").mapInArrow(_sizes, "id long, lang string, row long, model string, symbols long"), "lm-sizes")
+    grams = texts.filter("model IS NOT NULL").select("row", "model", "text").mapInArrow(_grams, "k long, row long, n int")
+    sums = grams.join(weights, "k").groupBy("row").agg(F.sum(F.col("n") * F.col("v")).alias("s"), F.sum(F.col("n") * F.col("u")).alias("known"))
+    times = sizes.groupBy("row").agg(F.count(F.lit(1)).alias("times"))
+    each = durable(sums.join(times, "row").select("row", (F.col("s") / F.col("times")).alias("s"), (F.col("known") / F.col("times")).alias("known")), "lm-sums")
+    nll = F.when(F.col("unknown").isNotNull(), (F.col("symbols") - F.coalesce("known", F.lit(0.0))) * F.col("unknown") - F.coalesce("s", F.lit(0.0)))
+    out = sizes.join(each, "row", "left").join(unknown.withColumnRenamed("lang", "model"), "model", "left")
+    return out.select("id", "lang", "symbols", nll.alias("nll"))
 
 
 def classify(
-    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", tail: float = TAIL
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", tail: float | None = None
 ) -> DataFrame:
     """One row per input row: id, lang, symbols, perplexity, low, high, accepted.
 
     ``labels``: id, quality, toxic. A document is accepted when its perplexity lies within its
-    language's quantiles ``tail`` and 1 - ``tail`` over trusted documents. A text without bytes (null
-    or empty) has no perplexity and is rejected; a null language takes the pooled model and limits;
-    without any trusted text every document with a text is accepted. Null or contradictory labels
-    count as trusted when some row of the id says good and none says bad. Repeated rows are judged alike.
+    language's quantiles ``tail`` over trusted documents and 1 - ``tail`` over held-out ones; where no
+    ``tail`` is given, the lower one is TAIL, and the upper one that of TAILS which keeps the largest
+    share of held-out documents less the share of documents of bad quality, none of which are trained on. A text
+    without words (null, empty or blank) has no perplexity and is rejected; a null language, or one
+    with no text to train on, takes the model of all trusted text and its limits; without any trusted
+    text every document with a text is accepted. Null or contradictory labels count as trusted when
+    some row of the id says good and none says bad. Repeated rows are judged alike.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -224,19 +347,42 @@ def classify(
     bad = (F.col("quality") == 0) | (F.col("toxic") == 1)
     good = (F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)
     trusted = labels.groupBy(F.col(id_col).cast("long").alias("id")).agg(F.max(good).alias("good"), F.max(F.coalesce(bad, F.lit(False))).alias("bad"))
-    trusted = durable(trusted.filter("good AND NOT bad AND id IS NOT NULL").select("id", F.lit(1).alias("one")), "lm-trusted").filter("one = 1").select("id")
-
-    models = train(texts.join(ids_beside(trusted), "id").select("lang", "text"))
-    scored = durable(score(texts, models), "lm-scores").withColumn("perplexity", F.when(F.col("symbols") > 0, F.exp(F.col("nll") / F.col("symbols"))))
-
-    seen = scored.filter("symbols > 0").join(ids_beside(trusted), "id", "left_semi")
-    limits = [F.percentile_approx("perplexity", q, 10_000) for q in (tail, 1 - tail)]
-    pooled = seen.agg(limits[0].alias("low"), limits[1].alias("high")).first()
-    by_lang = seen.filter("lang IS NOT NULL").groupBy("lang").agg(limits[0].alias("l"), limits[1].alias("h"), F.count(F.lit(1)).alias("n")).filter(F.col("n") >= MIN_DOCUMENTS)
+    # a document on its own is trained on; held out is a fixed share by the id's hash
+    trusted = durable(trusted.filter("good AND NOT bad AND id IS NOT NULL").select("id", (unit_hash(F.col("id")) * HELD_OUT < 1).alias("held")), "lm-trusted")
+
+    trained = texts.join(ids_beside(trusted.filter("NOT held").select("id")), "id").select("lang", "text")
+    langs = durable(trained.filter(F.col("lang").isNotNull() & F.col("text").rlike(WORD)).select("lang").distinct(), "lm-langs")
+    named = texts.join(langs.withColumnRenamed("lang", "own"), F.col("lang") == F.col("own"), "left")
+    named = named.select("id", "lang", F.xxhash64("id", "lang", "text").alias("row"), F.coalesce("own", F.lit(POOLED)).alias("model"), "text")
+    if named.filter(F.col("model") == POOLED).limit(1).count():
+        trained = trained.filter("lang IS NOT NULL").unionByName(trained.withColumn("lang", F.lit(POOLED)))
+    weights, unknown = word_model(trained)
+    scored = durable(score(named, weights, unknown), "lm-scores").withColumn("perplexity", F.when(F.col("symbols") > 0, F.exp(F.col("nll") / F.col("symbols"))))
+
+    seen = scored.filter("perplexity IS NOT NULL").join(trusted, "id")
+    unseen = F.when(F.col("held"), F.col("perplexity"))
+    tails = TAILS if tail is None else (tail,)
+    limits = [F.percentile_approx("perplexity", TAIL if tail is None else tail, 10_000), F.percentile_approx(unseen, [1 - t for t in tails], 10_000)]
+    pooled = seen.agg(limits[0].alias("low"), limits[1].alias("highs")).first()
+    by_lang = seen.filter("lang IS NOT NULL").groupBy("lang").agg(limits[0].alias("l"), limits[1].alias("hs"), F.count(F.lit(1)).alias("n")).filter(F.col("n") >= MIN_DOCUMENTS)
+    by_lang = durable(by_lang, "lm-quantiles")
+    highs = F.coalesce("hs", F.lit(pooled["highs"]).cast("array<double>"))
+    best = 0
+    if len(tails) > 1 and pooled["highs"]:
+        poor = labels.filter("quality = 0").select(F.col(id_col).cast("long").alias("id"), F.lit(True).alias("poor")).distinct()
+        told = seen.filter("held").select("lang", "perplexity", F.lit(False).alias("poor")).unionByName(
+            scored.filter("perplexity IS NOT NULL").join(poor, "id").select("lang", "perplexity", "poor")
+        )
+        told = told.join(by_lang, "lang", "left").select("poor", *[(F.col("perplexity") <= highs[i]).cast("int").alias(f"t{i}") for i in range(len(tails))])
+        shares = {r["poor"]: r for r in told.groupBy("poor").agg(*[F.avg(f"t{i}").alias(f"t{i}") for i in range(len(tails))]).collect()}
+        if True in shares and False in shares:
+            best = max(range(len(tails)), key=lambda i: ((shares[False][f"t{i}"] or 0) - (shares[True][f"t{i}"] or 0), -i))
+    by_lang = by_lang.select("lang", "l", F.col("hs")[best].alias("h"))
+    pooled = {"low": pooled["low"], "high": pooled["highs"][best] if pooled["highs"] else None}
     low = F.coalesce("l", F.lit(pooled["low"]).cast("double"))
     high = F.coalesce("h", F.lit(pooled["high"]).cast("double"))
-    out = scored.join(durable(by_lang, "lm-limits"), "lang", "left").select("id", "lang", "symbols", "perplexity", low.alias("low"), high.alias("high"))
-    within = F.coalesce(F.col("perplexity").between(F.col("low"), F.col("high")), F.col("low").isNull() & F.col("perplexity").isNotNull())
+    out = scored.join(by_lang, "lang", "left").select("id", "lang", "symbols", "perplexity", low.alias("low"), high.alias("high"))
+    within = F.coalesce(F.col("perplexity").between(F.col("low"), F.col("high")), F.col("high").isNull() & (F.col("symbols") > 0))
     return out.withColumn("accepted", within).withColumnRenamed("id", id_col)
 
 
