@@ -20,11 +20,12 @@ been seen, give each language its upper limit; the lower one comes from all trus
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lectern.llm import shingles
@@ -40,8 +41,8 @@ POOLED = "*"
 TAIL = 0.002
 #: Shares beyond the upper limit from which the labels choose.
 TAILS = (TAIL, 0.005, 0.01, 0.02, 0.05)
-#: A language with fewer trusted documents takes the pooled limits.
-MIN_DOCUMENTS = 50
+#: So many documents weigh as much for a language's own limits as the pooled spread does.
+SHRINK = 20
 #: One in so many trusted documents is kept from training, to set the limits.
 HELD_OUT = 5
 PIECE = 1 << 18
@@ -326,6 +327,24 @@ def score(texts: DataFrame, weights: DataFrame, unknown: DataFrame) -> DataFrame
     return out.select("id", "lang", "symbols", nll.alias("nll"))
 
 
+def _shrunk(quantiles: DataFrame, pooled: Row, tails: int) -> DataFrame:
+    """lang, l and hs (limits by tail) of each language with held-out documents.
+
+    A limit's distance from the language's own median is the mean, in logarithms, of its own distance by
+    its number of documents and of the pooled one by SHRINK; it never cuts off what its own quantile keeps.
+    """
+
+    def limit(own: Column, middle: Column, n: Column, spread: float) -> Column:
+        return F.exp(F.log(middle) + (n * F.log(own / middle) + SHRINK * F.lit(spread)) / (n + SHRINK))
+
+    low, below = F.col("below")[0], limit(F.col("below")[0], F.col("below")[1], F.col("n"), math.log(pooled["below"][0] / pooled["below"][1]))
+    hs = [
+        F.greatest(F.col("above")[i], limit(F.col("above")[i], F.col("above")[0], F.col("held"), math.log(pooled["above"][i] / pooled["above"][0])))
+        for i in range(1, tails + 1)
+    ]
+    return durable(quantiles.filter("held > 0").select("lang", F.least(low, below).alias("l"), F.array(*hs).alias("hs")), "lm-limits")
+
+
 def classify(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", tail: float | None = None
 ) -> DataFrame:
@@ -335,9 +354,10 @@ def classify(
     language's quantiles ``tail`` over trusted documents and 1 - ``tail`` over held-out ones; where no
     ``tail`` is given, the lower one is TAIL, and the upper one that of TAILS which keeps the largest
     share of held-out documents less the share of documents of bad quality, none of which are trained on. A text
-    without words (null, empty or blank) has no perplexity and is rejected; a null language, or one
-    with no text to train on, takes the model of all trusted text and its limits; without any trusted
-    text every document with a text is accepted. Null or contradictory labels count as trusted when
+    without words (null, empty or blank) has no perplexity and is rejected. Every language has its own
+    model and limits, the latter shrunk (``_shrunk``); a null language takes the model of all trusted
+    text and its limits. Documents with a text are accepted where nothing is trusted, or nothing held
+    out, in their language; their perplexity is by the model of all trusted text where theirs has none. Null or contradictory labels count as trusted when
     some row of the id says good and none says bad. Repeated rows are judged alike.
     """
     spark = docs.sparkSession
@@ -362,13 +382,20 @@ def classify(
     seen = scored.filter("perplexity IS NOT NULL").join(trusted, "id")
     unseen = F.when(F.col("held"), F.col("perplexity"))
     tails = TAILS if tail is None else (tail,)
-    limits = [F.percentile_approx("perplexity", TAIL if tail is None else tail, 10_000), F.percentile_approx(unseen, [1 - t for t in tails], 10_000)]
-    pooled = seen.agg(limits[0].alias("low"), limits[1].alias("highs")).first()
-    by_lang = seen.filter("lang IS NOT NULL").groupBy("lang").agg(limits[0].alias("l"), limits[1].alias("hs"), F.count(F.lit(1)).alias("n")).filter(F.col("n") >= MIN_DOCUMENTS)
-    by_lang = durable(by_lang, "lm-quantiles")
-    highs = F.coalesce("hs", F.lit(pooled["highs"]).cast("array<double>"))
+    limits = [
+        F.percentile_approx("perplexity", [TAIL if tail is None else tail, 0.5], 10_000).alias("below"),
+        F.percentile_approx(unseen, [0.5, *[1 - t for t in tails]], 10_000).alias("above"),
+        F.count(F.lit(1)).alias("n"),
+        F.count(unseen).alias("held"),
+    ]
+    pooled = seen.agg(*limits).first()
+    by_lang = _shrunk(durable(seen.filter("lang IS NOT NULL").groupBy("lang").agg(*limits), "lm-quantiles"), pooled, len(tails)) if pooled["above"] else None
+    if by_lang is None:
+        by_lang = spark.createDataFrame([], "lang string, l double, hs array<double>")
+    pooled_highs = F.lit(pooled["above"][1:] if pooled["above"] else None).cast("array<double>")
+    highs = F.when(F.col("lang").isNull(), pooled_highs).otherwise(F.col("hs"))
     best = 0
-    if len(tails) > 1 and pooled["highs"]:
+    if len(tails) > 1 and pooled["above"]:
         poor = labels.filter("quality = 0").select(F.col(id_col).cast("long").alias("id"), F.lit(True).alias("poor")).distinct()
         told = seen.filter("held").select("lang", "perplexity", F.lit(False).alias("poor")).unionByName(
             scored.filter("perplexity IS NOT NULL").join(poor, "id").select("lang", "perplexity", "poor")
@@ -377,11 +404,8 @@ def classify(
         shares = {r["poor"]: r for r in told.groupBy("poor").agg(*[F.avg(f"t{i}").alias(f"t{i}") for i in range(len(tails))]).collect()}
         if True in shares and False in shares:
             best = max(range(len(tails)), key=lambda i: ((shares[False][f"t{i}"] or 0) - (shares[True][f"t{i}"] or 0), -i))
-    by_lang = by_lang.select("lang", "l", F.col("hs")[best].alias("h"))
-    pooled = {"low": pooled["low"], "high": pooled["highs"][best] if pooled["highs"] else None}
-    low = F.coalesce("l", F.lit(pooled["low"]).cast("double"))
-    high = F.coalesce("h", F.lit(pooled["high"]).cast("double"))
-    out = scored.join(by_lang, "lang", "left").select("id", "lang", "symbols", "perplexity", low.alias("low"), high.alias("high"))
+    low = F.when(F.col("lang").isNull(), F.lit(pooled["below"][0] if pooled["above"] else None).cast("double")).otherwise(F.col("l"))
+    out = scored.join(by_lang, "lang", "left").select("id", "lang", "symbols", "perplexity", low.alias("low"), highs[best].alias("high"))
     within = F.coalesce(F.col("perplexity").between(F.col("low"), F.col("high")), F.col("high").isNull() & (F.col("symbols") > 0))
     return out.withColumn("accepted", within).withColumnRenamed("id", id_col)
 

@@ -80,3 +80,29 @@ def test_words_in_an_unseen_order_cost_more(spark):
     got = {r.doc_id: r.accepted for r in quality_lm.classify(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4), labels).collect()}
     assert not any(got[i] for i in range(1000, 1100))
     assert sum(got[i] for i in range(400)) >= 380
+
+
+def test_every_language_has_its_own_model_and_limits(spark):
+    """Seventeen languages of few documents, and one that nobody labelled, beside a large one."""
+    rng = random.Random(5)
+    rows, labels = [], []
+
+    def add(lang, letters, n, labelled, wide):
+        vocab = ["".join(rng.choice(letters) for _ in range(4)) for _ in range(wide)]
+        for _ in range(n):
+            labels.extend([(len(rows), 1, 0)] * labelled)
+            rows.append((len(rows), " ".join(rng.choice(vocab) for _ in range(40)), lang))
+
+    add("en", "etaoinshr", 400, 1, 20)
+    for k in range(17):
+        add(f"x{k}", "абвгдежзик", 30, 1, 60)
+    add("yy", "λμνξοπρστυ", 10, 0, 60)
+    judged = quality_lm.classify(
+        spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    ).collect()
+    assert len(judged) == len(rows)
+    kept = Counter(r.lang for r in judged if r.accepted)
+    assert kept["yy"] == 10
+    assert all(kept[f"x{k}"] >= 27 for k in range(17))
+    assert kept["en"] >= 380
+    assert len({r.high for r in judged if r.lang.startswith("x")}) == 17
