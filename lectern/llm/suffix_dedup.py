@@ -5,12 +5,15 @@ of a text, the one with the smallest hash. Every run of MIN_WORDS words holds su
 runs hold the same ones, about one suffix in twenty words. Suffixes whose first GRAM words occur once
 in the corpus drop out by a count.
 
-The rest are sorted by their words: the array is range-partitioned, so that a passage of a third of all
-texts is spread over many tasks. Neighbours in the order (up to NEIGHBOURS apart, and across the edges
-of partitions) are compared and their matches extended to the right and to the left; a match of MIN_WORDS
-words or more marks its run of words in both texts, and the marked runs of a text are merged. Inside a
-batch the same is done in the order of the words to the left. Words compare by 32-bit hashes; a match
-needs at least MIN_WORDS of them and a 64-bit hash of the first GRAM.
+The rest are found in two ways. Suffixes whose first GRAM words occur up to FEW times are sorted by their
+words, and each is compared with the NEIGHBOURS after it, also across the edges of partitions; FEW is so
+small that these are all pairs of such a group. Matches are extended to the right and to the left; a match
+of MIN_WORDS words or more marks its run of words in both texts. Where more suffixes begin alike, no order
+brings all partners together, so there every window of MIN_WORDS words that covers the suffix's first GRAM
+words is named by a hash, and a window whose hash occurs at two places is marked. A repeated window holds
+one of the two kinds of suffix in both places, so none is missed. Marked runs of a text are merged. Words
+compare by 32-bit hashes, windows by 64-bit ones; a match needs at least MIN_WORDS words and a 64-bit hash
+of the first GRAM.
 """
 
 from __future__ import annotations
@@ -30,6 +33,7 @@ from lectern.llm.ngram_join import bounded_batches
 MIN_WORDS, GRAM = 50, 10
 WINDOW = MIN_WORDS - GRAM + 1
 NEIGHBOURS = 8
+FEW = NEIGHBOURS + 1
 _SUFFIX = "g long, right binary, left binary, id long, pos int"
 _GRAM_KEYS = shingles.mix(np.arange(1, GRAM + 1, dtype=np.uint64)) | np.uint64(1)
 
@@ -90,8 +94,24 @@ def _positions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(ids), pa.array(pos)], ["g", "id", "pos"])
 
 
+def _windows(w: np.ndarray, anchors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and hashes of all windows of MIN_WORDS words that cover the GRAM words at some anchor."""
+    n = len(w) - MIN_WORDS + 1
+    edge = np.zeros(len(w) + 1, np.int64)
+    np.add.at(edge, np.maximum(anchors - WINDOW + 1, 0), 1)
+    np.add.at(edge, anchors + 1, -1)
+    start = np.flatnonzero(np.cumsum(edge)[:n] > 0)
+    g = _gram_hashes(w)
+    h = np.zeros(len(start), np.uint64)
+    for i in range(0, MIN_WORDS, GRAM):
+        h += g[start + i] * _GRAM_KEYS[i // GRAM]
+    return start, shingles.mix(h).view(np.int64)
+
+
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, positions, text) in; suffix rows out: MIN_WORDS words to the right, and to the left in reverse.
+    """(id, positions, text, positions of frequent starts) in; suffix rows out: MIN_WORDS words to the right, and to the left in reverse.
+
+    For frequent starts the windows around them come instead, with the window's hash and place and no words.
 
     Words are big-endian 32-bit hashes, so that bytes sort like words; a text's end is padded with
     numbers that no other place shares.
@@ -100,12 +120,17 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lo in range(0, len(batch), 128):
             part = batch.slice(lo, 128)
             w, at = shingles.words(part.column(2))
-            ids, rows = part.column(0).to_pylist(), part.column(1).to_pylist()
+            ids, rows, frequent = part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(3).to_pylist()
             for i, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True)):
                 own = w[a:b]
                 if len(own) < MIN_WORDS:
                     continue
                 there, g = selected(own)
+                covering = _windows(own, there[np.isin(there, np.array(frequent[i], np.int64))])
+                for k in range(0, len(covering[0]), 1 << 16):
+                    start, h = (x[k : k + (1 << 16)] for x in covering)
+                    none = pa.nulls(len(h), pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array(h), none, none, pa.array(np.full(len(h), ids[i])), pa.array(start.astype(np.int32))], ["g", "right", "left", "id", "pos"])
                 keep = np.isin(there, np.array(rows[i], np.int64))
                 there, g = there[keep], g[keep]
                 short = (own >> np.uint64(32)).astype(">u4")
@@ -205,9 +230,6 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             head = rows.take(slice(0, NEIGHBOURS)) if head is None else (head + rows).take(slice(0, NEIGHBOURS))
         whole = rows if held is None else held + rows
         found = list(whole.spans())
-        # the order of the words to the left, inside each first GRAM words
-        left = [whole.left[:, k] for k in range(11, -1, -1)]
-        found += list(whole.take(np.lexsort((*left, whole.g))).spans())
         found = [f for f in found if len(f[0])]
         if found:
             yield _span_batch(found)
@@ -240,11 +262,16 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).filter("id IS NOT NULL AND text IS NOT NULL")
     sparse = durable(texts.mapInArrow(_positions, "g long, id long, pos int"), "suffix-positions")
     # written first, so that the join shuffles both sides by itself and Spark can split the partition of a very common start
-    common = durable(sparse.groupBy("g").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "suffix-common").select("g")
-    wanted = sparse.join(common, "g").groupBy("id").agg(F.collect_set("pos").alias("at"), F.count(F.lit(1)).alias("n"))  # at most the positions of one text
+    common = durable(sparse.groupBy("g").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "suffix-common")
+    few, many = F.when(F.col("n") <= FEW, F.col("pos")), F.when(F.col("n") > FEW, F.col("pos"))
+    wanted = sparse.join(common, "g").groupBy("id").agg(F.collect_set(few).alias("at"), F.collect_set(many).alias("frequent"), F.count(F.lit(1)).alias("n"))  # at most the positions of one text
     wanted = durable(wanted, "suffix-wanted")
-    suffixes = texts.join(wanted.filter("n > 0").select("id", "at"), "id").select("id", "at", "text").mapInArrow(_contexts, _SUFFIX)
-    suffixes = durable(suffixes, "suffix-rows")
+    found = texts.join(wanted.filter("n > 0").select("id", "at", "frequent"), "id").select("id", "at", "text", "frequent").mapInArrow(_contexts, _SUFFIX)
+    found = durable(found, "suffix-rows")
+    suffixes, windows = found.filter("right IS NOT NULL"), found.filter("right IS NULL").select("g", "id", F.col("pos").alias("start"))
+    place = F.struct("id", "start")
+    twice = durable(windows.groupBy("g").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first <> last").select("g"), "suffix-windows")
+    covered = windows.join(twice, "g").select("id", "start", (F.col("start") + MIN_WORDS).alias("end"))
     order = ["g", "right", "left", "id", "pos"]
     compared = suffixes.repartitionByRange(*order).sortWithinPartitions(*order).select(order).mapInArrow(_compared, "id long, start int, end int, edge binary")
     compared = durable(compared, "suffix-matches")
@@ -253,7 +280,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     edges = edges.repartition(1).sortWithinPartitions("g", F.substring("edge", 9, 8 * MIN_WORDS), "edge").select("edge")
     spans = compared.filter("edge IS NULL").select("id", "start", "end").unionByName(
         edges.mapInArrow(_edges_compared, "id long, start int, end int, edge binary").select("id", "start", "end")
-    )
+    ).unionByName(covered)
     before = W.partitionBy("id").orderBy("start", "end").rowsBetween(W.unboundedPreceding, -1)
     marked = spans.groupBy("id", "start").agg(F.max("end").alias("end")).withColumn("fresh", (F.col("start") > F.coalesce(F.max("end").over(before), F.lit(-1))).cast("int"))
     runs = marked.withColumn("run", F.sum("fresh").over(W.partitionBy("id").orderBy("start", "end").rowsBetween(W.unboundedPreceding, 0)))
