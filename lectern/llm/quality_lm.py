@@ -313,7 +313,7 @@ def word_model(trusted: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def score(texts: DataFrame, weights: DataFrame, unknown: DataFrame) -> DataFrame:
-    """id, lang, symbols (words and the end), nll of each text; ``texts``: id, lang, row, model, text.
+    """id, lang, row, symbols (words and the end), nll of each text; ``texts``: id, lang, row, model, text.
 
     Equal rows share a ``row``, so their sums are of all of them, as ``symbols`` of the sum is.
     """
@@ -324,7 +324,7 @@ def score(texts: DataFrame, weights: DataFrame, unknown: DataFrame) -> DataFrame
     each = durable(sums.join(times, "row").select("row", (F.col("s") / F.col("times")).alias("s"), (F.col("known") / F.col("times")).alias("known")), "lm-sums")
     nll = F.when(F.col("unknown").isNotNull(), (F.col("symbols") - F.coalesce("known", F.lit(0.0))) * F.col("unknown") - F.coalesce("s", F.lit(0.0)))
     out = sizes.join(each, "row", "left").join(unknown.withColumnRenamed("lang", "model"), "model", "left")
-    return out.select("id", "lang", "symbols", nll.alias("nll"))
+    return out.select("id", "lang", "row", "symbols", nll.alias("nll"))
 
 
 def _shrunk(quantiles: DataFrame, pooled: Row, tails: int) -> DataFrame:
@@ -345,10 +345,15 @@ def _shrunk(quantiles: DataFrame, pooled: Row, tails: int) -> DataFrame:
     return durable(quantiles.filter("held > 0").select("lang", F.least(low, below).alias("l"), F.array(*hs).alias("hs")), "lm-limits")
 
 
+def row_name(ident: Column, lang: Column, text: Column) -> Column:
+    """The 64-bit name under which ``classify`` judges a row; equal rows share it."""
+    return F.xxhash64(ident.cast("long"), lang.cast("string"), text.cast("string"))
+
+
 def classify(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", tail: float | None = None
 ) -> DataFrame:
-    """One row per input row: id, lang, symbols, perplexity, low, high, accepted.
+    """One row per input row: id, lang, row (``row_name``), symbols, perplexity, low, high, accepted.
 
     ``labels``: id, quality, toxic. A document is accepted when its perplexity lies within its
     language's quantiles ``tail`` over trusted documents and 1 - ``tail`` over held-out ones; where no
@@ -373,7 +378,7 @@ def classify(
     trained = texts.join(ids_beside(trusted.filter("NOT held").select("id")), "id").select("lang", "text")
     langs = durable(trained.filter(F.col("lang").isNotNull() & F.col("text").rlike(WORD)).select("lang").distinct(), "lm-langs")
     named = texts.join(langs.withColumnRenamed("lang", "own"), F.col("lang") == F.col("own"), "left")
-    named = named.select("id", "lang", F.xxhash64("id", "lang", "text").alias("row"), F.coalesce("own", F.lit(POOLED)).alias("model"), "text")
+    named = named.select("id", "lang", row_name(F.col("id"), F.col("lang"), F.col("text")).alias("row"), F.coalesce("own", F.lit(POOLED)).alias("model"), "text")
     if named.filter(F.col("model") == POOLED).limit(1).count():
         trained = trained.filter("lang IS NOT NULL").unionByName(trained.withColumn("lang", F.lit(POOLED)))
     weights, unknown = word_model(trained)
@@ -405,7 +410,7 @@ def classify(
         if True in shares and False in shares:
             best = max(range(len(tails)), key=lambda i: ((shares[False][f"t{i}"] or 0) - (shares[True][f"t{i}"] or 0), -i))
     low = F.when(F.col("lang").isNull(), F.lit(pooled["below"][0] if pooled["above"] else None).cast("double")).otherwise(F.col("l"))
-    out = scored.join(by_lang, "lang", "left").select("id", "lang", "symbols", "perplexity", low.alias("low"), highs[best].alias("high"))
+    out = scored.join(by_lang, "lang", "left").select("id", "lang", "row", "symbols", "perplexity", low.alias("low"), highs[best].alias("high"))
     within = F.coalesce(F.col("perplexity").between(F.col("low"), F.col("high")), F.col("high").isNull() & (F.col("symbols") > 0))
     return out.withColumn("accepted", within).withColumnRenamed("id", id_col)
 
