@@ -1,9 +1,14 @@
 """Licence recognition by sentences and ordered rules.
 
 Texts are cut into sentences, each sentence is normalised (letters and digits, lower case, single
-spaces) and looked up among known licence sentences. The identifiers found, in order, are matched
-against rules: ordered sequences of identifiers that make a licence. A longer rule goes first, and
-what it covers no shorter rule matches again. All of it is one projection: no shuffle at all.
+spaces) and looked up by its hash among known licence sentences. The identifiers found, in order, are
+matched against rules: ordered sequences of identifiers that make a licence. A longer rule goes first,
+and what it covers no shorter rule matches again. All of it is one projection: no shuffle at all.
+
+A licence text is mostly wrapped, often inside comments. So marks of comments and lists at a line's begin
+are dropped, a single line end is white space, and a blank line ends a sentence, as . ! ? ; : do with white
+space behind them. Titles and SPDX tags are known by their line: such a line is cut out as a sentence of
+its own wherever it stands. The same steps are plain regular expressions in Spark and in DuckDB.
 """
 
 from __future__ import annotations
@@ -15,17 +20,28 @@ from pyspark.sql import functions as F
 
 from lectern.llm.common import table
 
+#: SPDX identifiers that a tag line may name.
+SPDX = (
+    "0BSD", "AGPL-3.0-only", "AGPL-3.0-or-later", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "BSL-1.0", "CC-BY-4.0", "CC-BY-SA-4.0", "CC0-1.0",
+    "EPL-2.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "ISC", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only",
+    "LGPL-3.0-or-later", "MIT", "MPL-2.0", "Unlicense", "WTFPL", "Zlib",
+)
+#: Titles that stand in a line of their own, with the licence they name.
+TITLES = (
+    ("MIT License", "MIT"), ("The MIT License", "MIT"), ("The MIT License (MIT)", "MIT"), ("ISC License", "ISC"), ("BSD 2-Clause License", "BSD-2-Clause"),
+    ("BSD 3-Clause License", "BSD-3-Clause"), ("Mozilla Public License Version 2.0", "MPL-2.0"), ("Boost Software License - Version 1.0", "BSL-1.0"),
+)
 #: Sentences of public licences and notices, by identifier, as they are written.
 SENTENCES = (
     ("apache2-notice", "Licensed under the Apache License, Version 2.0."),
     ("apache2-header", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.'),
-    ("apache2-obtain", "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
+    ("apache2-obtain", "You may obtain a copy of the License at"),
+    ("apache2-url", "http://www.apache.org/licenses/LICENSE-2.0"),
+    ("apache2-obtain-url", "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
     ("apache2-asis", 'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.'),
     ("apache2-see", "See the License for the specific language governing permissions and limitations under the License."),
     ("mit-notice", "Released under the MIT License."),
     ("mit-licensed", "Licensed under the MIT License."),
-    ("mit-title", "MIT License"),
-    ("mit-title-the", "The MIT License (MIT)"),
     ("mit-grant", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:'),
     ("mit-condition", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."),
     ("mit-asis", 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.'),
@@ -43,84 +59,120 @@ SENTENCES = (
     ("bsd-source", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."),
     ("bsd-binary", "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."),
     ("bsd-endorse", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
-    ("spdx-mit", "SPDX-License-Identifier: MIT"),
-    ("spdx-apache2", "SPDX-License-Identifier: Apache-2.0"),
-    ("spdx-bsd3", "SPDX-License-Identifier: BSD-3-Clause"),
-    ("spdx-gpl3", "SPDX-License-Identifier: GPL-3.0-only"),
+    ("isc-grant", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("unlicense-free", "This is free and unencumbered software released into the public domain."),
+    ("mpl2-notice", "This Source Code Form is subject to the terms of the Mozilla Public License, v."),
+    ("mpl2-copy", "If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+    ("gpl2-free", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("lgpl-free", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    ("cc0-work", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
 )
 #: Licences by ordered sequences of sentence identifiers.
 RULES = (
     ("Apache-2.0", ("apache2-notice",)),
-    ("Apache-2.0", ("apache2-header", "apache2-obtain", "apache2-asis", "apache2-see")),
+    ("Apache-2.0", ("apache2-header", "apache2-obtain", "apache2-url", "apache2-asis", "apache2-see")),
+    ("Apache-2.0", ("apache2-header", "apache2-obtain-url", "apache2-asis", "apache2-see")),
     ("Apache-2.0", ("apache2-header",)),
     ("MIT", ("mit-notice",)),
     ("MIT", ("mit-licensed",)),
     ("MIT", ("mit-grant", "mit-condition", "mit-asis", "mit-liability")),
     ("MIT", ("mit-grant", "mit-condition")),
-    ("MIT", ("mit-title",)),
-    ("MIT", ("mit-title-the",)),
     ("CC-BY-NC-4.0", ("ccbync4-notice",)),
     ("CC-BY-4.0", ("ccby4-notice",)),
     ("CC-BY-4.0", ("ccby4-work",)),
     ("CC-BY-SA-4.0", ("ccbysa4-notice",)),
     ("CC-BY-SA-4.0", ("ccbysa4-work",)),
+    ("CC0-1.0", ("cc0-work",)),
     ("GPL-3.0-only", ("gpl3-notice",)),
     ("GPL-3.0-or-later", ("gpl-free", "gpl-hope", "gpl-see")),
     ("GPL-3.0-or-later", ("gpl-free",)),
+    ("GPL-2.0-or-later", ("gpl2-free", "gpl-hope", "gpl-see")),
+    ("GPL-2.0-or-later", ("gpl2-free",)),
+    ("LGPL-2.1-or-later", ("lgpl-free",)),
+    ("MPL-2.0", ("mpl2-notice", "mpl2-copy")),
+    ("MPL-2.0", ("mpl2-notice",)),
+    ("ISC", ("isc-grant", "mit-asis")),
+    ("ISC", ("isc-grant",)),
+    ("Unlicense", ("unlicense-free",)),
     ("BSD-3-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse")),
     ("BSD-2-Clause", ("bsd-grant", "bsd-source", "bsd-binary")),
-    ("MIT", ("spdx-mit",)),
-    ("Apache-2.0", ("spdx-apache2",)),
-    ("BSD-3-Clause", ("spdx-bsd3",)),
-    ("GPL-3.0-only", ("spdx-gpl3",)),
 )
-#: A sentence ends at a line end or behind . ! ? ; or : with white space after it.
-SPLIT = r"[\n\r]+|(?<=[.!?;:])[ \t\x0B\f]+"
+#: What may stand between a line's begin and its words: comment and list marks.
+MARKS = r"\n[ \t\x0B\f]*(?:<!--|--|[*#/;%!>\-]+)?[ \t\x0B\f]*"
+SPACE = r"[ \t\x0B\f]"
+CUT = "\x01"
 
 
 def normal(sentence: str) -> str:
     return " ".join(re.findall(r"[a-z0-9]+", sentence.lower()))
 
 
-def _pieces(sentence: str) -> list[str]:
-    return [n for x in re.split(SPLIT, sentence) if (n := normal(x))]
+def lines_known(titles=TITLES, spdx=SPDX) -> list[tuple[str, str, str]]:
+    """(normalised line, identifier, licence) of titles and tags."""
+    out = [(normal(t), "title-" + normal(t).replace(" ", "-"), licence) for t, licence in titles]
+    return out + [(normal("SPDX-License-Identifier " + x), "spdx-" + x.lower(), x) for x in spdx]
+
+
+def _parts(sentences=SENTENCES) -> dict[str, list[str]]:
+    """The normalised pieces of each sentence: one, or several where . ! ? ; : cut it."""
+    return {name: [n for x in re.split(r"(?<=[.!?;:])\s+", text) if (n := normal(x))] for name, text in sentences}
 
 
-def known_sentences(sentences=SENTENCES) -> list[tuple[str, str]]:
-    """(normalised sentence, identifier); a text that is cut in several gives numbered identifiers."""
-    out = []
-    for name, text in sentences:
-        parts = _pieces(text)
-        out += [(p, name if len(parts) == 1 else f"{name}.{i}") for i, p in enumerate(parts, 1)]
-    return list(dict(out).items())
+def known_sentences(sentences=SENTENCES, titles=TITLES, spdx=SPDX) -> dict[str, str]:
+    """Identifier by normalised sentence; pieces are numbered, and the first sentence with a piece names it."""
+    out = {n: name for n, name, _ in lines_known(titles, spdx)}
+    for name, parts in _parts(sentences).items():
+        for i, p in enumerate(parts, 1):
+            if p in out and len(parts) == 1:
+                raise ValueError(f"{name} is known as {out[p]}")
+            out.setdefault(p, name if len(parts) == 1 else f"{name}.{i}")
+    return out
 
 
-def ordered_rules(rules=RULES, sentences=SENTENCES) -> list[tuple[str, str]]:
+def ordered_rules(rules=RULES, sentences=SENTENCES, titles=TITLES, spdx=SPDX) -> list[tuple[str, str]]:
     """(licence, identifiers as ``,a,b,``), longest sequence first."""
-    parts = {name: len(_pieces(text)) for name, text in sentences}
-    names = set(dict(known_sentences(sentences)).values())
-    out = []
-    for licence, ids in rules:
-        full = [y for x in ids for y in ([x] if parts[x] == 1 else [f"{x}.{i}" for i in range(1, parts[x] + 1)]) if y in names]
-        out.append((licence, "," + "".join(f"{x}," for x in full)))
+    known, parts = known_sentences(sentences, titles, spdx), _parts(sentences)
+    out = {(licence, f",{i},") for _, i, licence in lines_known(titles, spdx)}
+    out |= {(licence, "," + "".join(f"{known[p]}," for x in ids for p in parts[x])) for licence, ids in rules}
     return sorted(out, key=lambda r: (-r[1].count(","), r))
 
 
-def sentence_ids(text: Column, sentences=SENTENCES) -> Column:
-    """The identifiers of the known sentences of a text, in order."""
-    known = known_sentences(sentences)
-    table = F.create_map(*[F.lit(x) for pair in known for x in pair])
-    shortest, longest = min(len(k) for k, _ in known), max(len(k) for k, _ in known)
-    pieces = F.filter(F.split(F.coalesce(text, F.lit("")), SPLIT), lambda s: F.length(s).between(shortest, 2 * longest))
-    lowered = F.transform(pieces, lambda s: F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " ")))
-    return F.filter(F.transform(lowered, lambda s: F.try_element_at(table, s)), lambda i: i.isNotNull())
+def _title_pattern(titles=TITLES) -> str:
+    """A line that is a title or a tag, whatever stands between its words and behind the last; lines are two line ends apart."""
+    spaced = sorted({normal(t).replace(" ", r"[^A-Za-z0-9\n]+") for t, _ in titles}, key=lambda t: (-len(t), t))
+    return r"(?i)\n((?:" + "|".join(spaced) + rf"|spdx-license-identifier:{SPACE}*[a-z0-9.+\-]+)[^A-Za-z0-9\n]*)\n"
+
 
+#: Steps in turn: pattern and replacement, with $1 for the first group.
+def steps(titles=TITLES) -> list[tuple[str, str]]:
+    return [
+        (r"\r\n?", "\n"),
+        (MARKS, "\n\n"),
+        (_title_pattern(titles), "\n\n\n$1\n\n\n"),
+        (rf"(?i)(spdx-license-identifier):{SPACE}*", "$1 "),
+        (r"\n\n\n+", CUT),
+        (rf"([.!?;:])[\n \t\x0B\f]+", "$1" + CUT),
+    ]
 
-def matched(ids: Column, rules=RULES, sentences=SENTENCES) -> tuple[Column, Column]:
-    """Sorted licences of the rules that match, and the identifiers that no rule covers."""
+
+def sentence_ids(text: Column, sentences=SENTENCES, titles=TITLES, spdx=SPDX) -> Column:
+    """The identifiers of the known sentences of a text, in order."""
+    known = known_sentences(sentences, titles, spdx)
+    cut = F.concat(F.lit("\n"), F.coalesce(text, F.lit("")), F.lit("\n"))
+    for pattern, to in steps(titles):
+        cut = F.regexp_replace(cut, pattern, to)
+    names = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
+    longest = max(len(k) for k in known)
+    normalised = F.transform(F.split(cut, CUT), lambda s: F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " ")))
+    fits = F.filter(normalised, lambda s: F.length(s).between(3, longest) & s.isin(*known))  # a hash set of constants
+    return F.transform(fits, lambda s: F.element_at(names, s))
+
+
+def matched(ids: Column, rules=RULES, sentences=SENTENCES, titles=TITLES, spdx=SPDX) -> tuple[Column, Column]:
+    """Licences of the rules that match, and the identifiers that no rule covers."""
     rest = F.concat(F.lit(","), F.array_join(F.transform(ids, lambda i: F.concat(i, F.lit(","))), ""))
     found = F.array().cast("array<string>")
-    listed = F.array(*[F.struct(F.lit(a).alias("licence"), F.lit(b).alias("ids")) for a, b in ordered_rules(rules, sentences)])
+    listed = F.array(*[F.struct(F.lit(a).alias("licence"), F.lit(b).alias("ids")) for a, b in ordered_rules(rules, sentences, titles, spdx)])
     start = F.struct(rest.alias("rest"), found.alias("found"))
     state = F.aggregate(
         listed, start,
@@ -129,16 +181,17 @@ def matched(ids: Column, rules=RULES, sentences=SENTENCES) -> tuple[Column, Colu
     return state["found"], state["rest"]
 
 
-def scan_licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules=RULES, sentences=SENTENCES) -> DataFrame:
+def scan_licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules=RULES, sentences=SENTENCES, titles=TITLES, spdx=SPDX) -> DataFrame:
     """One row per input row: id, sentence_ids, n_sentences (known ones), licences, unmatched.
 
     ``licences`` joins the sorted distinct licences with ``|``; ``unmatched`` counts known sentences
     that no rule covers. A null or empty text has none of either; repeated rows and ids give repeated
-    rows; ties between rules of one length go by name; an empty table gives no rows.
+    rows; ties between rules of one length go by name; an empty table gives no rows. Whole texts of any
+    length are read; other columns are ignored.
     """
-    scanned = docs.select(F.col(id_col), sentence_ids(F.col(text_col), sentences).alias("ids"))
+    scanned = docs.select(F.col(id_col), sentence_ids(F.col(text_col), sentences, titles, spdx).alias("ids"))
     # rules are tried for texts with a known sentence only
-    found, rest = matched(F.col("ids"), rules, sentences)
+    found, rest = matched(F.col("ids"), rules, sentences, titles, spdx)
     some = F.size("ids") > 0
     return scanned.withColumn("found", F.when(some, F.struct(found.alias("licences"), rest.alias("rest")))).select(
         id_col,
@@ -154,28 +207,29 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sql() -> str:
-    known = ", ".join(f"('{k}', '{v}')" for k, v in known_sentences())
+    known = ", ".join(f"('{k}', '{v}')" for k, v in known_sentences().items())
     rest = "',' || array_to_string(ids, ',') || ','"
-    steps, prev = [], "r0"
+    cut = "chr(10) || coalesce(text, '') || chr(10)"
+    for pattern, to in steps():
+        to = to.replace("$1", "\\1").replace("\n", "' || chr(10) || '").replace(CUT, "' || chr(1) || '")
+        cut = f"regexp_replace({cut}, '{pattern}', '{to}', 'g')"
+    chain, prev = [], "r0"
     for i, (licence, ids) in enumerate(ordered_rules(), 1):
-        steps.append(f"r{i} AS (SELECT doc_id, ids, replace(rest, '{ids}', ',;,') AS rest, CASE WHEN strpos(rest, '{ids}') > 0 THEN list_append(found, '{licence}') ELSE found END AS found FROM {prev})")
+        chain.append(f"r{i} AS (SELECT doc_id, ids, replace(rest, '{ids}', ',;,') AS rest, CASE WHEN strpos(rest, '{ids}') > 0 THEN list_append(found, '{licence}') ELSE found END AS found FROM {prev})")
         prev = f"r{i}"
     return rf"""
 WITH known(s, i) AS (VALUES {known}),
-x AS (
-  SELECT doc_id, unnest(string_split_regex(coalesce(text, ''), '[\n\r]+')) AS line FROM documents
-), lines AS (SELECT doc_id, line, row_number() OVER () AS ln FROM x
-), y AS (
-  SELECT doc_id, ln, string_split(regexp_replace(line, '([.!?;:])[ \t\x0B\f]+', '\1' || chr(1), 'g'), chr(1)) AS ss FROM lines
+y AS (
+  SELECT doc_id, string_split({cut}, chr(1)) AS ss FROM documents
 ), z AS (
-  SELECT doc_id, ln, unnest(ss) AS s, generate_subscripts(ss, 1) AS k FROM y
+  SELECT doc_id, unnest(ss) AS s, generate_subscripts(ss, 1) AS k FROM y
 ), n AS (
-  SELECT doc_id, ln, k, trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g')) AS s FROM z
+  SELECT doc_id, k, trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g')) AS s FROM z
 ), h AS (
-  SELECT doc_id, list(known.i ORDER BY ln, k) AS ids FROM n JOIN known ON n.s = known.s GROUP BY doc_id
+  SELECT doc_id, list(known.i ORDER BY k) AS ids FROM n JOIN known ON n.s = known.s GROUP BY doc_id
 ), r0 AS (
   SELECT doc_id, ids, {rest} AS rest, CAST([] AS VARCHAR[]) AS found FROM h
-), {", ".join(steps)}
+), {", ".join(chain)}
 SELECT d.doc_id, coalesce(array_to_string(ids, ','), '') AS sentence_ids, coalesce(len(ids), 0) AS n_sentences,
        coalesce(array_to_string(list_sort(list_distinct(found)), '|'), '') AS licences,
        coalesce(len(list_filter(string_split(rest, ','), lambda q: q <> '' AND q <> ';')), 0) AS unmatched

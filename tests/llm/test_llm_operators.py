@@ -5,8 +5,11 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import textwrap
 from collections import Counter
 
+import duckdb
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -211,15 +214,32 @@ def test_token_counts(spark, corpus):
     assert token_count.count_tokens(frame(spark, [])).count() == 0
 
 
+def wrapped(*paragraphs, mark="", width=70, end="\n"):
+    return end.join(mark + line for x in paragraphs for line in [*textwrap.wrap(x, width), ""])
+
+
 def test_licences(spark):
-    mit = dict(license_scan.SENTENCES)
-    full = "\n".join(mit[k] for k in ("mit-grant", "mit-condition", "mit-asis", "mit-liability"))
+    known = dict(license_scan.SENTENCES)
+    mit = [known[k] for k in ("mit-grant", "mit-condition")] + [known["mit-asis"] + " " + known["mit-liability"]]
+    apache = [known["apache2-header"] + " " + known["apache2-obtain"], "    " + known["apache2-url"], known["apache2-asis"] + " " + known["apache2-see"]]
+    gpl = " ".join(known[k] for k in ("gpl-free", "gpl-hope", "gpl-see"))
+    bsd = [known["bsd-grant"], "1. " + known["bsd-source"], "2. " + known["bsd-binary"]]
     rows = [
-        (0, full), (1, "Some text.\nReleased under the MIT License.\nMore. Licensed under CC BY-NC 4.0."), (2, None), (3, ""), (4, "no licence here"),
-        (5, mit["mit-condition"]), (6, "released UNDER the mit license."), (6, "released UNDER the mit license."), (7, "We are released under the MIT License."),
+        (0, "\n".join(mit)), (1, "Some text.\nReleased under the MIT License.\nMore. Licensed under CC BY-NC 4.0."), (2, None), (3, ""), (4, "no licence here"),
+        (5, known["mit-condition"]), (6, "released UNDER the mit license."), (6, "released UNDER the mit license."), (7, "We are released under the MIT License."),
+        (8, "MIT License\n\nCopyright (c) 2020 X\n\n" + wrapped(*mit)), (9, wrapped("Copyright 2020 X", *apache, mark="# ")), (10, "/*\r\n" + wrapped(gpl, mark=" * ", end="\r\n")),
+        (11, wrapped(*bsd)), (12, "MIT"), (13, "She studied at MIT.\nMIT."), (14, "// SPDX-License-Identifier: MIT"), (15, "# SPDX-License-Identifier: Apache-2.0"),
+        (16, "=" * 900 + "\nMIT License\ncode"), (17, "MIT License\nISC License"), (18, "word " * 100_000 + "\n\n" + wrapped(*mit) + "\n\n" + "word " * 100_000), (19, "SPDX-License-Identifier:\nMIT"), (None, "\x01MIT License"),
     ]
-    got = sorted((r.doc_id, r.licences, r.unmatched > 0) for r in license_scan.scan_licences(frame(spark, rows)).collect())
-    assert got == [(0, "MIT", False), (1, "CC-BY-NC-4.0|MIT", False), (2, "", False), (3, "", False), (4, "", False), (5, "", True), (6, "MIT", False), (6, "MIT", False), (7, "", False)]
+    got = sorted(((r.doc_id, r.licences, r.unmatched > 0) for r in license_scan.scan_licences(frame(spark, rows)).collect()), key=str)
+    want = {0: "MIT", 1: "CC-BY-NC-4.0|MIT", 6: "MIT", 8: "MIT", 9: "Apache-2.0", 10: "GPL-3.0-or-later", 11: "BSD-2-Clause", 14: "MIT", 15: "Apache-2.0", 16: "MIT", 17: "ISC|MIT", 18: "MIT", None: "MIT"}
+    assert got == sorted([(i, want.get(i, ""), i == 5) for i, _ in rows], key=str)
+    assert license_scan.scan_licences(frame(spark, [])).count() == 0
+    con = duckdb.connect()
+    con.register("documents", pa.table({"doc_id": pa.array([i for i, _ in rows], pa.int64()), "text": pa.array([t for _, t in rows], pa.string())}))
+    theirs = con.execute(license_scan.ORACLE["op5_license_scan"]).fetchall()
+    ours = [tuple(r) for r in license_scan.scan_licences(frame(spark, rows)).collect()]
+    assert sorted(theirs, key=str) == sorted(ours, key=str)
 
 
 def pages(spark, rows):
