@@ -5,12 +5,13 @@ of a text, the one with the smallest hash. Every run of MIN_WORDS words holds su
 runs hold the same ones, about one suffix in twenty words. Suffixes whose first GRAM words occur once
 in the corpus drop out by a count.
 
-The rest are found in two ways. Suffixes whose first GRAM words occur up to FEW times are sorted by their
-words, and each is compared with the NEIGHBOURS after it, also across the edges of partitions; FEW is so
-small that these are all pairs of such a group. Matches are extended to the right and to the left; a match
-of MIN_WORDS words or more marks its run of words in both texts. Where more suffixes begin alike, no order
-brings all partners together, so there every window of MIN_WORDS words that covers the suffix's first GRAM
-words is named by a hash, and a window whose hash occurs at two places is marked. A repeated window holds
+The rest are found in two ways. Suffixes whose first GRAM words occur up to FEW times are dealt by the hash
+of these words and sorted by their words inside each partition, so that all suffixes that begin alike are
+neighbours there, and each is compared with those after it. Matches are extended to the right and to the left; a match
+of MIN_WORDS words or more marks its run of words in both texts. Where more suffixes begin alike, comparing all
+would be quadratic, so there every window of MIN_WORDS words that covers the suffix's first GRAM
+words is named by a hash, and a window whose hash occurs at two places is marked. The same holds for a run of one
+repeated sequence, which meets itself. A repeated window holds
 one of the two kinds of suffix in both places, so none is missed. Marked runs of a text are merged. Words
 compare by 32-bit hashes, windows by 64-bit ones; a match needs at least MIN_WORDS words and a 64-bit hash
 of the first GRAM.
@@ -32,8 +33,8 @@ from lectern.llm.ngram_join import bounded_batches
 
 MIN_WORDS, GRAM = 50, 10
 WINDOW = MIN_WORDS - GRAM + 1
-NEIGHBOURS = 8
-FEW = NEIGHBOURS + 1
+#: So many suffixes that begin alike are compared with one another: FEW * (FEW - 1) / 2 comparisons at most.
+FEW = 9
 _SUFFIX = "g long, right binary, left binary, id long, pos int"
 _GRAM_KEYS = shingles.mix(np.arange(1, GRAM + 1, dtype=np.uint64)) | np.uint64(1)
 
@@ -56,14 +57,15 @@ def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[:n], ahead[width - 1 : width - 1 + n])
 
 
-def selected(w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of a text's suffixes and the hashes of their first GRAM words; none under MIN_WORDS words.
+def selected(w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Positions of a text's suffixes, the hashes of their first GRAM words and how often each counts; none under MIN_WORDS words.
 
     In a run of one repeated word only its first position competes; where a whole window lies in such
-    a run, every WINDOW-th position of the run is taken.
+    a run, every WINDOW-th position of the run is taken. A position inside a run, or at its head, stands for more
+    than FEW that begin alike.
     """
     if len(w) < MIN_WORDS:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int32)
     g = _gram_hashes(w)
     top = np.iinfo(np.uint64).max
     again = np.concatenate([[False], g[1:] == g[:-1]])
@@ -77,21 +79,20 @@ def selected(w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         begin = np.maximum.accumulate(np.where(again, 0, np.arange(len(g))))
         take |= again & ((np.arange(len(g)) - begin) % WINDOW == 0)
     at = np.flatnonzero(take)
-    return at, g[at]
+    run = again | np.concatenate([again[1:], [False]])
+    return at, g[at], np.where(run[at], FEW + 1, 1).astype(np.int32)
 
 
 def _positions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, text) in; (g, id, pos) of every selected suffix out."""
+    """(id, text) in; (g, id, pos, times) of every selected suffix out."""
     for batch in batches:
         for lo in range(0, len(batch), 512):
             part = batch.slice(lo, 512)
             w, at = shingles.words(part.column(1))
             found = [selected(w[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
-            sizes = [len(p) for p, _ in found]
-            ids = np.repeat(np.array(part.column(0).to_pylist(), np.int64), sizes)
-            pos = np.concatenate([p for p, _ in found]).astype(np.int32)
-            g = np.concatenate([x for _, x in found]).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(ids), pa.array(pos)], ["g", "id", "pos"])
+            pos, g, times = (np.concatenate(x) for x in zip(*found, strict=True))
+            ids = np.repeat(np.array(part.column(0).to_pylist(), np.int64), [len(x[0]) for x in found])
+            yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(ids), pa.array(pos.astype(np.int32)), pa.array(times)], ["g", "id", "pos", "times"])
 
 
 def _windows(w: np.ndarray, anchors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -125,7 +126,7 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 own = w[a:b]
                 if len(own) < MIN_WORDS:
                     continue
-                there, g = selected(own)
+                there, g, _ = selected(own)
                 covering = _windows(own, there[np.isin(there, np.array(frequent[i], np.int64))])
                 for k in range(0, len(covering[0]), 1 << 16):
                     start, h = (x[k : k + (1 << 16)] for x in covering)
@@ -180,8 +181,8 @@ class _Rows:
         return _Rows(*(np.concatenate(p) for p in pairs))
 
     def spans(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """(id, start, end) of both sides of every match between rows up to NEIGHBOURS apart."""
-        for t in range(1, min(NEIGHBOURS, len(self.g) - 1) + 1):
+        """(id, start, end) of both sides of every match between rows of one g, of which there are FEW at most."""
+        for t in range(1, min(FEW, len(self.g))):
             at = np.flatnonzero(self.g[:-t] == self.g[t:])
             for lo in range(0, len(at), 1 << 13):
                 i = at[lo : lo + (1 << 13)]
@@ -196,56 +197,20 @@ class _Rows:
 def _span_batch(found: list) -> pa.RecordBatch:
     ident, start, end = (np.concatenate(x) for x in zip(*found, strict=True))
     rows = np.unique(np.stack([ident, start, end]), axis=1)
-    return pa.RecordBatch.from_arrays(
-        [pa.array(rows[0]), pa.array(rows[1].astype(np.int32)), pa.array(rows[2].astype(np.int32)), pa.nulls(rows.shape[1], pa.binary())], ["id", "start", "end", "edge"]
-    )
-
-
-def _edge_batch(rows: _Rows) -> pa.RecordBatch:
-    """Rows at a partition's edge, packed in one binary column."""
-    packed = [b"".join((int(rows.g[i]).to_bytes(8, "big", signed=True), rows.right[i].tobytes(), rows.left[i].tobytes(), int(rows.id[i]).to_bytes(8, "big", signed=True), int(rows.pos[i]).to_bytes(4, "big"))) for i in range(len(rows.g))]
-    n = len(packed)
-    return pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()), pa.array(packed, pa.binary())], ["id", "start", "end", "edge"])
-
-
-def _edge_rows(packed: list[bytes]) -> _Rows:
-    w = 4 * MIN_WORDS
-    g = np.array([int.from_bytes(p[:8], "big", signed=True) for p in packed], np.int64)
-    right = np.frombuffer(b"".join(p[8 : 8 + w] for p in packed), ">u4").reshape(-1, MIN_WORDS)
-    left = np.frombuffer(b"".join(p[8 + w : 8 + 2 * w] for p in packed), ">u4").reshape(-1, MIN_WORDS)
-    ident = np.array([int.from_bytes(p[8 + 2 * w : 16 + 2 * w], "big", signed=True) for p in packed], np.int64)
-    pos = np.array([int.from_bytes(p[16 + 2 * w :], "big") for p in packed], np.int64)
-    return _Rows(g, right, left, ident, pos)
+    return pa.RecordBatch.from_arrays([pa.array(rows[0]), pa.array(rows[1].astype(np.int32)), pa.array(rows[2].astype(np.int32))], ["id", "start", "end"])
 
 
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted suffix rows in; spans out, and the first and last rows of the partition for its neighbours."""
+    """Sorted suffix rows in; spans out. The last rows of a batch wait for the next one, since a g may go on there."""
     held: _Rows | None = None
-    head: _Rows | None = None
     for batch in batches:
         if not len(batch):
             continue
-        rows = _Rows.of(batch)
-        if head is None or len(head.g) < NEIGHBOURS:
-            head = rows.take(slice(0, NEIGHBOURS)) if head is None else (head + rows).take(slice(0, NEIGHBOURS))
-        whole = rows if held is None else held + rows
-        found = list(whole.spans())
-        found = [f for f in found if len(f[0])]
-        if found:
-            yield _span_batch(found)
-        held = whole.take(slice(max(0, len(whole.g) - NEIGHBOURS), None))
-    if head is not None:
-        yield _edge_batch(head)
-        yield _edge_batch(held)
-
-
-def _edges_compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Edge rows in order in; spans out. There are 2 * NEIGHBOURS rows for each partition."""
-    packed = [x for b in batches for x in b.column(0).to_pylist()]
-    if packed:
-        found = [f for f in _edge_rows(packed).spans() if len(f[0])]
+        whole = _Rows.of(batch) if held is None else held + _Rows.of(batch)
+        found = [f for f in whole.spans() if len(f[0])]
         if found:
             yield _span_batch(found)
+        held = whole.take(slice(max(0, len(whole.g) - FEW), None))
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -260,9 +225,9 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     bounded_batches(spark)
     spark.conf.set("spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold", "16MB")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).filter("id IS NOT NULL AND text IS NOT NULL")
-    sparse = durable(texts.mapInArrow(_positions, "g long, id long, pos int"), "suffix-positions")
+    sparse = durable(texts.mapInArrow(_positions, "g long, id long, pos int, times int"), "suffix-positions")
     # written first, so that the join shuffles both sides by itself and Spark can split the partition of a very common start
-    common = durable(sparse.groupBy("g").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "suffix-common")
+    common = durable(sparse.groupBy("g").agg(F.sum("times").alias("n")).filter("n > 1"), "suffix-common")
     few, many = F.when(F.col("n") <= FEW, F.col("pos")), F.when(F.col("n") > FEW, F.col("pos"))
     wanted = sparse.join(common, "g").groupBy("id").agg(F.collect_set(few).alias("at"), F.collect_set(many).alias("frequent"), F.count(F.lit(1)).alias("n"))  # at most the positions of one text
     wanted = durable(wanted, "suffix-wanted")
@@ -273,14 +238,8 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     twice = durable(windows.groupBy("g").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first <> last").select("g"), "suffix-windows")
     covered = windows.join(twice, "g").select("id", "start", (F.col("start") + MIN_WORDS).alias("end"))
     order = ["g", "right", "left", "id", "pos"]
-    compared = suffixes.repartitionByRange(*order).sortWithinPartitions(*order).select(order).mapInArrow(_compared, "id long, start int, end int, edge binary")
-    compared = durable(compared, "suffix-matches")
-    signed = F.substring("edge", 1, 8)
-    edges = compared.filter("edge IS NOT NULL").select("edge", F.conv(F.hex(signed), 16, -10).cast("long").alias("g")).distinct()
-    edges = edges.repartition(1).sortWithinPartitions("g", F.substring("edge", 9, 8 * MIN_WORDS), "edge").select("edge")
-    spans = compared.filter("edge IS NULL").select("id", "start", "end").unionByName(
-        edges.mapInArrow(_edges_compared, "id long, start int, end int, edge binary").select("id", "start", "end")
-    ).unionByName(covered)
+    alike = suffixes.repartition("g").sortWithinPartitions(*order).select(order)  # up to FEW rows a g: no partition is much larger than others
+    spans = alike.mapInArrow(_compared, "id long, start int, end int").unionByName(covered)
     before = W.partitionBy("id").orderBy("start", "end").rowsBetween(W.unboundedPreceding, -1)
     marked = spans.groupBy("id", "start").agg(F.max("end").alias("end")).withColumn("fresh", (F.col("start") > F.coalesce(F.max("end").over(before), F.lit(-1))).cast("int"))
     runs = marked.withColumn("run", F.sum("fresh").over(W.partitionBy("id").orderBy("start", "end").rowsBetween(W.unboundedPreceding, 0)))

@@ -359,9 +359,11 @@ def brute_repeats(rows):
 
 
 def test_repeated_passages(spark, corpus):
-    rows = [r for r in corpus if "x x x" not in (r[1] or "") and "y y y" not in (r[1] or "")]
+    rows = [*corpus, (700, "z " * 55), (701, "p q " * 40), (702, "one " * 49), (703, "a b c d e f g h i j k l m n " * 4), (704, "once " * 50)]
     got = {(r.doc_id, r.start_word, r.end_word) for r in suffix_dedup.repeated_passages(frame(spark, rows)).collect()}
     assert got == brute_repeats(rows) and len(got) > 30
+    twice = {(r.doc_id, r.start_word, r.end_word) for r in suffix_dedup.repeated_passages(frame(spark, [*rows, rows[0], rows[-1]])).collect()}
+    assert twice == got
     assert suffix_dedup.repeated_passages(frame(spark, [])).count() == 0
     assert suffix_dedup.repeated_passages(frame(spark, [(None, "a " * 80), (1, None), (2, "b")])).count() == 0
 
