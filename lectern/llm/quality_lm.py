@@ -1,41 +1,43 @@
-"""Quality classifier: perplexity under interpolated modified Kneser-Ney word trigrams, scored by count joins.
+"""Quality classifier: perplexity under interpolated modified Kneser-Ney word bigrams, scored by count joins.
 
 The model of a language is trained on its trusted text, that is text whose label says good quality and
-not toxic. Words are named by 64-bit hashes that hold the language too. Trigram counts are summed in
+not toxic. Words are named by 40-bit hashes that hold the language too. Bigram counts are summed in
 shards of their key; continuation counts, discounts and back-off weights are aggregates and joins over
 them, and no table of the model reaches the driver or a task whole.
 
-The log-probability of a text is a sum of one weight for each of its n-grams of order 1, 2 and 3: a
-trigram's weight is its log-probability less what its absence would give (the back-off weight of its
-context, and the bigram), likewise a bigram's, and an n-gram's own back-off weight is added to it as a
-context. So texts send (n-gram, row, count) once, meet the weights in one join by key, and are summed by
+The log-probability of a text is a sum of one weight for each of its words and pairs of words: a
+pair's weight is its log-probability less what its absence would give (the back-off weight of the first
+word, and the second word's own), and a word's is the logarithm of its own probability and of its back-off
+weight. So a text's distinct words and pairs meet their weights by key and are summed by
 row; what the model does not hold adds 0, or for a word the cost of an unknown one.
 
+The weights of the most frequent words and pairs, HEAD of them at most, go to every task, which settles most of
+a text at once. The rest, most of the model, lies in shards: a table bucketed by key, which the other pairs of the texts are
+shuffled to. Counts, weights and texts go through in SLICES parts, so that the files of one are gone before the next
+comes: the disk then holds about one copy of the model and a part of the keys of the texts.
+
 One in HELD_OUT trusted documents is not trained on. Their perplexities, which are not lowered by having
 been seen, give each language its upper limit; the lower one comes from all trusted documents.
-
-``train`` builds the earlier model of folded bytes; the classifier does not use it any more.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm import shingles
-from lectern.llm.common import WORD, durable, ids_beside, table, unit_hash
+from lectern.llm.common import WORD, durable, ids_beside, release, remove, settings, shared_dir, table, unit_hash
 from lectern.llm.ngram_join import bounded_batches
 from lectern.llm.shingles import text_bytes
 
-SYMBOLS = 96
-START = 0
-MAX_LANGUAGES = 15
 POOLED = "*"
 #: Share of a language's trusted documents that lies below the lower limit, and beyond the upper one where no label says bad quality.
 TAIL = 0.002
@@ -45,168 +47,24 @@ TAILS = (TAIL, 0.005, 0.01, 0.02, 0.05)
 SHRINK = 20
 #: One in so many trusted documents is kept from training, to set the limits.
 HELD_OUT = 5
-PIECE = 1 << 18
+#: So many weights at most go to every task (some 17 MB); all others are joined.
+HEAD = 1 << 20
+#: Parts in which counts, weights and texts pass.
+SLICES = 4
+_ID_BITS = 40
 _MARKS = shingles.mix(np.array([1, 2], np.uint64))  # START and END among the words
-_KEYS = shingles.mix(np.arange(1, 4, dtype=np.uint64)) | np.uint64(1)
-
-
-def _classes() -> np.ndarray:
-    out = np.zeros(256, np.int32)
-    for i, b in enumerate(range(97, 123)):
-        out[b] = 1 + i
-    out[65:91] = 27
-    out[48:58] = 28
-    out[[9, 11, 12, 32]] = 29
-    out[[10, 13]] = 30
-    marks = [b for b in range(33, 127) if not chr(b).isalnum()]
-    for i, b in enumerate(marks):
-        out[b] = 31 + i
-    rest = 31 + len(marks)
-    others = [b for b in range(256) if not out[b]]
-    for i, b in enumerate(others):
-        out[b] = rest + i % (SYMBOLS - rest)
-    return out
-
-
-_CLASS = _classes()
-
-
-def _codes(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Pieces of a text column: first and last row, trigram codes of each symbol, and the rows' offsets.
-
-    A text of any length is one or several pieces; each symbol is coded with the two before it.
-    """
-    data, at = text_bytes(column)
-    row = 0
-    while row < len(at) - 1:
-        last = max(row + 1, int(np.searchsorted(at, at[row] + PIECE, "right")) - 1)
-        for lo in range(at[row], max(at[last], at[row] + 1), 4 * PIECE):  # several only where one text is longer than that
-            hi = min(at[last], lo + 4 * PIECE)
-            sym = _CLASS[data[lo:hi]]
-            begins = at[row:last] - lo
-            begins = begins[(begins >= 0) & (begins < hi - lo)]
-            one, two = np.empty_like(sym), np.empty_like(sym)
-            if len(sym):
-                one[1:], two[2:] = sym[:-1], sym[:-2]
-                one[0] = two[0] = START
-                if len(sym) > 1:
-                    two[1] = START
-                if lo > at[row]:  # inside a text: its earlier symbols are known
-                    one[0] = _CLASS[data[lo - 1]]
-                    two[0] = _CLASS[data[lo - 2]]
-                    if len(sym) > 1:
-                        two[1] = one[0]
-                one[begins] = two[begins] = START
-                later = begins[begins + 1 < len(sym)] + 1
-                two[later] = START
-            yield row, last, (two * SYMBOLS + one) * SYMBOLS + sym, np.clip(at[row : last + 1] - lo, 0, len(sym))
-        row = last
-
-
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Trigram counts by language of one task's texts: (lang, text) in, (lang, code, n) out."""
-    counts: dict[str, np.ndarray] = {}
-    for batch in batches:
-        langs = np.array([x or POOLED for x in batch.column(0).to_pylist()], object)
-        for lang in set(langs):
-            column = batch.column(1).filter(pa.array(langs == lang))
-            total = counts.setdefault(lang, np.zeros(SYMBOLS**3, np.int64))
-            for _, _, codes, _ in _codes(column):
-                total += np.bincount(codes, minlength=SYMBOLS**3)
-        if len(counts) > 4:  # memory stays bounded, whatever the number of languages
-            yield from _count_rows(counts)
-            counts = {}
-    yield from _count_rows(counts)
-
-
-def _count_rows(counts: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
-    for lang, total in counts.items():
-        at = np.flatnonzero(total)
-        if len(at):
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array(at), pa.array(total[at])], ["lang", "code", "n"])
-
-
-def _discounts(counts: DataFrame) -> DataFrame:
-    """Modified Kneser-Ney discounts d1, d2 and d3 (of counts of 1, 2 and 3 or more) by language, one small row each."""
-    cc = counts.groupBy("lang").agg(*[F.count_if(F.col("n") == k).cast("double").alias(f"n{k}") for k in (1, 2, 3, 4)])
-    y = F.when(F.col("n1") > 0, F.col("n1") / (F.col("n1") + 2 * F.col("n2"))).otherwise(F.lit(0.5))
-
-    def discount(k: int) -> Column:
-        below, above = F.col(f"n{k}"), F.col(f"n{k + 1}")
-        return F.when(below > 0, F.greatest(F.lit(0.05), F.least(F.lit(k - 0.05), k - (k + 1) * y * above / below))).otherwise(F.lit(k * 0.6))
-
-    rows = cc.select("lang", *[discount(k).alias(f"d{k}") for k in (1, 2, 3)]).collect()  # MAX_LANGUAGES + 1 rows at most
-    return counts.sparkSession.createDataFrame(rows, "lang string, d1 double, d2 double, d3 double")
-
-
-def _discounted(counts: DataFrame, context: list[str]) -> DataFrame:
-    """Discounted counts n by context: p (without lower orders) and back (the weight of these).
-
-    ``counts`` comes partitioned by a part of the context, so that sums over a context move no rows.
-    """
-    d = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
-    rated = counts.join(F.broadcast(_discounts(counts)), "lang").withColumn("d", d)
-    within = Window.partitionBy("lang", *context)
-    total, taken = F.sum("n").over(within), F.sum("d").over(within)
-    return rated.select("lang", *context, "c", ((F.col("n") - F.col("d")) / total).alias("p"), (taken / total).alias("back"))
-
-
-def kneser_ney(counts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Tables of the three orders from trigram counts (lang, code, n): p of what was seen, back of its context.
-
-    One shuffle by language and middle symbol serves trigrams and bigrams; it has SYMBOLS ** 2 rows a key at most.
-    """
-    a, b, c = F.floor(F.col("code") / SYMBOLS**2).cast("int"), F.pmod(F.floor(F.col("code") / SYMBOLS), F.lit(SYMBOLS)).cast("int"), F.pmod("code", F.lit(SYMBOLS)).cast("int")
-    three = counts.select("lang", a.alias("a"), b.alias("b"), c.alias("c"), "n").repartition("lang", "b")
-    two = durable(three.groupBy("lang", "b", "c").agg(F.count(F.lit(1)).alias("n")), "lm-pairs")  # continuation counts: contexts to the left
-    one = durable(two.groupBy("lang", "c").agg(F.count(F.lit(1)).alias("n")), "lm-singles")
-    return _discounted(three, ["a", "b"]), _discounted(two, ["b"]), _discounted(one, [])
-
-
-def train(trusted: DataFrame) -> dict[str, np.ndarray]:
-    """Negative log-probabilities by language, dense over trigram codes; ``trusted``: lang, text.
-
-    The largest MAX_LANGUAGES languages have a model of their own; POOLED is over all trusted text.
-    """
-    counts = trusted.mapInArrow(_counted, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
-    counts = durable(counts, "lm-counts")
-    sizes = counts.groupBy("lang").agg(F.sum("n").alias("s")).filter(F.col("lang") != POOLED).orderBy(F.desc("s"), "lang").limit(MAX_LANGUAGES)
-    own = [r["lang"] for r in sizes.collect()]
-    pooled = counts.groupBy("code").agg(F.sum("n").alias("n")).select(F.lit(POOLED).alias("lang"), "code", "n")
-    used = durable(counts.filter(F.col("lang").isin(own)).unionByName(pooled) if own else pooled, "lm-used")
-    three, two, one = (x.toPandas() for x in kneser_ney(used))  # bounded by SYMBOLS ** 3 for each language
-    models = {}
-    for lang in [*own, POOLED]:
-        p1 = np.full(SYMBOLS, 1.0 / SYMBOLS)
-        t = one[one.lang == lang]
-        if len(t):
-            p1 *= t.back.iloc[0]
-            p1[t.c.to_numpy()] += t.p.to_numpy()
-        p2 = np.tile(p1, (SYMBOLS, 1))
-        t = two[two.lang == lang]
-        w = np.ones(SYMBOLS)
-        w[t.b.to_numpy()] = t.back.to_numpy()
-        p2 *= w[:, None]
-        p2[t.b.to_numpy(), t.c.to_numpy()] += t.p.to_numpy()
-        p3 = np.tile(p2, (SYMBOLS, 1, 1))
-        t = three[three.lang == lang]
-        w = np.ones((SYMBOLS, SYMBOLS))
-        w[t.a.to_numpy(), t.b.to_numpy()] = t.back.to_numpy()
-        p3 *= w[:, :, None]
-        p3[t.a.to_numpy(), t.b.to_numpy(), t.c.to_numpy()] += t.p.to_numpy()
-        models[lang] = (-np.log(p3)).astype(np.float32).ravel()
-    return models
+_KEYS = shingles.mix(np.arange(1, 3, dtype=np.uint64)) | np.uint64(1)
 
 
 def _named_words(column: pa.Array, langs: list) -> Iterator[np.ndarray]:
-    """For each text its words' hashes mixed with its language's, between two START and one END; none without words."""
+    """For each text its words' hashes mixed with its language's, between a START and an END; none without words."""
     data, offsets = text_bytes(column)
     starts, _, w = shingles.word_spans(data, offsets, shingles.PLAIN)
     at = np.searchsorted(starts, offsets)
     salts = {x: np.uint64(int.from_bytes(hashlib.blake2b((x or "").encode(), digest_size=8).digest(), "big")) for x in set(langs)}
     for i, (lo, hi) in enumerate(zip(at[:-1], at[1:], strict=True)):
         if hi > lo:
-            yield shingles.mix(np.concatenate([_MARKS[:1], _MARKS[:1], w[lo:hi], _MARKS[1:]]) ^ salts[langs[i]])
+            yield shingles.mix(np.concatenate([_MARKS[:1], w[lo:hi], _MARKS[1:]]) ^ salts[langs[i]]) >> np.uint64(64 - _ID_BITS)
         else:
             yield w[:0]
 
@@ -218,62 +76,113 @@ def _key(*words: np.ndarray) -> np.ndarray:
     return shingles.mix(out + np.uint64(len(words)))
 
 
-def _trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(lang, text) in; (lang, a, b, c, n) out, summed within some hundred texts."""
-    for batch in batches:
-        for lo in range(0, len(batch), 1024):
-            part = batch.slice(lo, 1024)
-            langs = part.column(0).to_pylist()
-            found: dict[str, list] = {}
-            for lang, x in zip(langs, _named_words(part.column(1), langs), strict=True):
-                if len(x):
-                    found.setdefault(lang, []).append(np.stack([x[:-2], x[1:-1], x[2:]]))
-            for lang, parts in found.items():
-                abc = np.concatenate(parts, axis=1)
-                _, first, n = np.unique(_key(*abc), return_index=True, return_counts=True)
-                abc = abc[:, first].view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n)), *(pa.array(x) for x in abc), pa.array(n)], ["lang", "a", "b", "c", "n"])
-
-
-def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(row, model, text) in; (k, row, n) of each text's distinct n-grams of the three orders out."""
-    for batch in batches:
-        for lo in range(0, len(batch), 256):
-            part = batch.slice(lo, 256)
-            rows, langs = part.column(0).to_numpy(), part.column(1).to_pylist()
-            ks, rs, ns = [], [], []
-            for row, x in zip(rows, _named_words(part.column(2), langs), strict=True):
+def _bigrams(part: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(lang, text) in; (lang, b, c, n) of the pairs whose second word falls to a slice out, summed within some hundred texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, len(batch), 1024):
+                piece = batch.slice(lo, 1024)
+                langs = piece.column(0).to_pylist()
+                found: dict[str, list] = {}
+                for lang, x in zip(langs, _named_words(piece.column(1), langs), strict=True):
+                    if len(x):
+                        pairs = np.stack([x[:-1], x[1:]])
+                        found.setdefault(lang, []).append(pairs[:, x[1:] % np.uint64(SLICES) == part])
+                for lang, parts in found.items():
+                    pairs = np.concatenate(parts, axis=1)
+                    _, first, n = np.unique(_key(*pairs), return_index=True, return_counts=True)
+                    pairs = pairs[:, first].view(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n)), *(pa.array(x) for x in pairs), pa.array(n.astype(np.int32))], ["lang", "b", "c", "n"])
+
+    return run
+
+
+class _Head:
+    """The most frequent weights as arrays sorted by key."""
+
+    def __init__(self, rows: pa.Table):
+        k = rows["k"].to_numpy().view(np.uint64)
+        order = np.argsort(k)
+        self.k, self.v, self.u = k[order], rows["v"].to_numpy()[order], rows["u"].to_numpy()[order].astype(np.int8)
+
+    def places(self, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Place of each key, and whether it is there."""
+        if not len(self.k):
+            return np.zeros(len(k), np.int64), np.zeros(len(k), bool)
+        at = np.minimum(np.searchsorted(self.k, k), len(self.k) - 1)
+        return at, self.k[at] == k
+
+
+def _keys_of(x: np.ndarray) -> np.ndarray:
+    return np.concatenate([_key(x), _key(x[:-1], x[1:])])
+
+
+def _heads(sent) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(id, lang, row, model, text) in; in place of the text the number of words and the end, and the sums over the head out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head: _Head = sent.value
+        for batch in batches:
+            langs = batch.column(3).to_pylist()
+            symbols, s, known = np.zeros(len(batch), np.int64), np.zeros(len(batch)), np.zeros(len(batch), np.int64)
+            for i, x in enumerate(_named_words(batch.column(4), langs)):
                 if len(x):
-                    k, n = np.unique(np.concatenate([_key(x[1:]), _key(x[:-1], x[1:]), _key(x[:-2], x[1:-1], x[2:])]), return_counts=True)
-                    ks.append(k)
-                    rs.append(np.full(len(k), row))
-                    ns.append(n.astype(np.int32))
-            if ks:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ks).view(np.int64)), pa.array(np.concatenate(rs)), pa.array(np.concatenate(ns))], ["k", "row", "n"])
+                    at, there = head.places(_keys_of(x))
+                    at = at[there]
+                    symbols[i], s[i], known[i] = len(x) - 1, head.v[at].sum(), head.u[at].sum(dtype=np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(symbols), pa.array(s), pa.array(known)], ["id", "lang", "row", "model", "symbols", "s0", "known0"])
+
+    return run
 
 
-def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, lang, row, model, text) in; the same with the number of words and the end in place of the text."""
-    for batch in batches:
-        data, offsets = text_bytes(batch.column(4))
-        starts, _, _ = shingles.word_spans(data, offsets, shingles.PLAIN)
-        n = np.diff(np.searchsorted(starts, offsets))
-        yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(np.where(n > 0, n + 1, 0))], ["id", "lang", "row", "model", "symbols"])
+def _tails(sent) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(row, model, text) in; (k, row, n) of each text's distinct words and pairs that the head does not hold out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head: _Head = sent.value
+        for batch in batches:
+            for lo in range(0, len(batch), 256):
+                part = batch.slice(lo, 256)
+                rows, langs = part.column(0).to_numpy(), part.column(1).to_pylist()
+                ks, rs, ns = [], [], []
+                for row, x in zip(rows, _named_words(part.column(2), langs), strict=True):
+                    if len(x):
+                        k, n = np.unique(_keys_of(x), return_counts=True)
+                        rest = ~head.places(k)[1]
+                        ks.append(k[rest])
+                        ns.append(n[rest].astype(np.int32))
+                        rs.append(np.full(len(ns[-1]), row))
+                if ks:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ks).view(np.int64)), pa.array(np.concatenate(rs)), pa.array(np.concatenate(ns))], ["k", "row", "n"])
+
+    return run
 
 
 def _keyed(df: DataFrame, words: list[str]) -> DataFrame:
-    """(k, v, u) from rows of words with their weight v and u, which is 1 for a known word."""
+    """(k, v, u, f) from rows of words with their weight v, u, which is 1 for a known word, and the class f of their count."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cols = [c.to_numpy().view(np.uint64) for c in batch.columns[: len(words)]]
-            yield pa.RecordBatch.from_arrays([pa.array(_key(*cols).view(np.int64)), *batch.columns[len(words) :]], ["k", "v", "u"])
+            yield pa.RecordBatch.from_arrays([pa.array(_key(*cols).view(np.int64)), *batch.columns[len(words) :]], ["k", "v", "u", "f"])
+
+    return df.select(*words, "v", "u", "f").mapInArrow(run, "k long, v double, u int, f int")
+
+
+def _class(n: Column) -> Column:
+    """Counts in classes that grow by an eighth of a doubling: a few hundred of them."""
+    return F.floor(F.log2(n) * 8).cast("int")
 
-    return df.select(*words, "v", "u").mapInArrow(run, "k long, v double, u int")
 
+def _with_discounts(counts: DataFrame, rows: DataFrame) -> DataFrame:
+    """``counts`` with the discount d of each row."""
+    d = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
+    return counts.join(rows, "lang").withColumn("d", d).drop("d1", "d2", "d3")
 
-def _discounted_words(counts: DataFrame) -> DataFrame:
-    """``counts`` with the discount d of each row; the discounts are one row a language."""
+
+def _discounts(counts: DataFrame) -> DataFrame:
+    """Modified Kneser-Ney discounts d1, d2 and d3 (of counts of 1, 2 and 3 or more), a row for each language."""
     cc = counts.groupBy("lang").agg(*[F.count_if(F.col("n") == k).cast("double").alias(f"n{k}") for k in (1, 2, 3, 4)])
     y = F.when(F.col("n1") > 0, F.col("n1") / (F.col("n1") + 2 * F.col("n2"))).otherwise(F.lit(0.5))
 
@@ -281,50 +190,93 @@ def _discounted_words(counts: DataFrame) -> DataFrame:
         below, above = F.col(f"n{k}"), F.col(f"n{k + 1}")
         return F.when(below > 0, F.greatest(F.lit(0.05), F.least(F.lit(k - 0.05), k - (k + 1) * y * above / below))).otherwise(F.lit(k * 0.6))
 
-    rows = durable(cc.select("lang", *[discount(k).alias(f"d{k}") for k in (1, 2, 3)]), "lm-discounts")
-    d = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
-    return counts.join(rows, "lang").withColumn("d", d).drop("d1", "d2", "d3")
-
-
-def word_model(trusted: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Weights (k, v, u) of all n-grams of ``trusted`` (lang, text), and the cost of an unknown word (lang, unknown)."""
-    total = (F.sum("n").cast("double").alias("total"), F.sum("d").alias("taken"))
-    three = durable(trusted.mapInArrow(_trigrams, "lang string, a long, b long, c long, n long").groupBy("lang", "a", "b", "c").agg(F.sum("n").alias("n")), "lm-three")
-    two = durable(three.groupBy("lang", "b", "c").agg(F.count(F.lit(1)).alias("n")), "lm-two")
-    one = durable(two.groupBy("lang", "c").agg(F.count(F.lit(1)).alias("n")), "lm-one")
-    three, two, one = (_discounted_words(x) for x in (three, two, one))
-
-    whole = one.groupBy("lang").agg(*total, F.count(F.lit(1)).alias("types"))
-    unknown = durable(whole.select("lang", "total", (F.col("taken") / F.col("total") / (F.col("types") + 1)).alias("base")), "lm-unknown")
-    p1 = durable(one.join(unknown, "lang").select("c", ((F.col("n") - F.col("d")) / F.col("total") + F.col("base")).alias("p1")), "lm-p1")
-    back = (F.col("taken") / F.col("total"))
-    back1 = durable(two.groupBy("b").agg(*total).select("b", "total", back.alias("back1")), "lm-back1")
-    back2 = durable(three.groupBy("a", "b").agg(*total).select("a", "b", "total", back.alias("back2")), "lm-back2")
-    share = (F.col("n") - F.col("d")) / F.col("total")
-    p2 = two.join(back1, "b").join(p1, "c").select("b", "c", (share + F.col("back1") * F.col("p1")).alias("p2"), (F.col("back1") * F.col("p1")).alias("without"))
-    p2 = durable(p2, "lm-p2")
-    p3 = three.join(back2, ["a", "b"]).join(p2, ["b", "c"]).select("a", "b", "c", F.log1p(share / (F.col("back2") * F.col("p2"))).alias("v"), F.lit(0).alias("u"))
-
-    ones = p1.select("c", F.log("p1").alias("v"), F.lit(1).alias("u")).unionByName(back1.select(F.col("b").alias("c"), F.log("back1").alias("v"), F.lit(0).alias("u")))
-    twos = p2.select("b", "c", F.log(F.col("p2") / F.col("without")).alias("v"), F.lit(0).alias("u"))
-    twos = twos.unionByName(back2.select(F.col("a").alias("b"), F.col("b").alias("c"), F.log("back2").alias("v"), F.lit(0).alias("u")))
-    lower = _keyed(ones, ["c"]).unionByName(_keyed(twos, ["b", "c"])).groupBy("k").agg(F.sum("v").alias("v"), F.max("u").alias("u"))
-    return durable(lower.unionByName(_keyed(p3, ["a", "b", "c"])), "lm-weights"), unknown.select("lang", (-F.log("base")).alias("unknown"))
-
-
-def score(texts: DataFrame, weights: DataFrame, unknown: DataFrame) -> DataFrame:
+    return durable(cc.select("lang", *[discount(k).alias(f"d{k}") for k in (1, 2, 3)]), "lm-discounts")
+
+
+class WordModel:
+    """The weights of ``trusted`` (lang, text): ``sent``, a broadcast of the head, the bucketed table of the rest, and ``unknown`` (lang, unknown)."""
+
+    def __init__(self, trusted: DataFrame):
+        spark = trusted.sparkSession
+        self.spark = spark
+        counted = "lang string, b long, c long, n int"
+        parts = [
+            durable(trusted.mapInArrow(_bigrams(i), counted).groupBy("lang", "b", "c").agg(F.sum("n").cast("int").alias("n")).sortWithinPartitions("lang", "b", "c"), "lm-pairs", compression="zstd")
+            for i in range(SLICES)
+        ]
+        two = reduce(DataFrame.unionByName, parts)
+        one = durable(two.groupBy("lang", "c").agg(F.count(F.lit(1)).alias("n")), "lm-words")  # continuation counts: contexts to the left
+        d1, d2 = _discounts(one), _discounts(two)
+        rated = _with_discounts(one, d1)
+        whole = rated.groupBy("lang").agg(F.sum("n").cast("double").alias("total"), F.sum("d").alias("taken"), F.count(F.lit(1)).alias("types"))
+        bases = durable(whole.select("lang", "total", (F.col("taken") / F.col("total") / (F.col("types") + 1)).alias("base")), "lm-unknown")
+        self.unknown = bases.select("lang", (-F.log("base")).alias("unknown"))
+        p1 = durable(rated.join(bases, "lang").select("c", ((F.col("n") - F.col("d")) / F.col("total") + F.col("base")).alias("p1")), "lm-p1")
+        back = durable(_with_discounts(two, d2).groupBy("b").agg(F.sum("n").alias("total"), F.sum("d").alias("taken")), "lm-back")
+        release(one)
+
+        words = p1.select(F.col("c").alias("w"), F.log("p1").alias("v"), F.lit(1).alias("u"), F.lit(1).cast("long").alias("f"))
+        words = words.unionByName(back.select(F.col("b").alias("w"), F.log(F.col("taken") / F.col("total")).alias("v"), F.lit(0).alias("u"), F.col("total").alias("f")))
+        words = words.groupBy("w").agg(F.sum("v").alias("v"), F.max("u").alias("u"), _class(F.max("f")).alias("f"))
+        sizes = two.groupBy(_class(F.col("n")).alias("f")).count().unionByName(words.groupBy("f").count())
+        least, held = 0, 0
+        for r in sizes.groupBy("f").agg(F.sum("count").alias("n")).orderBy(F.desc("f")).collect():  # one row a class
+            held += r["n"]
+            if held > HEAD:
+                least = r["f"] + 1
+                break
+
+        name = f"lm_weights_{uuid.uuid4().hex}"
+        self.name, self.folder = name, f"{shared_dir(spark)}/{name}"
+        shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        heads: list[pa.Table] = []
+        for i, part in enumerate([None, *parts]):
+            if part is None:
+                each = _keyed(words, ["w"])
+            else:
+                share = (F.col("n") - F.col("d")) / (F.col("taken") * F.col("p1"))
+                each = _with_discounts(part, d2).join(back, "b").join(p1, "c").select("b", "c", F.log1p(share).alias("v"), F.lit(0).alias("u"), _class(F.col("n")).alias("f"))
+                each = _keyed(each, ["b", "c"])
+            each = durable(each, "lm-slice", compression="zstd")
+            if i:
+                release(part)
+            heads.append(each.filter(F.col("f") >= least).select("k", "v", "u").toArrow())  # HEAD rows at most in all
+            with settings(spark, spark__sql__classic__shuffleDependency__fileCleanup__enabled="true"):
+                rest = each.filter(F.col("f") < least).select("k", "v", F.col("u").cast("boolean").alias("u")).repartition(shards, "k")
+                rest.write.bucketBy(shards, "k").mode("append").option("path", self.folder).option("compression", "zstd").saveAsTable(name)
+            release(each)
+        release(p1, back, d1, d2)
+        self.sent = spark.sparkContext.broadcast(_Head(pa.concat_tables(heads)))
+        self.has_rest = not spark.table(name).isEmpty()
+
+    def drop(self) -> None:
+        """Delete the table; what was scored by it has been written."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+        remove(self.spark, self.folder)
+        self.sent.unpersist()
+
+
+def score(texts: DataFrame, model: WordModel) -> DataFrame:
     """id, lang, row, symbols (words and the end), nll of each text; ``texts``: id, lang, row, model, text.
 
-    Equal rows share a ``row``, so their sums are of all of them, as ``symbols`` of the sum is.
+    Equal rows share a ``row``, so their joined sums are of all of them and are divided by their number.
     """
-    sizes = durable(texts.select("id", "lang", "row", "model", "text").mapInArrow(_sizes, "id long, lang string, row long, model string, symbols long"), "lm-sizes")
-    grams = texts.filter("model IS NOT NULL").select("row", "model", "text").mapInArrow(_grams, "k long, row long, n int")
-    sums = grams.join(weights, "k").groupBy("row").agg(F.sum(F.col("n") * F.col("v")).alias("s"), F.sum(F.col("n") * F.col("u")).alias("known"))
-    times = sizes.groupBy("row").agg(F.count(F.lit(1)).alias("times"))
-    each = durable(sums.join(times, "row").select("row", (F.col("s") / F.col("times")).alias("s"), (F.col("known") / F.col("times")).alias("known")), "lm-sums")
-    nll = F.when(F.col("unknown").isNotNull(), (F.col("symbols") - F.coalesce("known", F.lit(0.0))) * F.col("unknown") - F.coalesce("s", F.lit(0.0)))
-    out = sizes.join(each, "row", "left").join(unknown.withColumnRenamed("lang", "model"), "model", "left")
-    return out.select("id", "lang", "row", "symbols", nll.alias("nll"))
+    kinds = "id long, lang string, row long, model string, symbols long, s0 double, known0 long"
+    sizes = durable(texts.select("id", "lang", "row", "model", "text").mapInArrow(_heads(model.sent), kinds), "lm-sizes")
+    parts = []
+    for i in range(SLICES if model.has_rest else 0):
+        some = texts.filter("model IS NOT NULL").filter(F.pmod("row", F.lit(SLICES)) == i).select("row", "model", "text")
+        met = some.mapInArrow(_tails(model.sent), "k long, row long, n int").join(texts.sparkSession.table(model.name), "k")
+        sums = met.groupBy("row").agg(F.sum(F.col("n") * F.col("v")).alias("s"), F.sum(F.when(F.col("u"), F.col("n")).otherwise(F.lit(0))).alias("known"))
+        parts.append(durable(sums, "lm-sums"))
+    out = sizes.join(model.unknown.withColumnRenamed("lang", "model"), "model", "left")
+    s, known = F.col("s0"), F.col("known0").cast("double")
+    if parts:
+        times = sizes.groupBy("row").agg(F.count(F.lit(1)).alias("times"))
+        each = reduce(DataFrame.unionByName, parts).join(times, "row").select("row", (F.col("s") / F.col("times")).alias("s"), (F.col("known") / F.col("times")).alias("known"))
+        out = out.join(each, "row", "left")
+        s, known = s + F.coalesce("s", F.lit(0.0)), known + F.coalesce("known", F.lit(0.0))
+    return out.select("id", "lang", "row", "symbols", ((F.col("symbols") - known) * F.col("unknown") - s).alias("nll"))
 
 
 def _shrunk(quantiles: DataFrame, pooled: Row, tails: int) -> DataFrame:
@@ -381,8 +333,10 @@ def classify(
     named = named.select("id", "lang", row_name(F.col("id"), F.col("lang"), F.col("text")).alias("row"), F.coalesce("own", F.lit(POOLED)).alias("model"), "text")
     if named.filter(F.col("model") == POOLED).limit(1).count():
         trained = trained.filter("lang IS NOT NULL").unionByName(trained.withColumn("lang", F.lit(POOLED)))
-    weights, unknown = word_model(trained)
-    scored = durable(score(named, weights, unknown), "lm-scores").withColumn("perplexity", F.when(F.col("symbols") > 0, F.exp(F.col("nll") / F.col("symbols"))))
+    model = WordModel(trained)
+    scored = durable(score(named, model), "lm-scores")
+    model.drop()
+    scored = scored.withColumn("perplexity", F.when(F.col("symbols") > 0, F.exp(F.col("nll") / F.col("symbols"))))
 
     seen = scored.filter("perplexity IS NOT NULL").join(trusted, "id")
     unseen = F.when(F.col("held"), F.col("perplexity"))

@@ -13,12 +13,11 @@ from lectern.llm import quality_lm
 
 
 def direct(train, text):
-    """Negative log-probability of a text under interpolated modified Kneser-Ney word trigrams."""
-    three, two, one = Counter(), Counter(), Counter()
+    """Negative log-probability of a text under interpolated modified Kneser-Ney word bigrams."""
+    two, one = Counter(), Counter()
     for t in train:
-        x = ["<s>", "<s>", *t.split(), "</s>"]
-        three.update(zip(x, x[1:], x[2:]))
-    two.update((b, c) for _, b, c in three)
+        x = ["<s>", *t.split(), "</s>"]
+        two.update(zip(x, x[1:], strict=False))
     one.update((c,) for _, c in two)
 
     def table(counts):
@@ -31,26 +30,30 @@ def direct(train, text):
             taken[g[:-1]] += d[min(v, 3)]
         return lambda g: (max(counts[g] - d[min(counts[g], 3)], 0) / total[g[:-1]], taken[g[:-1]] / total[g[:-1]]) if g[:-1] in total else (0.0, 1.0)
 
-    tables = [table(one), table(two), table(three)]
-    out, x = 0.0, ["<s>", "<s>", *text.split(), "</s>"]
-    for i in range(2, len(x)):
+    tables = [table(one), table(two)]
+    out, x = 0.0, ["<s>", *text.split(), "</s>"]
+    for i in range(1, len(x)):
         p = 1 / (len(one) + 1)
-        for k in range(3):
+        for k in range(2):
             own, back = tables[k](tuple(x[i - k : i + 1]))
             p = own + back * p
         out -= math.log(p)
     return out
 
 
-def test_scores_are_those_of_word_trigrams(spark):
+@pytest.mark.parametrize("head", [0, 20, 1 << 20])
+def test_scores_are_those_of_word_bigrams(spark, monkeypatch, head):
+    """Whether all weights are joined, some or none."""
+    monkeypatch.setattr(quality_lm, "HEAD", head)
     rng = random.Random(3)
     vocab = ["w%d" % i for i in range(12)]
     texts = [" ".join(rng.choice(vocab) for _ in range(rng.randrange(1, 15))) for _ in range(60)]
-    train, odd = texts[:40], ["", None, "new words only", "w1 new w2", texts[0], texts[0]]
-    weights, unknown = quality_lm.word_model(spark.createDataFrame([("en", t) for t in train], "lang string, text string").repartition(4))
+    train, odd = texts[:40], ["", None, "new words only", "w1 new w2", texts[0], texts[0], "long " * 200_000 + "w1 w2"]
+    model = quality_lm.WordModel(spark.createDataFrame([("en", t) for t in train], "lang string, text string").repartition(4))
+    assert model.has_rest == (head < 1 << 20)
     rows = [(i, "en", "en", t) for i, t in enumerate(texts + odd)] + [(7, "en", "en", texts[7])]
     docs = spark.createDataFrame(rows, "id long, lang string, model string, text string").withColumn("row", F.xxhash64("id", "lang", "text"))
-    got = quality_lm.score(docs, weights, unknown).collect()
+    got = quality_lm.score(docs, model).collect()
     assert len(got) == len(rows)
     for r in got:
         text = rows[r.id][3]
