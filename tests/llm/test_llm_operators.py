@@ -322,6 +322,11 @@ def test_decontamination(spark, corpus):
     got = {(r.doc_id, r.item_id): r.similarity for r in decontaminate.contaminated(frame(spark, rows), bench).collect()}
     want = brute_leaks([r for r in rows if r[0] is not None], items)
     assert got == pytest.approx(want) and len(got) > 20
+    long = [f"w{k % 50_000}" for k in range(100_000)]  # an item of 100,000 words, most of them twice, and a text that holds it
+    wide = spark.createDataFrame([(9, " ".join(long))], "item_id long, text string")
+    texts = [(1, " ".join(["x"] * 50 + long)), (2, " ".join(long[:40_000])), (3, "re " * 200_000), (3, None), (1, " ".join(long[:90_000])), (4, " ".join(long[:90_000])), (4, " ".join(long[:90_000]))]
+    told = sorted((r.doc_id, r.start, round(r.similarity, 3)) for r in decontaminate.contaminated(frame(spark, texts), wide).collect())
+    assert told == [(1, 50, 1.0), (4, 0, 0.9)]
     assert decontaminate.contaminated(frame(spark, []), bench).count() == 0
     assert decontaminate.contaminated(frame(spark, rows[:3]), bench.limit(0)).count() == 0
 
