@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm import shingles
-from lectern.llm.common import WORD, durable, ids_beside, release, remove, settings, shared_dir, table, unit_hash
+from lectern.llm.common import WORD, durable, ids_beside, release, remove, shared_dir, table, tidy_shuffles, unit_hash
 from lectern.llm.ngram_join import bounded_batches
 from lectern.llm.shingles import text_bytes
 
@@ -99,19 +99,29 @@ def _bigrams(part: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
 
 
 class _Head:
-    """The most frequent weights as arrays sorted by key."""
+    """The most frequent weights as arrays sorted by key, with the place where the keys of each leading bits begin."""
 
     def __init__(self, rows: pa.Table):
         k = rows["k"].to_numpy().view(np.uint64)
         order = np.argsort(k)
         self.k, self.v, self.u = k[order], rows["v"].to_numpy()[order], rows["u"].to_numpy()[order].astype(np.int8)
+        self.bits = max(1, min(22, 2 + len(k).bit_length()))
+        counts = np.bincount((self.k >> np.uint64(64 - self.bits)).astype(np.int64), minlength=1 << self.bits)
+        self.begin = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
 
     def places(self, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Place of each key, and whether it is there."""
-        if not len(self.k):
-            return np.zeros(len(k), np.int64), np.zeros(len(k), bool)
-        at = np.minimum(np.searchsorted(self.k, k), len(self.k) - 1)
-        return at, self.k[at] == k
+        """Place of each key, and whether it is there. Keys are hashes, so few share their leading bits."""
+        lead = (k >> np.uint64(64 - self.bits)).astype(np.int64)
+        at, ends = self.begin[lead], self.begin[lead + 1]
+        there = np.zeros(len(k), bool)
+        left = np.flatnonzero(at < ends)
+        while len(left):
+            hit = self.k[at[left]] == k[left]
+            there[left[hit]] = True
+            left = left[~hit]
+            at[left] += 1
+            left = left[at[left] < ends[left]]
+        return at, there
 
 
 def _keys_of(x: np.ndarray) -> np.ndarray:
@@ -148,11 +158,11 @@ def _tails(sent) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch
                 ks, rs, ns = [], [], []
                 for row, x in zip(rows, _named_words(part.column(2), langs), strict=True):
                     if len(x):
-                        k, n = np.unique(_keys_of(x), return_counts=True)
-                        rest = ~head.places(k)[1]
-                        ks.append(k[rest])
-                        ns.append(n[rest].astype(np.int32))
-                        rs.append(np.full(len(ns[-1]), row))
+                        k = _keys_of(x)
+                        k, n = np.unique(k[~head.places(k)[1]], return_counts=True)
+                        ks.append(k)
+                        ns.append(n.astype(np.int32))
+                        rs.append(np.full(len(k), row))
                 if ks:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ks).view(np.int64)), pa.array(np.concatenate(rs)), pa.array(np.concatenate(ns))], ["k", "row", "n"])
 
@@ -241,7 +251,7 @@ class WordModel:
             if i:
                 release(part)
             heads.append(each.filter(F.col("f") >= least).select("k", "v", "u").toArrow())  # HEAD rows at most in all
-            with settings(spark, spark__sql__classic__shuffleDependency__fileCleanup__enabled="true"):
+            with tidy_shuffles(spark):
                 rest = each.filter(F.col("f") < least).select("k", "v", F.col("u").cast("boolean").alias("u")).repartition(shards, "k")
                 rest.write.bucketBy(shards, "k").mode("append").option("path", self.folder).option("compression", "zstd").saveAsTable(name)
             release(each)
