@@ -1,9 +1,15 @@
 """Exact de-duplication over a log-structured merge index of text digests.
 
-Memtables are the tasks of a scan: each flushes its rows as one run, a Parquet file sorted by
-digest with min/max statistics and a Bloom filter on the digest column. Compaction merges all runs
-into one entry per digest, keeping the winning identifier and the group's size. Digests that more
-than one row shares are hits, and hits receive byte verification: their normalised texts are grouped
+Rows pass in FLUSHES batches, each a memtable: its rows are summed by digest, the digests that earlier runs hold
+are looked up, and what was summed is flushed as a run, that is Parquet files sorted by digest, with a
+filter beside it. A filter is a table of bitmaps: bit h(digest) of some sixteen for each row, in pieces of 32,768
+bits; a digest whose bit is not set is not in the run, so only those that pass are joined with the run itself.
+Compaction merges runs into one, keeping the smallest identifier of the longest text and the group's
+size: digests that several runs hold are summed again, all others are copied. A log in the index's folder says
+which runs are live; it is all that another session needs to open the index again.
+
+Digests that more than one
+row shares are hits, and hits receive byte verification: their normalised texts are grouped
 by (digest, text), so that one digest over two different texts would be found and split.
 
 Only digests and counts are shuffled in the main path; verification shuffles each distinct text of a
@@ -13,13 +19,16 @@ hit once per task (map-side combine), never every copy, so a group with a third
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm.common import WS, durable, ids_beside, shared_dir, table
+from lectern.llm.common import WS, durable, ids_beside, shared_dir, table, tidy_shuffles
 
-_RUN_OPTIONS = {"parquet.bloom.filter.enabled#digest": "true", "parquet.bloom.filter.max.bytes": "1048576"}
+#: Batches in which a table passes through the index.
+FLUSHES = 4
+_LOG = "seq long, run string, level int, bits long, live boolean"
 
 
 def normalised(text: Column) -> Column:
@@ -42,43 +51,90 @@ def _winner(chars: Column, ident: Column) -> Column:
     return F.struct((-chars).alias("c"), ident.isNull().alias("z"), ident.alias("id"))
 
 
+def _merged(entries: DataFrame) -> DataFrame:
+    """One row per digest: its winner, id and chars, and the number n of rows."""
+    summed = entries.groupBy("digest").agg(F.min(_winner(F.col("chars"), F.col("id"))).alias("w"), F.sum("n").alias("n"))
+    return summed.select("digest", F.col("w.id").alias("id"), (-F.col("w.c")).alias("chars"), "n")
+
+
+def _bit(bits: int) -> Column:
+    """The bit, from 1, that a digest sets."""
+    return F.pmod(F.xxhash64("digest"), F.lit(bits)) + 1
+
+
 class DigestIndex:
-    """A merge index in a folder that all executors share.
+    """A merge index in a folder that all executors share; an index that lies there already is opened.
 
-    ``flush`` adds a batch as sorted runs, ``compact`` merges every run into one level, ``probe``
-    says which digests are known. A batch that is flushed again after a failure goes to a new run
-    folder; only runs that were written whole are listed.
+    ``flush`` adds a batch as a run, ``probe`` tells which digests are known, ``compact`` merges every
+    run into one. A run counts once the log names it, and each has a folder of its own: a flush that failed leaves
+    a folder that nobody reads, and can be tried again.
     """
 
     def __init__(self, spark: SparkSession, path: str | None = None):
         self.spark = spark
         self.path = path or f"{shared_dir(spark)}/digest-index-{uuid.uuid4().hex}"
-        self.runs: list[str] = []
-
-    def flush(self, entries: DataFrame) -> None:
-        """``entries``: digest binary, id, chars. Each task is a memtable and leaves one sorted file."""
-        run = f"{self.path}/run-{len(self.runs):05d}"
-        entries.select("digest", "id", "chars").sortWithinPartitions("digest").write.options(**_RUN_OPTIONS).parquet(run)
-        self.runs.append(run)
-
-    def entries(self) -> DataFrame:
-        return self.spark.read.parquet(*self.runs)
-
-    def compact(self) -> DataFrame:
-        """One row per digest: keep_id, keep_chars, group_size; sorted by digest, with filters."""
-        merged = (
-            self.entries()
-            .groupBy("digest")
-            .agg(F.min(_winner(F.col("chars"), F.col("id"))).alias("w"), F.count(F.lit(1)).alias("group_size"))
-            .select("digest", F.col("w.id").alias("keep_id"), (-F.col("w.c")).alias("keep_chars"), "group_size")
-        )
-        out = f"{self.path}/level1-{len(self.runs):05d}-{uuid.uuid4().hex[:8]}"
-        merged.sortWithinPartitions("digest").write.options(**_RUN_OPTIONS).parquet(out)
-        return self.spark.read.parquet(out)
-
-    def probe(self, batch: DataFrame) -> DataFrame:
-        """Rows of ``batch`` whose digest some run holds."""
-        return batch.join(self.entries().select("digest").distinct(), "digest", "left_semi")
+        self.log = f"{self.path}/log"
+
+    def runs(self) -> list[Row]:
+        """The live runs, oldest first: one small row each."""
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(self.log)
+        if not folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(folder):
+            return []
+        rows = self.spark.read.schema(_LOG).json(self.log).groupBy("seq", "run", "level", "bits").agg(F.min("live").alias("live")).collect()
+        return sorted(r for r in rows if r["live"])
+
+    def _tell(self, rows: list[tuple]) -> None:
+        """One file of the log: what it says holds at once or not at all."""
+        self.spark.createDataFrame(rows, _LOG).coalesce(1).write.mode("append").json(self.log)
+
+    def _run(self, run: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/{run}")
+
+    def _write(self, summed: DataFrame) -> tuple[str, int]:
+        """Write a run and its filter; returns its name and the filter's number of bits."""
+        run = f"run-{uuid.uuid4().hex}"
+        with tidy_shuffles(self.spark):
+            summed.sortWithinPartitions("digest").write.parquet(f"{self.path}/{run}")
+            bits = max(1 << 15, 1 << (16 * self._run(run).count()).bit_length())
+            at = _bit(bits)
+            pieces = self._run(run).groupBy(F.bitmap_bucket_number(at).alias("piece")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bitmap"))
+            pieces.write.parquet(f"{self.path}/{run}-filter")
+        return run, bits
+
+    def flush(self, entries: DataFrame) -> DataFrame:
+        """Add a batch (digest binary, id, chars); returns the digests of it that earlier runs hold."""
+        batch = entries.select("digest", "id", "chars", F.lit(1).cast("long").alias("n"))
+        live = self.runs()
+        run, bits = self._write(_merged(batch))
+        known = durable(self.probe(self._run(run), live), "digest-known")
+        self._tell([(max((r["seq"] for r in live), default=0) + 1, run, 0, bits, True)])
+        return known
+
+    def probe(self, batch: DataFrame, runs: list[Row] | None = None) -> DataFrame:
+        """The distinct digests of ``batch`` that some run holds: by its filter first, then by the run."""
+        asked = batch.select("digest").distinct()
+        found = asked.filter(F.lit(False))
+        for r in self.runs() if runs is None else runs:
+            at = _bit(r["bits"])
+            pieces = self.spark.read.parquet(f"{self.path}/{r['run']}-filter")
+            placed = asked.select("digest", F.bitmap_bucket_number(at).alias("piece"), F.bitmap_bit_position(at).alias("bit")).join(pieces, "piece")
+            byte = F.conv(F.hex(F.substr("bitmap", F.floor(F.col("bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+            passed = placed.filter(F.getbit(byte.cast("long"), F.pmod("bit", F.lit(8)).cast("int")) == 1).select("digest")
+            found = found.unionByName(passed.join(self._run(r["run"]).select("digest"), "digest", "left_semi"))
+        return found.distinct()
+
+    def compact(self, known: DataFrame | None = None) -> DataFrame:
+        """Merge all runs into one and return it: digest, id, chars, n. ``known``: the digests that several runs hold, where that is known."""
+        live = self.runs()
+        everything = reduce(DataFrame.unionByName, [self._run(r["run"]) for r in live])
+        if known is None:
+            merged = _merged(everything)
+        else:
+            merged = _merged(everything.join(known, "digest", "left_semi")).unionByName(everything.join(known, "digest", "left_anti"))
+        run, bits = self._write(merged)
+        seq = max(r["seq"] for r in live) + 1
+        self._tell([(seq, run, max(r["level"] for r in live) + 1, bits, True), *((r["seq"], r["run"], r["level"], r["bits"], False) for r in live)])
+        return self._run(run)
 
 
 def distinct_forms(texts: DataFrame, digests: DataFrame) -> DataFrame:
@@ -115,12 +171,15 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     spark.conf.set("spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold", "16MB")
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     texts = digested(rows)
+    entries = durable(texts.drop("norm").withColumn("batch", F.pmod(F.spark_partition_id(), F.lit(FLUSHES))), "digest-entries")
     index = DigestIndex(spark)
-    index.flush(texts.drop("norm"))
-    level = index.compact()
+    known = [index.flush(entries.filter(F.col("batch") == i)) for i in range(FLUSHES)]
+    level = index.compact(reduce(DataFrame.unionByName, known).distinct())
+    level = level.select("digest", F.col("id").alias("keep_id"), F.col("n").alias("group_size"))
+    entries = entries.drop("batch")
 
-    clashes = durable(clashing_digests(rows, index.entries(), level), "digest-clashes")
-    entries, owners = index.entries(), level.select("digest", "keep_id", "group_size")
+    clashes = durable(clashing_digests(rows, entries, level), "digest-clashes")
+    owners = level
     if clashes.isEmpty():
         joined = entries.join(owners, "digest")
     else:  # those rows are told apart by their text
