@@ -58,10 +58,16 @@ def _line(value: str) -> str:
     )
 
 
-def record_bytes(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, is_revisit: bool) -> bytes:
+def response_name(page_id: int | None, digest: str) -> uuid.UUID:
+    """The record id of a page's response, which its revisits can name without having seen it."""
+    return uuid.uuid5(uuid.NAMESPACE_URL, f"page:{page_id}:{digest}")
+
+
+def record_bytes(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, is_revisit: bool, name: uuid.UUID | None = None) -> bytes:
+    """``name`` is the record id, by default that of the page's response."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if is_revisit else http + payload
-    name = uuid.uuid5(uuid.NAMESPACE_URL, f"page:{page_id}:{digest}:{url}")
+    name = name or response_name(page_id, digest)
     head = [
         "WARC/1.1", f"WARC-Type: {REVISIT if is_revisit else RESPONSE}", f"WARC-Record-ID: <urn:uuid:{name}>", "WARC-Date: 2024-01-01T00:00:00Z",
         f"WARC-Payload-Digest: sha256:{digest}", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}",
@@ -71,7 +77,7 @@ def record_bytes(page_id: int | None, url: str | None, payload: bytes, digest: s
     if url is not None:
         head.append(f"WARC-Target-URI: {_line(url)}")
     if is_revisit:
-        head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: <urn:page:{refers_to}>"]
+        head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: <urn:uuid:{response_name(refers_to, digest)}>", f"WARC-Refers-To-Page-ID: {refers_to}"]
     return ("\r\n".join(head) + "\r\n\r\n").encode() + block + b"\r\n\r\n"
 
 
@@ -119,7 +125,9 @@ def decode_record(raw: bytes) -> tuple:
     elif kind != REVISIT or body:
         raise WarcError(f"unexpected record type {kind}, or a revisit with a payload")
     page = h.get("warc-page-id")
-    to = h["warc-refers-to"].removeprefix("<urn:page:").removesuffix(">") if kind == REVISIT else None
+    to = h["warc-refers-to-page-id"] if kind == REVISIT else None
+    if to is not None and h.get("warc-refers-to") != f"<urn:uuid:{response_name(int(to), digest)}>":
+        raise WarcError(f"{h['warc-record-id']} refers to a record that is not the response of page {to}")
     return int(page) if page is not None else None, declared, digest, kind, int(to) if to is not None else None, h.get("warc-target-uri"), body if kind == RESPONSE else None
 
 
@@ -164,17 +172,19 @@ def write_archives(pages: DataFrame, folder: str, dictionary: bytes) -> DataFram
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = _filesystem(folder)
         fs.create_dir(base, recursive=True)
-        path, n, out = f"{base}/part-{uuid.uuid4().hex}.warc.zst", 0, None
+        path, n, out, told = f"{base}/part-{uuid.uuid4().hex}.warc.zst", 0, None, set()
         kept = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
         coder = zstandard.ZstdCompressor(level=3, dict_data=kept, write_checksum=True, write_content_size=True)
         for batch in batches:
             if out is None:
-                out = fs.open_output_stream(path)
+                out = fs.open_output_stream(path, compression=None)
                 out.write(dictionary_frame(dictionary))
             columns = [batch.column(i) for i in range(6)]
             for i in range(len(batch)):
                 page_id, url, payload, digest, refers, again = (c[i].as_py() for c in columns)
-                out.write(coder.compress(record_bytes(page_id, url, payload, digest, refers, again)))
+                name = uuid.uuid5(uuid.NAMESPACE_URL, f"{path}:{n}") if again or page_id is None or (page_id, digest) in told else None
+                told = told | {(page_id, digest)} if len(told) < 16 else {(page_id, digest)}
+                out.write(coder.compress(record_bytes(page_id, url, payload, digest, refers, again, name)))
                 n += 1
         if out is not None:
             out.close()
@@ -202,7 +212,7 @@ def read_archives(manifest: DataFrame, folder: str, columns: tuple[str, ...] = (
         for batch in batches:
             for path, records in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 rows, n, size = [], 0, 0
-                with fs.open_input_stream(path) as source:
+                with fs.open_input_stream(path, compression=None) as source:
                     for raw in read_frames(source):
                         rows.append(decode_record(raw))
                         n += 1
@@ -239,7 +249,7 @@ def archive_pages(pages: DataFrame, folder: str | None = None, columns: tuple[st
 
     A null page text is an empty payload; payloads under 100 bytes are always responses. A page
     without an id is a revisit where an equal payload has one. Repeated rows with the smallest id are
-    responses each. An empty table writes no archive and gives no rows. Other columns are ignored.
+    responses each, and those in different archives share their record id, as copies of one record. An empty table writes no archive and gives no rows. Other columns are ignored.
     """
     spark = pages.sparkSession
     folder = folder or f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
