@@ -26,6 +26,8 @@ _MANDELBROT = 2.7
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 #: Distinct pre-tokens inserted in one trie, and those whose counts a task remembers.
 TRIE_WORDS, MEMORY_WORDS = 1 << 14, 1 << 20
+#: Longer pre-tokens share no trie with others: each is scored along its own path, which is a trie of one word.
+TRIE_BYTES, PATH_BYTES = 512, 1 << 16
 
 
 def read_vocabulary(path: str = VOCABULARY) -> dict[bytes, int]:
@@ -100,6 +102,48 @@ def trie_counts(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, pieces:
     return out
 
 
+def path_count(word: np.ndarray, pieces: Pieces) -> int:
+    """Number of tokens of one long pre-token (bytes), by the same forward scores along its single path.
+
+    The pieces that end at each byte are found by hash in stretches of PATH_BYTES; only those are tried, so the
+    work is the number of pieces that occur, whatever the word's length.
+    """
+    best, tokens = [0.0], [0]  # of the prefixes that a piece can still start at
+    base = 0  # the length of the first of them
+    for lo in range(0, len(word), PATH_BYTES):
+        hi = min(len(word), lo + PATH_BYTES)
+        begin = max(0, lo - pieces.longest + 1)
+        stretch = word[begin:hi].astype(np.uint64) + np.uint64(1)
+        ends, lengths, scores = [], [], []
+        hashes = np.zeros(len(stretch) + 1, np.uint64)
+        for n in range(1, min(pieces.longest, len(stretch)) + 1):
+            hashes = hashes[:-1] * _BASE + stretch[n - 1 :]  # of the n bytes from each place on
+            if n not in pieces.tables:
+                continue
+            value = pieces.scores(hashes, n)
+            at = np.flatnonzero(np.isfinite(value) & (np.arange(len(value)) + begin + n > lo))
+            ends.append(at + begin + n)
+            lengths.append(np.full(len(at), n))
+            scores.append(value[at])
+        ends, lengths, scores = (np.concatenate(x) for x in (ends, lengths, scores))
+        order = np.lexsort((lengths, ends))
+        ends, lengths, scores = ends[order].tolist(), lengths[order].tolist(), scores[order].tolist()
+        k = 0
+        for end in range(lo + 1, hi + 1):
+            top, count = -np.inf, 0
+            while k < len(ends) and ends[k] == end:
+                back = end - lengths[k] - base
+                total, n = best[back] + scores[k], tokens[back] + 1
+                if total > top or total == top and n < count:
+                    top, count = total, n
+                k += 1
+            best.append(top)
+            tokens.append(count)
+        cut = max(0, len(best) - pieces.longest - 1)
+        best, tokens, base = best[cut:], tokens[cut:], base + cut
+    return tokens[-1]
+
+
 class _Counter:
     """Token counts of words by hash, remembered within a task up to a bound."""
 
@@ -116,7 +160,11 @@ class _Counter:
         values[known] = self.values[at[known]]
         new = np.flatnonzero(~known)
         if len(new):
-            order = new[np.argsort(ends[first[new]] - starts[first[new]], kind="stable")]  # words of like length share a trie
+            size = ends[first[new]] - starts[first[new]]
+            for i in new[size >= TRIE_BYTES]:
+                word = data[starts[first[i]] : ends[first[i]]]
+                values[i] = path_count(np.concatenate([np.array([32], word.dtype), word]), self.pieces)
+            order = new[np.argsort(size, kind="stable")][: int((size < TRIE_BYTES).sum())]  # words of like length share a trie
             for lo in range(0, len(order), TRIE_WORDS):
                 part = order[lo : lo + TRIE_WORDS]
                 values[part] = trie_counts(data, starts[first[part]], ends[first[part]], self.pieces)
