@@ -13,7 +13,9 @@ source has one. No task sees more than a block at once, whatever a source's size
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lectern.llm.common import WORD, durable, table, unit_hash
@@ -110,6 +112,29 @@ def rounded(parts: DataFrame, seed: int) -> DataFrame:
     return last
 
 
+def _dealt(bundles: DataFrame, more: DataFrame, rated: DataFrame) -> DataFrame:
+    """source, id, size, more (0 or 1) of each row: the rows of a bundle are numbered, and the first ones have one more."""
+    bundle = ("source", "id", "size")
+
+    def same(x: DataFrame, y: DataFrame, *also: str):
+        return reduce(lambda a, b: a & b, [x[c].eqNullSafe(y[c]) for c in (*bundle, *also)])
+
+    several = bundles.filter("m > 1").select(*bundle, "whole")
+    if several.isEmpty():
+        return more
+    several = durable(several.join(more, same(several, more)).select(*[several[c] for c in bundle], (F.col("whole") + F.col("more")).alias("taken")), "mix-several")
+    ones = bundles.filter("m = 1").select(*bundle)
+    ones = more.join(ones, same(more, ones), "left_semi")
+    # numbered without a whole bundle in one task: by the tasks that wrote them, then inside each
+    rows = rated.join(several, same(rated, several), "left_semi").select(*bundle, "part")
+    before = F.sum("n").over(Window.partitionBy(*bundle).orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    starts = rows.groupBy(*bundle, "part").agg(F.count(F.lit(1)).alias("n")).withColumn("before", F.coalesce(before, F.lit(0)))
+    starts = starts.join(several, same(starts, several)).select(*[starts[c] for c in (*bundle, "part")], "before", "taken")
+    inside = rows.withColumn("number", F.row_number().over(Window.partitionBy(*bundle, "part").orderBy(F.lit(1))))
+    numbered = inside.join(starts, same(inside, starts, "part"))
+    return ones.unionByName(numbered.select(*[inside[c] for c in bundle], (F.col("before") + F.col("number") <= F.col("taken")).cast("int").alias("more")))
+
+
 def mix_sources(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, cap: float = 2.0, seed: int = 17
 ) -> DataFrame:
@@ -117,12 +142,13 @@ def mix_sources(
 
     ``size`` is the text's number of words, ``copies`` what the mix takes of the row and ``taken`` the
     words that makes. A null text has size 0 and takes nothing; a null source is a source of its own,
-    ranked last; a null id is an id like any other. Repeated rows are rounded each on its own. With no
+    ranked last; a null id is an id like any other. Rows of one source, id and size are rounded together, as
+    a bundle of which so many are taken once more; which of them, they being alike, is left open. With no
     words at all, or no rows, every target is 0. Decisions depend on ids, sizes and ``seed`` only, so
     that reruns agree.
     """
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
-    sizes = durable(docs.select(F.col(id_col).cast("long").alias("id"), F.col(source_col).alias("source"), size.alias("size")), "mix-sizes")
+    sizes = durable(docs.select(F.col(id_col).cast("long").alias("id"), F.col(source_col).alias("source"), size.alias("size")).withColumn("part", F.spark_partition_id()), "mix-sizes")
     targets = source_targets(sizes, weights, share, cap)
     targets = targets.join(sizes.filter("size > 0").groupBy(F.col("source").alias("s")).agg(F.count(F.lit(1)).alias("rows")), F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
     targets = durable(targets, "mix-targets")
@@ -132,7 +158,13 @@ def mix_sources(
     part = F.col("rate") - F.floor("rate")
     exact = (part <= _EPS) | (part >= 1 - _EPS)
     rated = rated.withColumns({"sure": F.when(exact, F.round("rate").cast("int")).otherwise(sure), "p": part, "exact": exact})
-    rows = rounded(rated.filter("NOT exact").select("source", "id", "size", "p", "rows"), seed).select("source", "id", "size", "more")
+    bundles = rated.filter("NOT exact").groupBy("source", "id", "size", "p", "rows").agg(F.count(F.lit(1)).alias("m"))
+    whole = F.floor(F.col("m") * F.col("p") + _EPS)
+    bundles = durable(bundles.withColumn("whole", whole.cast("long")).withColumn("p", F.col("m") * F.col("p") - whole), "mix-bundles")
+    open_ = (F.col("p") > _EPS) & (F.col("p") < 1 - _EPS)
+    more = rounded(bundles.filter(open_).select("source", "id", "size", "p", "rows"), seed).select("source", "id", "size", "more")
+    more = more.unionByName(bundles.filter(~open_).select("source", "id", "size", F.lit(0).alias("more")))
+    rows = _dealt(bundles, more, rated)
     rows = rows.unionByName(rated.filter("exact").select("source", "id", "size", F.lit(0).alias("more")))
     base = t.withColumn("rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)))
     whole = F.when((F.col("rate") - F.floor("rate") >= 1 - _EPS) & (F.col("size") > 0), F.round("rate")).otherwise(F.floor("rate"))
