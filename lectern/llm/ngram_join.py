@@ -66,7 +66,7 @@ def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for s in shingles.shingle_sets(batch.column(1)):
             sizes.append(len(s))
             names.append(shingles.set_id(s) if len(s) else None)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(names, pa.int64())], ["id", "n", "sid"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(names, pa.int64())], ["id", "key", "n", "sid"])
 
 
 def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,13 +148,16 @@ def _bitmap(s: np.ndarray) -> bytes:
 
 
 def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """sid, n, bitmap, the sorted set itself and the first buckets (passed on) of each text."""
+    """sid, n, bitmap, the sorted set itself and the first buckets (passed on) of each text; a repeated row counts once in a task."""
+    told: set[int] = set()
     for batch in batches:
         rows: list[tuple] = []
         size = 0
         for sid, low, s in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), shingles.shingle_sets(batch.column(1)), strict=True):
-            if not len(s) or shingles.set_id(s) != sid:  # another text under a repeated id
+            if sid in told:
                 continue
+            if len(told) < 1_000_000:
+                told.add(sid)
             rows.append((sid, len(s), _bitmap(s), s.tobytes(), low))
             size += len(rows[-1][3])
             if size > 1 << 22:
@@ -431,29 +434,33 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     A null text, or one without words, has no shingles and links with nothing; with fewer than five
     words the whole sequence is the one shingle. Repeated rows and rows of equal sets are in one
-    component. A null id never names a component unless all its ids are null, and a set that only
-    rows without an id hold is linked with its equals alone. Sets are told apart by a 64-bit name, and shingles by 64-bit hashes. Other columns are ignored.
+    component. A null id never names a component unless all its ids are null; rows without an id link like
+    all others. Sets are told apart by a 64-bit name, and shingles by 64-bit hashes. Other columns are ignored.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    named = durable(texts.mapInArrow(_named, "id long, n long, sid long"), "ngram-docs")
+    # texts are found again by a name of the row, since an id may be null or repeated
+    texts = texts.withColumn("key", F.xxhash64("id", "text"))
+    named = durable(texts.select("id", "text", "key").mapInArrow(_named, "id long, key long, n long, sid long"), "ngram-docs")
 
     rows = texts.select("text").mapInArrow(_sampled, "h long, sid long")
     shared = rows.repartition("h").sortWithinPartitions("h", "sid").mapInArrow(_shared, "h long, sid long, df long")
-    sets_n = named.filter("n > 0").groupBy("sid").agg(F.first("n").alias("n"), F.min("id").alias("id"))
+    sets_n = named.filter("n > 0").groupBy("sid").agg(F.first("n").alias("n"), F.min("id").alias("id"), F.min("key").alias("key"))
     per_set = shared.groupBy("sid").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("held"))  # at most a third of one set
     required = F.floor(F.ceil(3 * F.col("n") / 4) / 12).cast("int") + 1
     kept = per_set.join(sets_n, "sid").withColumn("more", F.size("held") - required + 1).filter("more > 0")
     hs = F.array_sort(F.transform(F.slice("held", F.lit(1), F.col("more")), lambda e: e["h"]))
-    kept = durable(kept.select("sid", "n", "id", F.size("held").alias("rank"), hs.alias("hs")), "ngram-kept")
+    kept = durable(kept.select("sid", "n", "key", F.size("held").alias("rank"), hs.alias("hs")), "ngram-kept")
     buckets = kept.select(F.explode("hs").alias("h"), "sid", "rank")
 
     met = buckets.join(buckets.groupBy("h").count().filter("count > 1").select("h"), "h", "left_semi").select("sid").distinct()
-    wanted = durable(kept.join(met, "sid").select("sid", "n", "id", F.slice("hs", 1, _FIRST).alias("low")), "ngram-wanted")
+    wanted = durable(kept.join(met, "sid").select("sid", "n", "key", F.slice("hs", 1, _FIRST).alias("low")), "ngram-wanted")
     spark.conf.set("spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold", "16MB")
-    sets = texts.join(wanted.filter("n >= 1").select("sid", "id", "low"), "id").select("sid", "text", "low")
+    sets = texts.select("key", "text").join(wanted.filter("n >= 1").select("sid", "key", "low"), "key").select("sid", "text", "low")
     sets = durable(sets.mapInArrow(_profiles, "sid long, n long, bits binary, items binary, low array<bigint>"), "ngram-sets")
+    if not sets.groupBy("sid").count().filter("count > 1").isEmpty():  # repeated rows, met by several tasks
+        sets = durable(sets.groupBy("sid").agg(*[F.any_value(c).alias(c) for c in ("n", "bits", "items", "low")]), "ngram-sets-once")
 
     links = durable(_verify(_screen(_led(buckets), sets), sets), "ngram-stars")
     found = components(links)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
 import textwrap
@@ -121,8 +122,11 @@ def test_ngram_join_blocks_and_trees(spark, monkeypatch):
 
 def test_ngram_join_repeated_rows_and_empty_tables(spark):
     rows = [(7, "a b c d e f"), (7, "a b c d e f"), (3, "a b c d e f"), (None, "a b c d e f"), (None, "q r s t u v"), (9, None)]
+    base = [f"w{i}" for i in range(40)]
+    rows += [(20, " ".join(base)), (None, " ".join([*base[:39], "new"])), (None, " ".join([*base[:38], "newer", "new"])), (1, " ".join([*base[1:38], "newer", "new"])), *[(None, "x y z " * 9)] * 30]
     got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.ngram_components(frame(spark, rows)).collect()), key=str)
-    assert got == sorted([(7, 2, 3), (7, 2, 3), (3, 2, 3), (None, 2, 3), (None, 2, None), (9, 0, 9)], key=str)
+    tail = [(20, 36, 1), (None, 36, 1), (None, 36, 1), (1, 35, 1), *[(None, 3, None)] * 30]
+    assert got == sorted(tail + [(7, 2, 3), (7, 2, 3), (3, 2, 3), (None, 2, 3), (None, 2, None), (9, 0, 9)], key=str)
     assert ngram_join.ngram_components(frame(spark, [])).count() == 0
 
 
@@ -150,13 +154,33 @@ def test_exact_dedup_tells_clashing_texts_apart(spark, monkeypatch):
 
 
 def test_digest_index_is_incremental(spark, tmp_path):
-    index = exact_dedup.DigestIndex(spark, str(tmp_path))
-    for start in (0, 10):
-        index.flush(spark.range(start, start + 10).select(exact_dedup.digest_of((F.col("id") % 7).cast("string")).alias("digest"), "id", F.lit(1).cast("long").alias("chars")))
-    level = index.compact()
-    assert level.count() == 7 and {r.keep_id for r in level.collect()} == set(range(7))
-    probe = spark.range(3).select(exact_dedup.digest_of((F.col("id") + 5).cast("string")).alias("digest"), "id")
-    assert sorted(r.id for r in index.probe(probe).collect()) == [0, 1]
+    def batch(lo, hi, of=7):
+        digest = exact_dedup.digest_of((F.col("id") % of).cast("string"))
+        return spark.range(lo, hi).select(digest.alias("digest"), "id", F.lit(1).cast("long").alias("chars"))
+
+    index = exact_dedup.DigestIndex(spark, str(tmp_path / "index"))
+    assert index.runs() == [] and index.probe(batch(0, 3)).count() == 0
+    assert index.flush(batch(0, 5)).count() == 0
+    again = exact_dedup.DigestIndex(spark, str(tmp_path / "index"))  # another session opens it by its log
+    assert again.flush(batch(10, 20)).count() == 5
+    (tmp_path / "index" / "run-of-a-failed-flush").mkdir()
+    asked = spark.range(3).select(exact_dedup.digest_of((F.col("id") + 5).cast("string")).alias("digest"))
+    for known in (None, batch(0, 5).select("digest")):
+        level = exact_dedup.DigestIndex(spark, str(tmp_path / "index")).compact(known)
+        assert {(r.id, r.n) for r in level.collect()} == {(0, 2), (1, 2), (2, 2), (3, 3), (4, 3), (12, 2), (13, 1)}
+        assert [r.level for r in index.runs()] == [1 if known is None else 2]
+        assert index.probe(asked).count() == 2
+
+
+def test_run_filters_let_few_others_pass(spark, tmp_path):
+    def digests(lo, hi):
+        return spark.range(lo, hi).select(exact_dedup.digest_of(F.col("id").cast("string")).alias("digest"), "id", F.lit(1).cast("long").alias("chars"))
+
+    index = exact_dedup.DigestIndex(spark, str(tmp_path / "index"))
+    index.flush(digests(0, 20_000))
+    run = index.runs()[0]
+    assert sum(bin(b).count("1") for r in spark.read.parquet(f"{index.path}/{run.run}-filter").collect() for b in r.bitmap) / run.bits < 0.07
+    assert index.probe(digests(19_000, 60_000)).count() == 1000
 
 
 def test_source_mix(spark):
@@ -195,6 +219,22 @@ def test_source_mix(spark):
     assert source_mix.mix_sources(frame(spark, [])).count() == 0
 
 
+def test_source_mix_of_equal_rows_and_missing_ids(spark, monkeypatch):
+    """Rows of one source, id and size, in many tasks, are taken together as their share says."""
+    monkeypatch.setattr(source_mix, "BLOCK", 8)
+    rows = [(None, "a b c", "s")] * 300 + [(7, "x y", "s")] * 41 + [(i, "w " * (1 + i % 9), "t") for i in range(200)] + [(None, None, "s")] * 5
+    got = source_mix.mix_sources(frame(spark, rows)).collect()
+    assert len(got) == len(rows) and Counter((r.doc_id, r.source, r.size) for r in got) == Counter((i, s, len((t or "").split())) for i, t, s in rows)
+    taken = Counter()
+    for r in got:
+        assert r.taken <= 2 * r.size
+        taken[r.source] += r.taken
+    for r in got:
+        assert abs(taken[r.source] - r.target) <= 10
+    again = source_mix.mix_sources(frame(spark, rows).repartition(2)).collect()
+    assert Counter((r.doc_id, r.size, r.taken) for r in again) == Counter((r.doc_id, r.size, r.taken) for r in got)
+
+
 def test_token_counts(spark, corpus):
     scores = token_count.piece_scores(token_count.read_vocabulary())
     longest = max(map(len, scores))
@@ -207,13 +247,28 @@ def test_token_counts(spark, corpus):
             best.append((score, -n))
         return best[-1][1]
 
-    rows = [r for r in corpus if len(r[1] or "") < 15_000] + [(900, "naïve 漢字 \U0001f600 x"), (901, "A a A")]
+    rng = random.Random(6)
+    rows = [*corpus, (900, "naïve 漢字 \U0001f600 x"), (901, "A a A"), (902, "".join(rng.choice("abcdeABC+/019") for _ in range(70_000))), (903, "=" * 3000 + " a"), (904, "é" * 40_000)]
     want = {i: sum(tokens(b" " + w.encode()) for w in WORD.findall(t or "")) for i, t in rows}
     got = {r.doc_id: r.n_tokens for r in token_count.count_tokens(frame(spark, rows)).collect()}
     assert got == want
     assert token_count.count_tokens(frame(spark, [])).count() == 0
 
 
+def test_a_long_unbroken_word_takes_seconds():
+    import time
+
+    import numpy as np
+
+    pieces = token_count.Pieces(token_count.piece_scores(token_count.read_vocabulary()))
+    word = np.frombuffer((" " + "".join(random.Random(1).choices("abcdefghijklmnopqrstuvwxyzABCDEFGH0123456789+/", k=1_000_000))).encode(), np.uint8)
+    began = time.monotonic()
+    assert 300_000 < token_count.path_count(word, pieces) < 1_000_000
+    assert time.monotonic() - began < 120
+    short = word[:2000]
+    assert token_count.path_count(short, pieces) == token_count.trie_counts(short, np.array([1]), np.array([2000]), pieces)[0]
+
+
 def wrapped(*paragraphs, mark="", width=70, end="\n"):
     return end.join(mark + line for x in paragraphs for line in [*textwrap.wrap(x, width), ""])
 
@@ -261,6 +316,20 @@ def test_warc_round_trip(spark):
     assert warc.archive_pages(pages(spark, [])).count() == 0
 
 
+def test_warc_revisits_name_the_record_they_refer_to(spark, tmp_path):
+    long = "<p>" + "x" * 200
+    rows = [(5, "http://a/", long), (2, "http://b/", long), (2, "http://b/", long), (8, None, long), (None, None, long)]
+    warc.archive_pages(pages(spark, rows).coalesce(1), str(tmp_path / "w")).collect()
+    heads = []
+    for path in (tmp_path / "w").glob("*.warc.zst"):
+        with path.open("rb") as f:
+            heads += [warc.parse_record(raw)[0] for raw in warc.read_frames(f)]
+    ids = [h["warc-record-id"] for h in heads]
+    responses = {h["warc-record-id"] for h in heads if h["warc-type"] == "response"}
+    assert len(heads) == 5 and len(set(ids)) == 5
+    assert {h["warc-refers-to"] for h in heads if h["warc-type"] == "revisit"} < responses
+
+
 def test_warc_refuses_broken_archives():
     import io
 
@@ -419,3 +488,21 @@ def test_urls(spark):
     assert got[15][:3] == ("é.org", "/É", "org/")
     assert url_filter.filter_urls(pages(spark, []), outcomes).count() == 0
     assert {r.verdict for r in url_filter.filter_urls(pages(spark, rows[-3:]), outcomes.limit(0)).collect()} == {"allow"}
+
+
+def test_registered_domains_and_addresses(spark):
+    hosts = {"a.b.co.uk": ("b.co.uk", "co.uk"), "co.uk": ("co.uk", "co.uk"), "x.y.com": ("y.com", "com"), "10.0.0.1": ("10.0.0.1", "[]"), "u@h.org:80": ("h.org", "org"), "com": ("com", "com"), "": ("", ""), "[::1]:80": ("[::1]", "[]")}
+    domain, suffix = url_filter.domain_and_suffix(F.col("h"))
+    got = {r.h: (r.d, r.s) for r in spark.createDataFrame([(h,) for h in hosts], "h string").select("h", domain.alias("d"), suffix.alias("s")).collect()}
+    assert got == hosts
+
+
+def test_beta_mass(spark):
+    """For whole parameters the mass beyond x is a binomial sum."""
+    cases = [(1, 1), (2, 3), (30, 20), (400, 600), (600, 400), (5000, 5100), (1, 9)]
+    rows = spark.createDataFrame([(float(a), float(b)) for a, b in cases] + [(0.0, 5.0), (3.0, 0.0), (0.02, 0.9)], "a double, b double")
+    got = {(r.a, r.b): r.m for r in rows.select("a", "b", url_filter.mass_beyond(F.col("a"), F.col("b")).alias("m")).collect()}
+    for a, b in cases:
+        n = a + b - 1
+        assert got[a, b] == pytest.approx(sum(math.comb(n, k) for k in range(a)) / 2**n, abs=2e-3)
+    assert got[0, 5] == 0 and got[3, 0] == 1 and 0 < got[0.02, 0.9] < 0.05
