@@ -77,6 +77,33 @@ def answer_in_source(answer: Column, source: Column) -> Column:
     return verdict(F.coalesce(F.contains(squash(source), squash(answer)), F.lit(False)), source.isNotNull())
 
 
+def squashed(c: Column) -> Column:
+    return F.regexp_replace(F.lower(c), r"\s+", "")
+
+
+QUOTE_RUN = 24
+
+
+def quoted_in(quotes: DataFrame, texts: DataFrame, quote_id: str, text_id: str, min_chars: int = 8, text: str = "text") -> DataFrame:
+    """(quote, text) ids where a whole quote occurs in a text, white space and case aside.
+
+    A quote's first QUOTE_RUN characters (all of a shorter one) are looked up among the runs of that length of each text, which
+    gives the pairs to check as an equi-join; the check compares whole quotes. Quotes of one length up to QUOTE_RUN share a pass.
+    """
+    q = quotes.select(F.col(quote_id).alias("_q"), squashed(F.col(text)).alias("_quote")).filter(F.length("_quote") >= min_chars)
+    q = q.withColumn("_n", F.least(F.length("_quote"), F.lit(QUOTE_RUN))).withColumn("_run", F.xxhash64(F.expr("substr(_quote, 1, _n)")))
+    lengths = sorted(r[0] for r in q.select("_n").distinct().collect())  # QUOTE_RUN numbers at most
+    t = texts.select(F.col(text_id).alias("_t"), squashed(F.col(text)).alias("_text"))
+
+    def runs_of(n: int) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("_text") - n + 1)), lambda i: F.xxhash64(F.substr("_text", i, F.lit(n))))
+
+    runs = [runs_of(n) for n in lengths]
+    met = t.select("_t", F.explode(F.array_distinct(F.concat(*runs) if runs else F.array().cast("array<bigint>"))).alias("_run")).join(q.select("_q", "_run"), "_run").select("_t", "_q").distinct()
+    pairs = met.join(q.select("_q", "_quote"), "_q").join(t, "_t").filter(F.contains("_text", "_quote"))
+    return pairs.select(F.col("_q").alias(quote_id), F.col("_t").alias(text_id))
+
+
 def anchor_backlink(page: Column, at: Column, source_page: Column, source_at: Column) -> Column:
     return verdict((page == source_page) & (F.abs(at - source_at) <= ANCHOR_TOLERANCE), source_page.isNotNull())
 

@@ -52,15 +52,27 @@ def even_split(lines: DataFrame, pages: Column, lesson: str, *order: str) -> Dat
     return lines.withColumn("page", (F.floor(rn * pages / n) + 1).cast("int"))
 
 
-def coverage_issues(spans: DataFrame, count: Column, lesson: str, ordinal: str, start: str = "from", end: str = "to") -> DataFrame:
-    """Rows where spans fail to cover 1..count in turn, with what is wrong; a last row where the end is missing."""
+def coverage_issues(spans: DataFrame, count: Column, lesson: str, ordinal: str, start: str = "from", end: str = "to", lessons: DataFrame | None = None) -> DataFrame:
+    """Rows where spans fail to cover 1..count in turn, with what is wrong; a last row where the end is missing.
+
+    A span without an end covers nothing: it is an issue, and the next one is still expected where it was.
+    ``lessons`` (lesson, n): lessons of n sentences; one without any span has its end missing from 1 on.
+    """
     w = W.partitionBy(lesson).orderBy(ordinal)
-    s = spans.withColumns({"count": count, "expected": F.lag(end, 1, 0).over(w) + 1, "_last": F.lead(end).over(w).isNull()})
+    done = F.last(end, ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, -1))
+    s = spans.withColumns({"count": count, "expected": F.coalesce(done, F.lit(0)) + 1, "_last": F.row_number().over(w) == F.count(F.lit(1)).over(W.partitionBy(lesson))})
+    s = s.withColumn("_done", F.last(end, ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0)))
     f, t, e, n = F.col(start), F.col(end), F.col("expected"), F.col("count")
-    kind = F.when(t < f, "reversed").when(f < 1, "below").when(t > n, "beyond").when(f > e, "gap").when(f < e, "overlap")
+    kind = F.when(f.isNull() | t.isNull(), "open").when(t < f, "reversed").when(f < 1, "below").when(t > n, "beyond").when(f > e, "gap").when(f < e, "overlap")
     bad = s.withColumn("issue", kind).filter(F.col("issue").isNotNull()).select(lesson, ordinal, e.alias("expected"), f.alias("from"), t.alias("to"), "issue")
-    tail = s.filter(F.col("_last") & (t + 1 != n + 1)).select(lesson, ordinal, (t + 1).alias("expected"), F.lit(None).cast("int").alias("from"), F.lit(None).cast("int").alias("to"), F.lit("missing end").alias("issue"))
-    return bad.unionByName(tail)
+    left = F.coalesce("_done", F.lit(0)) + 1
+    none = F.lit(None).cast("int")
+    tail = s.filter(F.col("_last") & (left != n + 1)).select(lesson, ordinal, left.alias("expected"), none.alias("from"), none.alias("to"), F.lit("missing end").alias("issue"))
+    out = bad.unionByName(tail)
+    if lessons is not None:
+        bare = lessons.filter("n > 0").join(spans.select(lesson).distinct(), lesson, "left_anti")
+        out = out.unionByName(bare.select(lesson, F.lit(None).cast(spans.schema[ordinal].dataType).alias(ordinal), F.lit(1).alias("expected"), none.alias("from"), none.alias("to"), F.lit("missing end").alias("issue")))
+    return out
 
 
 def folded_outline(spans: Column, count: Column) -> Column:

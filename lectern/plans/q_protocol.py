@@ -12,22 +12,26 @@ from lectern.plans.registry import query
 from lectern.session import table
 
 
+#: Fixed value: characters of a record's plain text, beyond which a notice follows.
+PLAIN_LIMIT = 30_000
+
+
 def _sheet(spark, d):
-    """A model output of each document: headings around its first lines, one heading twice."""
-    first = F.substring(F.regexp_replace("text", r"[#`\n]", " "), 1, 60)
+    """A model output of each document: headings around its whole text, one heading twice."""
+    first = F.regexp_replace("text", r"[#`\n]", " ")
     raw = F.concat(F.lit("```md\n# title\n"), first, F.lit("\n## body\nold\n## terms\n- a\n## body\n"), F.col("lang"), F.lit("\nsecond\n```"))
     return table(spark, d, "documents").select("doc_id", "lang", raw.alias("raw"))
 
 
-@query("protocol_sections", r"""SELECT doc_id, trim(substr(regexp_replace(text, '[#`\n]', ' ', 'g'), 1, 60)) AS title, lang || chr(10) || 'second' AS body, '- a' AS terms, 3 AS n FROM documents""")
+@query("protocol_sections", r"""SELECT doc_id, trim(regexp_replace(text, '[#`\n]', ' ', 'g')) AS title, lang || chr(10) || 'second' AS body, '- a' AS terms, 3 AS n FROM documents""")
 def sections(spark, d):
     s = _sheet(spark, d).select("doc_id", pr.sections(F.col("raw")).alias("s"))
     return s.select("doc_id", F.col("s")["title"].alias("title"), F.col("s")["body"].alias("body"), F.col("s")["terms"].alias("terms"), F.size("s").alias("n"))
 
 
-@query("protocol_fields", "SELECT conv_id, turn, trim(left(text, 30)) AS body, CASE WHEN turn % 2 = 0 THEN role END AS bridge FROM conversations")
+@query("protocol_fields", "SELECT conv_id, turn, trim(text) AS body, CASE WHEN turn % 2 = 0 THEN role END AS bridge FROM conversations")
 def fields(spark, d):
-    raw = F.concat(F.lit("正文： "), F.substring("text", 1, 30), F.when(F.col("turn") % 2 == 0, F.concat(F.lit(" 衔接: "), F.col("role"))).otherwise(F.lit("")))
+    raw = F.concat(F.lit("正文： "), F.col("text"), F.when(F.col("turn") % 2 == 0, F.concat(F.lit(" 衔接: "), F.col("role"))).otherwise(F.lit("")))
     return table(spark, d, "conversations").select("conv_id", "turn", pr.field(raw, "正文").alias("body"), pr.field(raw, "衔接").alias("bridge"))
 
 
@@ -66,9 +70,9 @@ def split_pages(spark, d):
     return x.select("p_partkey", "x.page")
 
 
-@query("protocol_comparison_text", r"SELECT doc_id, length(regexp_replace(text, '\s+', '', 'g')) AS n FROM documents")
+@query("protocol_comparison_text", r"SELECT doc_id, sha256(regexp_replace(text, '\s+', '', 'g')) AS digest FROM documents")
 def comparison(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.length(pr.comparison_text(F.col("text"))).alias("n"))
+    return table(spark, d, "documents").select("doc_id", F.sha2(pr.comparison_text(F.col("text")), 256).alias("digest"))
 
 
 @query("protocol_marker_counts", r"""
@@ -80,31 +84,25 @@ def marker_counts(spark, d):
 
 @query("protocol_plain_text", """
 WITH t AS (SELECT conv_id, string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS s FROM conversations GROUP BY conv_id)
-SELECT conv_id, length(CASE WHEN length(s) > 3000 THEN substr(s, 1, 3000) || '…' ELSE s END) AS n, length(s) > 3000 AS cut FROM t
+SELECT conv_id, sha256(CASE WHEN length(s) > 30000 THEN substr(s, 1, 30000) || '…' ELSE s END) AS digest, length(s) > 30000 AS cut FROM t
 """)
 def plain_text(spark, d):
     """A record flattened to text in order, cut with a notice beyond its limit."""
     rows = F.array_sort(F.collect_list(F.struct("turn", F.concat_ws(": ", "role", "text").alias("t"))))
     t = table(spark, d, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(rows, lambda x: x["t"]), "\n").alias("s"))
-    cut = F.length("s") > 3000
-    return t.select("conv_id", F.length(F.when(cut, F.concat(F.substring("s", 1, 3000), F.lit("…"))).otherwise(F.col("s"))).alias("n"), cut.alias("cut"))
+    cut = F.length("s") > PLAIN_LIMIT
+    return t.select("conv_id", F.sha2(F.when(cut, F.concat(F.substring("s", 1, PLAIN_LIMIT), F.lit("…"))).otherwise(F.col("s")), 256).alias("digest"), cut.alias("cut"))
 
 
 @query("admission_evidence", r"""
-WITH q AS (SELECT item_id, regexp_replace(lower(substr(text, 1, 40)), '\s+', '', 'g') AS q FROM benchmark), t AS (SELECT doc_id, regexp_replace(lower(text), '\s+', '', 'g') AS t FROM documents)
+WITH q AS (SELECT item_id, regexp_replace(lower(text), '\s+', '', 'g') AS q FROM benchmark), t AS (SELECT doc_id, regexp_replace(lower(text), '\s+', '', 'g') AS t FROM documents)
 SELECT item_id, count(*) AS documents, min(doc_id) AS first_doc FROM q JOIN t ON strpos(t, q) > 0 WHERE length(q) >= 8 GROUP BY item_id
 """)
 def evidence(spark, d):
-    """Quotes of eight characters or more found in a transcript, both without white space.
-
-    The quotes are a short list, so every text is compared with them in place and texts do not move.
-    """
-    def squash(c):
-        return F.regexp_replace(F.lower(c), r"\s+", "")
-
-    quotes = table(spark, d, "benchmark").select("item_id", squash(F.substring("text", 1, 40)).alias("q")).filter(F.length("q") >= 8)
-    texts = table(spark, d, "documents").select("doc_id", squash(F.col("text")).alias("t"))
-    return texts.join(quotes, F.contains("t", "q")).groupBy("item_id").agg(F.count(F.lit(1)).alias("documents"), F.min("doc_id").alias("first_doc"))
+    """Whole quotes of eight characters or more found in a transcript, both without white space."""
+    quotes = table(spark, d, "benchmark").select("item_id", "text")
+    hits = ql.quoted_in(quotes, table(spark, d, "documents").select("doc_id", "text"), "item_id", "doc_id")
+    return hits.groupBy("item_id").agg(F.count(F.lit(1)).alias("documents"), F.min("doc_id").alias("first_doc"))
 
 
 @query("admission_equal_distractors", """
@@ -119,11 +117,12 @@ def equal_distractors(spark, d):
 
 
 @query("admission_common_run", """
-SELECT p_partkey, strpos(p_name, substr(p_type, 1, 4)) > 0 OR strpos(p_name, substr(p_type, 2, 4)) > 0 OR strpos(p_name, substr(p_type, 3, 4)) > 0 AS traced FROM (SELECT p_partkey, p_name || ' ' || substr(p_type, 1, CAST(p_partkey % 6 AS INTEGER)) AS p_name, substr(p_type, 1, 6) AS p_type FROM part)
+SELECT p_partkey, list_has_any(list_transform(range(1, length(p_type) - 2), lambda i: substr(p_type, i, 4)), list_transform(range(1, length(p_name) - 2), lambda i: substr(p_name, i, 4))) AS traced
+FROM (SELECT p_partkey, p_name || ' ' || substr(p_type, 1, CAST(p_partkey % 6 AS INTEGER)) AS p_name, p_type FROM part)
 """)
 def common_run(spark, d):
     name = F.concat(F.col("p_name"), F.lit(" "), F.expr("substr(p_type, 1, cast(p_partkey % 6 as int))"))
-    return table(spark, d, "part").select("p_partkey", pr.common_run(name, F.substring("p_type", 1, 6), 4).alias("traced"))
+    return table(spark, d, "part").select("p_partkey", pr.common_run(name, F.col("p_type"), 4).alias("traced"))
 
 
 @query("admission_first_rule", """

@@ -91,16 +91,19 @@ def facet_catalog(spark, d):
 
 
 @query("search_fallback_summary", """
-WITH t AS (SELECT conv_id, turn, strpos(lower(text), 'thing') > 0 AS hit FROM conversations), b AS (SELECT conv_id, max(CASE WHEN hit THEN 1 ELSE 0 END) AS any_hit FROM t GROUP BY conv_id)
+WITH t AS (SELECT conv_id, turn, strpos(lower(text), 'thing') > 0 AS hit FROM conversations), b AS (SELECT conv_id, max(CASE WHEN hit THEN 1 ELSE 0 END) AS any_hit FROM t GROUP BY conv_id), s AS (SELECT conv_id FROM conversations WHERE turn = 0 AND strpos(lower(role || ' ' || text), 'a') > 0)
 SELECT t.conv_id, t.turn, 'sentence' AS kind FROM t WHERE hit
-UNION ALL SELECT conv_id, 0, 'summary' FROM b WHERE any_hit = 0 AND conv_id % 3 = 0
+UNION ALL SELECT conv_id, 0, 'summary' FROM b WHERE any_hit = 0 AND conv_id IN (SELECT conv_id FROM s)
 """)
 def fallback_summary(spark, d):
     """Sentence hits of a block; its summary counts only where no sentence hits."""
-    c = table(spark, d, "conversations").select("conv_id", "turn", (text.find_literal(F.col("text"), F.lit("thing")) >= 0).alias("hit"))
-    marked = c.withColumn("any", F.max("hit").over(W.partitionBy("conv_id")))
-    summary = marked.filter(~F.col("any") & (F.col("conv_id") % 3 == 0)).select("conv_id", F.lit(0).cast("long").alias("turn"), F.lit("summary").alias("kind")).distinct()
-    return marked.filter("hit").select("conv_id", "turn", F.lit("sentence").alias("kind")).unionByName(summary)
+    c = table(spark, d, "conversations").select(
+        "conv_id", "turn", (text.find_literal(F.col("text"), F.lit("thing")) >= 0).alias("hit"),
+        ((F.col("turn") == 0) & (text.find_literal(F.concat_ws(" ", "role", "text"), F.lit("a")) >= 0)).alias("in_summary"),
+    )
+    found = c.groupBy("conv_id").agg(F.max("hit").alias("any"), F.max("in_summary").alias("in_summary"))
+    summary = found.filter("NOT any AND in_summary").select("conv_id", F.lit(0).cast("long").alias("turn"), F.lit("summary").alias("kind"))
+    return c.filter("hit").select("conv_id", "turn", F.lit("sentence").alias("kind")).unionByName(summary)
 
 
 @query("tree_line_frequency", f"WITH {_LINES} SELECT line, count(DISTINCT doc_id) AS pages FROM lines GROUP BY line HAVING count(DISTINCT doc_id) >= 3")

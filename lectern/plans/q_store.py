@@ -13,12 +13,12 @@ from lectern.sources import ingest, store
 
 
 @query("store_upsert", """
-WITH inc AS (SELECT l_orderkey AS k, max(l_shipdate) AS v FROM lineitem WHERE l_orderkey % 3 = 0 GROUP BY l_orderkey)
+WITH inc AS (SELECT l_orderkey AS k, max(l_shipdate) AS v FROM lineitem WHERE l_returnflag = 'R' GROUP BY l_orderkey)
 SELECT coalesce(o_orderkey, k) AS k, coalesce(v, o_orderdate) AS v, v IS NOT NULL AND o_orderkey IS NOT NULL AS replaced FROM orders FULL JOIN inc ON o_orderkey = k
 """)
 def upsert(spark, d):
     current = table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_orderdate").alias("v"))
-    incoming = table(spark, d, "lineitem").filter("l_orderkey % 3 = 0").select(F.col("l_orderkey").alias("k"), F.col("l_shipdate").alias("v"))
+    incoming = table(spark, d, "lineitem").filter("l_returnflag = 'R'").select(F.col("l_orderkey").alias("k"), F.col("l_shipdate").alias("v"))
     return store.upsert(current, incoming, ["k"], ["v"])
 
 
@@ -125,9 +125,9 @@ def note_links(spark, d):
     return notes.linked(table(spark, d, "pages"), "page_id", "html").select("page_id", "target", "label")
 
 
-@query("notes_export_rewrite", r"""SELECT page_id, length(regexp_replace(html, '<a\s+href="([^"]*)"[^>]*>([^<]*)</a>', '\2', 'g')) AS n FROM pages""")
+@query("notes_export_rewrite", r"""SELECT page_id, sha256(regexp_replace(html, '<a\s+href="([^"]*)"[^>]*>([^<]*)</a>', '\2', 'g')) AS digest FROM pages""")
 def export_rewrite(spark, d):
-    return table(spark, d, "pages").select("page_id", F.length(notes.without_links(F.col("html"))).alias("n"))
+    return table(spark, d, "pages").select("page_id", F.sha2(notes.without_links(F.col("html")), 256).alias("digest"))
 
 
 @query("notes_query_value", r"SELECT page_id, CASE WHEN regexp_matches(url, '[?&]page=') THEN regexp_extract(url, '[?&]page=([^&#]*)', 1) END AS page FROM pages")
@@ -194,8 +194,9 @@ SELECT user_id, string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY n DESC) AS hi
 """)
 def revisions(spark, d):
     """The last three versions of each record, oldest first."""
-    per = table(spark, d, "events").groupBy("user_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("ts", "event_id"))), F.greatest(F.lit(1), F.count(F.lit(1)).cast("int") - 2), F.lit(3)).alias("h"))
-    return per.select("user_id", F.array_join(F.transform("h", lambda x: x["event_id"].cast("string")), ",").alias("history"))
+    newest = table(spark, d, "events").withColumn("n", F.row_number().over(W.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id")))).filter("n <= 3")
+    three = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("o"), "event_id")))  # three at most
+    return newest.groupBy("user_id").agg(F.array_join(F.transform(three, lambda x: x["event_id"].cast("string")), ",").alias("history"))
 
 
 @query("sets_hidden_slots", "SELECT l_orderkey, count(*) - sum(CASE WHEN l_linestatus = 'F' THEN 1 ELSE 0 END) AS hidden FROM lineitem GROUP BY l_orderkey")

@@ -154,23 +154,23 @@ def stitch(spark, d):
 
 
 @query("transcript_tag_merge", """
-SELECT c.conv_id, c.turn, coalesce(CASE WHEN l.toxic = 1 THEN 'side' END, c.role) AS role, coalesce(CASE WHEN l.quality = 0 THEN 'short' END, left(c.text, 20)) AS summary
+SELECT c.conv_id, c.turn, coalesce(CASE WHEN l.toxic = 1 THEN 'side' END, c.role) AS role, coalesce(CASE WHEN l.quality = 0 THEN 'short' END, c.text) AS summary
 FROM conversations c LEFT JOIN labels l ON c.conv_id = l.doc_id
 """)
 def tag_merge(spark, d):
-    c = table(spark, d, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), "turn", "role", F.substring("text", 1, 20).alias("summary"))
+    c = table(spark, d, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), "turn", "role", F.col("text").alias("summary"))
     t = table(spark, d, "labels").select(F.col("doc_id").alias("conv_id"), F.when(F.col("toxic") == 1, "side").alias("role"), F.when(F.col("quality") == 0, "short").alias("summary"))
     return tr.merge_tags(c, t, ["conv_id"], ["role", "summary"])
 
 
 @query("transcript_edit_guard", r"""
-WITH c AS (SELECT conv_id, turn, substr(regexp_replace(text, '[^A-Za-z ]', '', 'g'), 1, 120) AS a FROM conversations),
+WITH c AS (SELECT conv_id, turn, regexp_replace(text, '[^A-Za-z ]', '', 'g') AS a FROM conversations),
 p AS (SELECT conv_id, turn, a, lead(a) OVER (PARTITION BY conv_id ORDER BY turn) AS b FROM c),
 q AS (SELECT conv_id, turn, a, b, least(80, greatest(1, CAST(floor(length(a) * 0.8) AS INTEGER))) AS lim, levenshtein(a, b) AS dist FROM p WHERE b IS NOT NULL)
 SELECT conv_id, turn, CASE WHEN dist <= lim THEN b ELSE a END AS text, CASE WHEN dist <= lim THEN dist ELSE 0 END AS distance, dist > lim AS rejected FROM q
 """)
 def edit_guard(spark, d):
-    c = table(spark, d, "conversations").select("conv_id", "turn", F.substring(F.regexp_replace("text", "[^A-Za-z ]", ""), 1, 120).alias("a"))
+    c = table(spark, d, "conversations").select("conv_id", "turn", F.regexp_replace("text", "[^A-Za-z ]", "").alias("a"))
     c = c.withColumn("b", F.lead("a").over(W.partitionBy("conv_id").orderBy("turn"))).filter("b IS NOT NULL")
     return c.select("conv_id", "turn", text.guarded_edit(F.col("a"), F.col("b")).alias("g")).select("conv_id", "turn", "g.*")
 
@@ -185,11 +185,11 @@ def glossary(spark, d):
 
 
 @query("transcript_page_gate", """
-SELECT page_id, length(trim(substr(html, 1, 150))) < 200 AND (strpos(html, 'class="ad"') > 0 OR strpos(html, 'cookie') > 0) AS gated FROM pages
+SELECT page_id, length(trim(regexp_replace(html, '<[^>]*>', '', 'g'))) < 200 AND (strpos(html, 'class="ad"') > 0 OR strpos(html, 'cookie') > 0) AS gated FROM pages
 """)
 def page_gate(spark, d):
     p = table(spark, d, "pages")
-    return p.select("page_id", tr.page_gate(F.substring("html", 1, 150), F.col("html"), ('class="ad"', "cookie")).alias("gated"))
+    return p.select("page_id", tr.page_gate(F.regexp_replace("html", "<[^>]*>", ""), F.col("html"), ('class="ad"', "cookie")).alias("gated"))
 
 
 @query("transcript_lossless", """

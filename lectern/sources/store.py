@@ -11,6 +11,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType
 
 KEY = ("account", "course", "sub")
 ID_PART = r"^[^:\s]{1,200}$"
@@ -51,36 +52,81 @@ def remove(current: DataFrame, keys: DataFrame, key: list[str]) -> DataFrame:
 
 
 class DocumentTable:
-    """A table folder with versions; ``account`` and ``course`` are partition columns, so a prefix prunes files."""
+    """A table folder: a folder of files for each value of the first key part, and a log of which are live.
 
-    def __init__(self, spark: SparkSession, path: str, key: tuple[str, ...] = KEY):
-        self.spark, self.path, self.key = spark, path, key
-        self.version: str | None = None
+    Readers follow the log, so a write that failed leaves the table as it was, and any session can open the
+    table by its path. A write rewrites the parts that it touches only; a part is named by a hash of its value, so
+    that values never pass through folder names: '007' stays '007'. The log has a row for each part and write.
+    """
 
-    def _write(self, rows: DataFrame) -> None:
-        version = f"{self.path}/v-{uuid.uuid4().hex}"
-        rows.write.partitionBy(*self.key[:2]).parquet(version)
-        self.version = version
+    def __init__(self, spark: SparkSession, path: str, schema: str, key: tuple[str, ...] = KEY, parts: int = 64):
+        self.spark, self.path, self.schema, self.key, self.parts = spark, path, schema, key, parts
+
+    def _log(self) -> dict[int, str]:
+        """The live folder of each part: PARTS small rows at most are live."""
+        rows = folder_rows(self.spark, f"{self.path}/log", _LOG).groupBy("part").agg(F.max(F.struct("seq", "folder")).alias("m")).collect() if self._exists() else []
+        return {r["part"]: r["m"]["folder"] for r in rows}
+
+    def _exists(self) -> bool:
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/log")
+        return folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(folder)
+
+    def _part(self) -> Column:
+        return F.pmod(F.xxhash64(self.key[0]), F.lit(self.parts)).cast("int")
+
+    def _write(self, rows: DataFrame, touched: list[int]) -> None:
+        """Replace the touched parts by ``rows``, then say so in the log, in one file."""
+        version = f"v-{uuid.uuid4().hex}"
+        rows.withColumn("_part", self._part()).repartition("_part").write.partitionBy("_part").parquet(f"{self.path}/{version}")
+        seq = (folder_rows(self.spark, f"{self.path}/log", _LOG).agg(F.max("seq")).first()[0] if self._exists() else 0) + 1
+        said = [(seq, p, f"{version}/_part={p}") for p in touched]
+        self.spark.createDataFrame(said, _LOG).coalesce(1).write.mode("append").json(f"{self.path}/log")
+
+    def _read(self, parts: list[int] | None = None) -> DataFrame:
+        live = [f for p, f in self._log().items() if parts is None or p in parts]
+        there = [f"{self.path}/{f}" for f in live if self._has(f)]
+        return self.spark.read.schema(self.schema).parquet(*there) if there else self.spark.createDataFrame([], self.schema)
+
+    def _has(self, folder: str) -> bool:
+        """A part whose last row was removed has no folder."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{folder}")
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
+
+    def _touched(self, rows: DataFrame) -> list[int]:
+        return sorted(r[0] for r in rows.select(self._part().alias("p")).distinct().collect())  # PARTS numbers at most
 
     def put(self, rows: DataFrame, order: list[str]) -> DataFrame:
         """Upserts the valid rows and returns the rejects."""
         good, bad = validated(rows, self.key)
-        current = self.read() if self.version else good.limit(0)
-        self._write(upsert(current, good, list(self.key), order).drop("replaced"))
+        if touched := self._touched(good):
+            current = self._read(touched)
+            self._write(upsert(current, good.select(current.columns), list(self.key), order).drop("replaced"), touched)
         return bad
 
     def read(self) -> DataFrame:
-        rows = self.spark.read.parquet(self.version)
-        return rows.withColumns({c: F.col(c).cast("string") for c in self.key[:2]})
+        return self._read()
 
     def get(self, **key: str) -> DataFrame:
-        found = self.read()
+        """Rows by key parts; where the first part is named, only its files are read."""
+        parts = None
+        if self.key[0] in key:
+            named = self.spark.range(1).select(F.lit(key[self.key[0]]).alias(self.key[0]))
+            parts = self._touched(named)
+        found = self._read(parts)
         for k, v in key.items():
             found = found.filter(F.col(k) == v)
         return found
 
     def remove(self, keys: DataFrame) -> None:
-        self._write(remove(self.read(), keys, list(self.key)))
+        if touched := self._touched(keys):
+            self._write(remove(self._read(touched), keys, list(self.key)), touched)
+
+
+_LOG = "seq long, part int, folder string"
+
+
+def folder_rows(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    return spark.read.schema(schema).json(path)
 
 
 def snapshot(rows: DataFrame, path: str) -> None:
@@ -88,7 +134,12 @@ def snapshot(rows: DataFrame, path: str) -> None:
 
 
 def load_snapshot(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
-    """(rows, rejected lines): lines that do not fit the schema are reported and skipped."""
-    lines = spark.read.text(path).withColumn("row", F.from_json("value", schema, {"mode": "PERMISSIVE"}))
-    fine = F.col("row").isNotNull() & F.reduce(F.array(*[F.col(f"row.{f.split()[0]}").isNotNull() for f in schema.split(", ")[:1]]), F.lit(True), lambda a, b: a & b)
-    return lines.filter(fine).select("row.*"), lines.filter(~F.coalesce(fine, F.lit(False))).select("value")
+    """(rows, rejected lines): a line that is no object, or has any field of another type, is reported and skipped.
+
+    Null and missing fields are fine.
+    """
+    struct = DataType.fromDDL(schema)
+    both = f"{schema}, _wrong string"
+    lines = spark.read.text(path).withColumn("row", F.from_json("value", both, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_wrong"}))
+    fine = F.col("row").isNotNull() & F.col("row._wrong").isNull() & F.trim("value").startswith("{")
+    return lines.filter(fine).select(*[f"row.{f.name}" for f in struct.fields]), lines.filter(~F.coalesce(fine, F.lit(False))).select("value")

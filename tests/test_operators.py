@@ -70,6 +70,15 @@ def test_coverage(spark):
     assert got == [(2, "overlap"), (3, "gap"), (3, "missing end")]
 
 
+def test_coverage_with_open_spans_and_bare_lessons(spark):
+    rows = spark.createDataFrame([("a", 1, 1, 2), ("a", 2, 3, None), ("a", 3, 3, 6), ("b", 1, 1, 4)], "lesson string, ord int, `from` int, `to` int")
+    lessons = spark.createDataFrame([("a", 6), ("b", 6), ("c", 4), ("d", 0)], "lesson string, n int")
+    counts = lessons.select("lesson", "n")
+    got = sorted((r.lesson, r.ord or 0, r.expected, r.issue) for r in tr.coverage_issues(rows.join(counts, "lesson"), F.col("n"), "lesson", "ord", lessons=lessons).collect())
+    assert got == [("a", 2, 3, "open"), ("b", 1, 5, "missing end"), ("c", 0, 1, "missing end")]
+
+
+
 def test_page_gate(spark):
     gate = tr.page_gate(F.lit("x" * 200), F.lit("a toolbar"), ("toolbar",))
     assert spark.range(1).select(gate).first()[0] is False

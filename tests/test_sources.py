@@ -8,23 +8,42 @@ from pyspark.sql import functions as F
 from lectern.sources import ingest, store
 
 
+SCHEMA = "account string, course string, sub string, v int, body string"
+
+
 def test_document_table(spark, tmp_path):
-    t = store.DocumentTable(spark, str(tmp_path / "t"))
-    rows = spark.createDataFrame([("1", "c", "s", 1, "a"), ("10", "c", "s", 1, "b"), ("1", "c:x", "s", 1, "bad")], "account string, course string, sub string, v int, body string")
+    t = store.DocumentTable(spark, str(tmp_path / "t"), SCHEMA)
+    assert t.read().count() == 0
+    rows = spark.createDataFrame([("1", "c", "s", 1, "a"), ("10", "c", "s", 1, "b"), ("1", "c:x", "s", 1, "bad"), ("007", "c", "s", 1, "agent")], SCHEMA)
     assert [r.reason for r in t.put(rows, ["v"]).collect()] == ["bad course"]
-    t.put(spark.createDataFrame([("1", "c", "s", 2, "new"), ("1", "c", "s", 3, "newest")], rows.schema), ["v"])
-    assert sorted((r.account, r.body) for r in t.read().collect()) == [("1", "newest"), ("10", "b")]
-    assert [r.body for r in t.get(account="1").collect()] == ["newest"]
-    t.remove(spark.createDataFrame([("1", "c", "s")], "account string, course string, sub string"))
-    assert [r.account for r in t.read().collect()] == ["10"]
+    t.put(spark.createDataFrame([("1", "c", "s", 2, "new"), ("1", "c", "s", 3, "newest")], SCHEMA), ["v"])
+    again = store.DocumentTable(spark, str(tmp_path / "t"), SCHEMA)  # another session opens it by its log
+    assert sorted((r.account, r.body) for r in again.read().collect()) == [("007", "agent"), ("1", "newest"), ("10", "b")]
+    assert [r.body for r in again.get(account="1").collect()] == ["newest"]
+    assert [r.body for r in again.get(account="007", course="c").collect()] == ["agent"] and again.get(account="7").count() == 0
+    again.remove(spark.createDataFrame([("1", "c", "s")], "account string, course string, sub string"))
+    assert sorted(r.account for r in t.read().collect()) == ["007", "10"] and t.get(account="1").count() == 0
+
+
+def test_a_failed_write_leaves_the_table_as_it_was(spark, tmp_path):
+    t = store.DocumentTable(spark, str(tmp_path / "t"), SCHEMA)
+    t.put(spark.createDataFrame([("a", "c", "s", 1, "x")], SCHEMA), ["v"])
+    broken = spark.createDataFrame([("a", "c", "s", 2, "y")], SCHEMA).withColumn("body", F.expr("raise_error('no')"))
+    try:
+        t.put(broken, ["v"])
+    except Exception as e:  # noqa: BLE001
+        assert "no" in str(e)
+    assert [(r.account, r.v, r.body) for r in t.read().collect()] == [("a", 1, "x")]
 
 
 def test_snapshot_reports_bad_lines(spark, tmp_path):
     p = str(tmp_path / "s")
-    store.snapshot(spark.createDataFrame([(1, "x"), (2, "y")], "id int, t string"), p)
-    (Path(p) / "extra.json").write_text("not json\n")
-    good, bad = store.load_snapshot(spark, p, "id int, t string")
-    assert sorted(r.id for r in good.collect()) == [1, 2] and [r.value for r in bad.collect()] == ["not json"]
+    store.snapshot(spark.createDataFrame([(1, "x"), (2, None)], "id int, t string"), p)
+    wrong = ["not json", '{"id": "one", "t": "z"}', '{"id": 3, "t": "z", "n": [1]}', "[1]"]
+    (Path(p) / "extra.json").write_text("\n".join([*wrong, '{"t": "no id"}']) + "\n")
+    good, bad = store.load_snapshot(spark, p, "id int, t string, n int")
+    assert sorted((r.id or 0, r.t) for r in good.collect() if r.t) == [(0, "no id"), (1, "x")] and good.count() == 3
+    assert sorted(r.value for r in bad.collect()) == sorted(wrong)
 
 
 def test_renumbering(spark):
