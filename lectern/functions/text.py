@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 #: Limits of the transcript and rewriting guards.
 MAX_EDITS, MAX_EDIT_RATIO = 80, 0.8
 LENGTH_RATIO, LENGTH_SLACK, MIN_KEPT, MAX_FILLER_KEPT = 1.6, 60, 0.3, 0.34
-TITLE_LIMIT, SHORT_LINE = 90, 30
 PREVIEW_AROUND, PREVIEW_WITHOUT = 60, 120
 BLANK_MARKERS = ("____", "（　）", "()", "[ ]")
 #: A trailing run of these is dropped from an option's key.
@@ -87,38 +86,6 @@ def normal_lecture_text(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, r"\s+", ""), "[，。！？、；：,.!?;]", "")
 
 
-def looks_like_divider(title: Column) -> Column:
-    t = F.trim(title)
-    return t.rlike(r"(?i)^(Chapter|Part)\s+[0-9]+") | t.rlike(r"^第\s*[0-9]+\s*[章节讲部]") | t.rlike(r"^第\s*[一二三四五六七八九十百零]+\s*[章节讲部]")
-
-
-def rejected_as_title(line: Column) -> Column:
-    return (
-        line.contains("|")
-        | line.rlike(r"^(while|if|for|return|Get|Insert|Write)\b")
-        | line.rlike(r"(?i)\b(and|or|but|the|of|to|in|is|are|that|which|with|for)\s*$")
-        | line.rlike(r"[。！？；：]\s*$")
-        | (F.length(line) > TITLE_LIMIT)
-    )
-
-
-def clean_line(raw: Column, rounds: int = 8) -> Column:
-    """Strip markers, bullets and list numbers until nothing changes (eight rounds at most)."""
-
-    def once(s: Column) -> Column:
-        s = F.regexp_replace(s, r"\*\*|__|`|~~", "")
-        s = F.regexp_replace(s, r"(^|\s)[*_]+", "$1")
-        s = F.regexp_replace(s, r"[*_]+(\s|$)", "$1")
-        s = F.regexp_replace(s, r"^[·•▪◦●○◆◇■□★☆→>\-–—+*]+\s*", "")
-        s = F.regexp_replace(s, r"^[0-9]+[.)、]\s*", "")
-        s = F.trim(F.regexp_replace(s, r"[ \t　]+", " "))
-        return F.regexp_replace(s, r"\.{3,}|…+", "……")
-
-    # a fold over the rounds keeps the plan small; the state stays put once it is stable
-    out = F.aggregate(F.array_repeat(F.lit(0), rounds), F.trim(raw), lambda acc, _: once(acc))
-    return F.when(raw.startswith("```") | F.trim(raw).rlike(r"^\|?[\s\-:|]+\|?$"), F.lit("")).otherwise(out)
-
-
 def strip_fences(raw: Column) -> Column:
     text = F.trim(F.replace(F.replace(raw, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n")))
     return F.trim(F.regexp_replace(text, r"^```[a-zA-Z]*\n([\s\S]*?)\n?```$", "$1"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lectern.functions import slide_text as st
 from lectern.functions import text
 from lectern.operators import search, tree
 from lectern.plans.registry import query
@@ -138,31 +139,27 @@ def template(spark, d):
     return g.withColumn("template", tree.template_class(F.col("pages"), F.col("header_pages"), F.col("shell_pages")))
 
 
-@query("tree_title_flags", rf"""
-WITH {_LINES}
-SELECT doc_id, ord, strpos(line, '|') > 0 OR regexp_matches(line, '^(while|if|for|return|Get|Insert|Write)\b') OR regexp_matches(line, '(?i)\b(and|or|but|the|of|to|in|is|are|that|which|with|for)\s*$')
-   OR regexp_matches(line, '[。！？；：]\s*$') OR length(line) > 90 AS rejected,
- regexp_matches(trim(line), '(?i)^(Chapter|Part)\s+[0-9]+') AS divider FROM lines
-""")
+@query("tree_title_flags", f"WITH {_LINES} SELECT doc_id, ord, {st.rejected_as_title_sql('line')} AS rejected, {st.looks_like_divider_sql('line')} AS divider FROM lines")
 def title_flags(spark, d):
-    return _lines(spark, d).select("doc_id", "ord", text.rejected_as_title(F.col("line")).alias("rejected"), text.looks_like_divider(F.col("line")).alias("divider"))
+    return _lines(spark, d).select("doc_id", "ord", st.rejected_as_title(F.col("line")).alias("rejected"), st.looks_like_divider(F.col("line")).alias("divider"))
 
 
-@query("tree_titles", rf"""
+@query("tree_titles", f"""
 WITH {_LINES}, df AS (SELECT line, count(DISTINCT doc_id) AS pages FROM lines GROUP BY line),
-ok AS (SELECT l.*, df.pages, NOT (strpos(line, '|') > 0 OR regexp_matches(line, '^(while|if|for|return|Get|Insert|Write)\b') OR regexp_matches(line, '(?i)\b(and|or|but|the|of|to|in|is|are|that|which|with|for)\s*$')
-   OR regexp_matches(line, '[。！？；：]\s*$') OR length(line) > 90) AS fine,
-   sum(CASE WHEN length(line) <= 30 AND strpos(line, '|') = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id) AS shorts,
-   count(*) OVER (PARTITION BY doc_id, line) AS same FROM lines l JOIN df USING (line))
-SELECT doc_id, ord, line FROM ok WHERE fine AND (pages >= 2 OR (length(line) <= 30 AND shorts = same))
+ok AS (SELECT l.*, df.pages, NOT {st.rejected_as_title_sql('line')} AS fine, count_if(NOT contains(line, '|')) OVER (PARTITION BY doc_id) - CASE WHEN contains(line, '|') THEN 0 ELSE count(*) OVER (PARTITION BY doc_id, line) END AS others,
+   count_if(length(line) <= 30 AND NOT contains(line, '|')) OVER (PARTITION BY doc_id) - CASE WHEN length(line) <= 30 AND NOT contains(line, '|') THEN count(*) OVER (PARTITION BY doc_id, line) ELSE 0 END AS shorts FROM lines l JOIN df USING (line))
+SELECT doc_id, ord, line FROM ok WHERE fine AND (pages >= 2 OR regexp_matches(line, '{st.TITLE_BEGIN}') OR (length(line) <= 30 AND (others = 0 OR shorts = 0)))
 """)
 def titles(spark, d):
-    """Lines that look like titles: not rejected, and on several pages or the only short line of their page."""
+    """Lines that look like titles: not rejected, and on several pages, or begun like one, or the only short line of their page."""
     lines = _lines(spark, d)
-    freq = tree.line_frequency(lines, "line", "doc_id")
-    short = (F.length("line") <= text.SHORT_LINE) & ~F.col("line").contains("|")
-    x = lines.join(freq, "line").withColumns({"shorts": F.count_if(short).over(W.partitionBy("doc_id")), "same": F.count(F.lit(1)).over(W.partitionBy("doc_id", "line"))})
-    return x.filter(~text.rejected_as_title(F.col("line"))).filter("pages >= 2 OR (length(line) <= 30 AND shorts = same)").select("doc_id", "ord", "line")
+    line, page = F.col("line"), W.partitionBy("doc_id")
+    shared = lines.groupBy("line").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("line", F.lit(2).alias("pages"))  # few lines: those on two pages or more
+    bare, short = ~line.contains("|"), (F.length(line) <= st.SHORT_LINE) & ~line.contains("|")
+    same = F.count(F.lit(1)).over(W.partitionBy("doc_id", "line"))
+    x = lines.repartition("doc_id").withColumns({"others": F.count_if(bare).over(page) - F.when(bare, same).otherwise(0), "shorts": F.count_if(short).over(page) - F.when(short, same).otherwise(0)})
+    x = x.filter(~st.rejected_as_title(line)).join(shared, "line", "left")
+    return x.filter(st.title_evidence(line, F.coalesce("pages", F.lit(1)), F.col("others"), F.col("shorts"))).select("doc_id", "ord", "line")
 
 
 _TOPICS = """
@@ -259,10 +256,6 @@ def totals(spark, d):
     return per.groupBy("conv_id").agg(F.count(F.lit(1)).alias("topics"), F.count_if(n > 0).alias("covered"), F.sum(n).alias("blocks"))
 
 
-@query("tree_clean_lines", rf"""
-WITH {_LINES} SELECT doc_id, ord, trim(regexp_replace(regexp_replace(line, '^([·•▪◦●○◆◇■□★☆→>–—+*-]+\s*|[0-9]+[.)、]\s*)+', ''), '[ \t]+', ' ', 'g')) AS line FROM lines
-WHERE NOT regexp_matches(line, '[*_`~|]|[.]{{3}}|…')
-""")
+@query("tree_clean_lines", f"WITH {_LINES} SELECT doc_id, ord, {st.clean_line_sql('line')} AS line FROM lines")
 def clean_lines(spark, d):
-    lines = _lines(spark, d).filter(~F.col("line").rlike(r"[*_`~|]|[.]{3}|…"))
-    return lines.select("doc_id", "ord", text.clean_line(F.col("line")).alias("line"))
+    return _lines(spark, d).select("doc_id", "ord", st.clean_line(F.col("line")).alias("line"))

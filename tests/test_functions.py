@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lectern.functions import clock, rational, text
+from lectern.functions import clock, rational, slide_text, text
 
 
 def one(spark, column, **values):
@@ -68,8 +68,8 @@ def test_blanks_take_the_largest_marker(spark):
 
 
 def test_cleaning(spark):
-    assert one(spark, text.clean_line(F.lit("• 1. **Index**  Generator"))) == "Index Generator"
-    assert one(spark, text.clean_line(F.lit("|---|---|"))) == ""
+    assert one(spark, slide_text.clean_line(F.lit("• 1. **Index**  Generator"))) == "Index Generator"
+    assert one(spark, slide_text.clean_line(F.lit("|---|---|"))) == ""
     assert one(spark, text.strip_fences(F.lit("```json\n{}\n```"))) == "{}"
 
 
