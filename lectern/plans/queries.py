@@ -2,4 +2,4 @@
 
 from __future__ import annotations
 
-from lectern.plans import q_protocol, q_quiz, q_search, q_store, q_transcript, q_tree  # noqa: F401
+from lectern.plans import q_lessons, q_protocol, q_quiz, q_search, q_store, q_transcript, q_tree  # noqa: F401
