@@ -50,7 +50,7 @@ HELD_OUT = 5
 #: So many weights at most go to every task (some 17 MB); all others are joined.
 HEAD = 1 << 20
 #: Parts in which counts, weights and texts pass.
-SLICES = 4
+SLICES = 5
 _ID_BITS = 40
 _MARKS = shingles.mix(np.array([1, 2], np.uint64))  # START and END among the words
 _KEYS = shingles.mix(np.arange(1, 3, dtype=np.uint64)) | np.uint64(1)
