@@ -104,18 +104,20 @@ def greedy_bins(sizes: Column, blocks: int = BIN_BLOCKS, chars: int = BIN_CHARS)
     return F.aggregate(sizes, start, step)["out"]
 
 
-def stitched(blocks: Column, gap_ms: int = STITCH_GAP_MS) -> Column:
+def stitched(blocks: Column, gap_ms: int = STITCH_GAP_MS, opens: bool = False) -> Column:
     """Group number (from 1) of each block: contiguous sentences on different pages within the gap join.
 
-    ``blocks``: array of struct(from, to, first_page, last_page, start_ms, end_ms, joinable) in order.
-    The gap is measured to the latest end in the group.
+    ``blocks``: array of struct(from, to, first_page, last_page, start_ms, end_ms, joinable) in order; with ``opens`` they
+    have such a field too, and a block that opens begins a group whatever stands before it. The gap is measured to the latest end in the group.
     """
-    start = F.struct(F.lit(0).alias("g"), F.lit(None).cast("int").alias("to"), F.lit(None).cast("int").alias("page"), F.lit(None).cast("long").alias("end"), F.lit(False).alias("j"), F.array().cast("array<int>").alias("out"))
+    last = {"g": F.lit(0), "to": F.lit(None).cast("int"), "page": F.lit(None).cast("int"), "end": F.lit(None).cast("long"), "j": F.lit(False)}
+    start = F.struct(*[c.alias(n) for n, c in last.items()], F.array().cast("array<int>").alias("out"))
 
     def step(acc: Column, b: Column) -> Column:
         join = F.coalesce(
             (acc["to"] + 1 == b["from"]) & (acc["page"] != b["first_page"]) & acc["j"] & b["joinable"] & (b["start_ms"] - acc["end"] <= gap_ms), F.lit(False)
         )
+        join = join & ~b["opens"] if opens else join
         g = F.when(join, acc["g"]).otherwise(acc["g"] + 1)
         return F.struct(
             g.alias("g"), b["to"].alias("to"), b["last_page"].alias("page"), F.when(join, F.greatest(acc["end"], b["end_ms"])).otherwise(b["end_ms"]).alias("end"),
