@@ -134,10 +134,15 @@ def merge_tags(blocks: DataFrame, tags: DataFrame, key: list[str], fields: list[
 
 
 def glossary(texts: DataFrame, text: str, page: str, min_count: int = 2, stop_words: tuple[str, ...] = ()) -> DataFrame:
-    """Terms of 2 to 32 characters with their count and number of pages; plain numbers and stop words do not count."""
-    terms = texts.select(page, F.explode(F.split(text, r"[^㐀-鿿A-Za-z0-9]+")).alias("term"))
-    terms = terms.filter(F.length("term").between(2, 32) & ~F.col("term").rlike("^[0-9]+$") & ~F.col("term").isin(*stop_words, ""))
-    return terms.groupBy("term").agg(F.count(F.lit(1)).alias("n"), F.countDistinct(page).alias("pages")).filter(F.col("n") >= min_count)
+    """Terms of 2 to 32 characters with their count and number of pages; plain numbers and stop words do not count.
+
+    ``texts`` has a row a page. A page's terms are sorted in place, so that the first of equals is known and one
+    aggregate counts both.
+    """
+    fit = F.filter(F.split(text, r"[^㐀-鿿A-Za-z0-9]+"), lambda t: F.length(t).between(2, 32) & ~t.rlike("^[0-9]+$") & ~t.isin(*stop_words, ""))
+    marked = F.transform(F.array(F.array_sort(fit)), lambda a: F.transform(a, lambda t, i: F.struct(t.alias("term"), F.coalesce(F.get(a, i - 1) != t, F.lit(True)).alias("first"))))[0]
+    terms = texts.select(F.explode(marked).alias("x")).select("x.term", "x.first")
+    return terms.groupBy("term").agg(F.count(F.lit(1)).alias("n"), F.count_if("first").alias("pages")).filter(F.col("n") >= min_count)
 
 
 def page_gate(page_text: Column, visual: Column, hints: tuple[str, ...]) -> Column:

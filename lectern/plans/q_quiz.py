@@ -143,12 +143,12 @@ def blank_counts(spark, d):
 
 @query("quiz_answer_in_source", r"""
 SELECT b.item_id, d.doc_id, CASE WHEN d.lang = 'es' THEN 'undecided' WHEN strpos(lower(regexp_replace(d.text, '\s+', '', 'g')), lower(regexp_replace(b.text, '\s+', '', 'g'))) > 0 THEN 'pass' ELSE 'fail' END AS verdict
-FROM benchmark b JOIN documents d ON d.doc_id % 40 = b.item_id % 40
+FROM benchmark b JOIN documents d ON d.doc_id = b.item_id
 """)
 def answer_in_source(spark, d):
     docs = table(spark, d, "documents").select("doc_id", F.when(F.col("lang") != "es", F.col("text")).alias("source"))
     bench = table(spark, d, "benchmark").select("item_id", F.col("text").alias("answer"))
-    x = docs.join(bench, F.col("doc_id") % 40 == F.col("item_id") % 40)
+    x = docs.join(bench, F.col("doc_id") == F.col("item_id"))  # an item's source is the document of its number
     return x.select("item_id", "doc_id", ql.answer_in_source(F.col("answer"), F.col("source")).alias("verdict"))
 
 
