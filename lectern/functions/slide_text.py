@@ -86,9 +86,13 @@ def clean_line(raw: Column) -> Column:
             s = F.regexp_replace(s, pattern, to)
         return s
 
-    # a fold over the rounds keeps the plan small; the state stays put once it is stable
+    # a fold over the rounds keeps the plan small; a round that finds the text as it was before does nothing
     trimmed = F.regexp_replace(raw, r"^\s+|\s+$", "")
-    out = F.aggregate(F.array_repeat(F.lit(0), CLEAN_ROUNDS), trimmed, lambda acc, _: once(acc))
+    start = F.struct(trimmed.alias("s"), F.lit(None).cast("string").alias("before"))
+    rounds = F.aggregate(
+        F.array_repeat(F.lit(0), CLEAN_ROUNDS), start, lambda acc, _: F.when(acc["s"].eqNullSafe(acc["before"]), acc).otherwise(F.struct(once(acc["s"]).alias("s"), acc["s"].alias("before")))
+    )
+    out = rounds["s"]
     return F.when(trimmed.startswith(FENCE) | trimmed.rlike(TABLE_RULE), F.lit("")).otherwise(out)
 
 

@@ -72,19 +72,20 @@ def page_heads(slides: DataFrame) -> DataFrame:
 
 
 def topics_of(heads: DataFrame) -> DataFrame:
-    """deck, topic (from 1), title, from_page, to_page, lines: a page without a head goes on, a window's picture begins anew."""
+    """deck, topic (from 1), title, from_page, to_page, lines, divided (the deck has divider pages): a page without a head goes on, a window's picture begins anew."""
     w = W.partitionBy("deck").orderBy("page")
     up = w.rowsBetween(W.unboundedPreceding, 0)
     own = F.when(F.col("head") != "", F.col("head")).when(F.col("window"), F.lit(""))
     named = heads.withColumn("title", F.coalesce(F.last(own, ignorenulls=True).over(up), F.lit("")))
     new = (F.row_number().over(w) == 1) | (F.col("title") != F.lag("title").over(w))
     runs = named.withColumn("new", new.cast("int")).withColumn("topic", F.sum("new").over(up))
-    return runs.groupBy("deck", "topic", "title").agg(F.min("page").alias("from_page"), F.max("page").alias("to_page"), F.sum("body").alias("lines"))
+    topics = runs.groupBy("deck", "topic", "title").agg(F.min("page").alias("from_page"), F.max("page").alias("to_page"), F.sum("body").alias("lines"))
+    return topics.withColumn("divided", F.max(st.looks_like_divider(F.col("title"))).over(W.partitionBy("deck")))
 
 
 def placed_blocks(topics: DataFrame, blocks: DataFrame) -> DataFrame:
-    """deck, block, page, topic, orphan: by one sort of topics and blocks by page; ``blocks``: deck, block, page."""
-    span = F.struct("topic", "from_page", "to_page")
+    """deck, block, page, topic, orphan, divided: by one sort of topics and blocks by page; ``blocks``: deck, block, page."""
+    span = F.struct("topic", "from_page", "to_page", "divided")
     a = topics.select("deck", F.col("from_page").cast("long").alias("at"), F.lit(0).alias("kind"), span.alias("span"), F.lit(None).cast("long").alias("block"))
     b = blocks.select("deck", F.coalesce("page", F.lit(0)).cast("long").alias("at"), F.lit(1).alias("kind"), F.lit(None).cast(a.schema["span"].dataType).alias("span"), F.col("block").cast("long").alias("block"))
     w = W.partitionBy("deck").orderBy("at", "kind")
@@ -94,7 +95,7 @@ def placed_blocks(topics: DataFrame, blocks: DataFrame) -> DataFrame:
     inside = F.coalesce(F.col("at") <= F.col("before.to_page"), F.lit(False))
     nearer = F.col("before").isNull() | F.coalesce(F.col("after.from_page") - F.col("at") < F.col("at") - F.col("before.to_page"), F.lit(False))
     topic = F.when(inside, F.col("before.topic")).when(nearer, F.col("after.topic")).otherwise(F.col("before.topic"))
-    return both.select("deck", "block", F.col("at").alias("page"), topic.alias("topic"), (~inside).alias("orphan"))
+    return both.select("deck", "block", F.col("at").alias("page"), topic.alias("topic"), (~inside).alias("orphan"), F.coalesce("before.divided", "after.divided").alias("divided"))
 
 
 def build_tree(slides: DataFrame, blocks: DataFrame, outline: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -102,12 +103,11 @@ def build_tree(slides: DataFrame, blocks: DataFrame, outline: DataFrame) -> tupl
 
     ``slides``: deck, page, text; ``blocks``: deck, block, page; ``outline``: deck, segment, title, from, to (of blocks).
     """
-    heads = page_heads(slides)
+    heads = page_heads(slides).persist()  # a short row a page, which three results read; a lost part is computed again
     topics = topics_of(heads)
     placed = placed_blocks(topics, blocks)
     covered = expanded_outline(outline, ["deck"], "from", "to", "segment").select("deck", F.col("block").cast("long").alias("block"), "segment")
-    dividers = topics.filter(st.looks_like_divider(F.col("title"))).select("deck").distinct()
-    votes = placed.join(covered, ["deck", "block"]).join(dividers, "deck", "left_anti").groupBy("deck", "topic", "segment").agg(
+    votes = placed.filter("NOT divided").join(covered, ["deck", "block"]).groupBy("deck", "topic", "segment").agg(
         F.count(F.lit(1)).alias("n"), F.min(F.struct("orphan", "page", "block")).alias("first")
     )
     won = votes.groupBy("deck", "topic").agg(F.min(F.struct((-F.col("n")).alias("m"), "first", "segment")).alias("b")).select("deck", "topic", F.col("b.segment").alias("segment"))
@@ -128,4 +128,4 @@ def build_tree(slides: DataFrame, blocks: DataFrame, outline: DataFrame) -> tupl
     decks = heads.groupBy("deck").agg(F.count(F.lit(1)).alias("pages"), F.count_if("header").alias("header_pages"), F.count_if("shell").alias("shell_pages"))
     sums = full.groupBy("deck").agg(F.count(F.lit(1)).alias("topics"), F.count_if(F.col("blocks") > 0).alias("covered_topics"), F.max("chapter").alias("chapters"), F.sum("blocks").alias("blocks"))
     decks = decks.join(sums, "deck").withColumn("template", template_class(F.col("pages"), F.col("header_pages"), F.col("shell_pages")))
-    return full, placed, decks
+    return full, placed.drop("divided"), decks

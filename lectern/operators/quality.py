@@ -96,7 +96,8 @@ def quoted_in(quotes: DataFrame, texts: DataFrame, quote_id: str, text_id: str,
     t = texts.select(F.col(text_id).alias("_t"), squashed(F.col(text)).alias("_text"))
 
     def runs_of(n: int) -> Column:
-        return F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("_text") - n + 1)), lambda i: F.xxhash64(F.substr("_text", i, F.lit(n))))
+        """Every run of n characters, by a look ahead at each place."""
+        return F.transform(F.regexp_extract_all("_text", F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)), lambda run: F.xxhash64(run))
 
     runs = [runs_of(n) for n in lengths]
     met = t.select("_t", F.explode(F.array_distinct(F.concat(*runs) if runs else F.array().cast("array<bigint>"))).alias("_run")).join(q.select("_q", "_run"), "_run").select("_t", "_q").distinct()
