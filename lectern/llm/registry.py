@@ -7,6 +7,7 @@ from lectern.llm import (
     exact_dedup,
     license_scan,
     ngram_join,
+    private_data,
     quality_lm,
     source_mix,
     suffix_dedup,
@@ -15,7 +16,7 @@ from lectern.llm import (
     warc,
 )
 
-_MODULES = (ngram_join, source_mix, token_count, exact_dedup, license_scan, warc, decontaminate, quality_lm, url_filter, suffix_dedup)
+_MODULES = (ngram_join, source_mix, token_count, exact_dedup, license_scan, warc, decontaminate, quality_lm, url_filter, suffix_dedup, private_data)
 
 QUERIES: dict = {}
 ORACLE: dict = {}
