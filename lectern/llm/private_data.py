@@ -139,7 +139,7 @@ def _folding() -> dict[int, str]:
 
 
 FOLDING = _folding()
-FOLDED = re.compile("[" + "".join(map(chr, sorted(FOLDING))) + "]")
+FOLDED = frozenset(map(chr, FOLDING))
 UNSEEN = re.compile(f"[{INVISIBLE}]+")
 
 DOT_WORD = r"(?:dot|punto|punkt|point)"
@@ -270,7 +270,8 @@ def _lettered(text: str) -> str:
     return "".join(out) + text[copied:] if out else text
 
 
-_HINTS = ("(", "[", "{", "<", "&#", "&commat;", "&period;", "%40", "%2e", " @", "@ ", " at ", "dot", "punt", "punkt", "point", "arroba", "arobase")
+_MARKED_HINTS = ("(", "[", "{", "<", "&#", "&commat;", "&period;", "%40", "%2e")
+_BARE_HINTS = (" at ", "\tat", "at\t", "@", "arroba", "arobase")
 
 
 def clear_text(text: str) -> tuple[str, list[Tape], list[tuple[int, int]]]:
@@ -285,15 +286,17 @@ def clear_text(text: str) -> tuple[str, list[Tape], list[tuple[int, int]]]:
 
     now, alone = text, []
     if not now.isascii():
-        if UNSEEN.search(now):
+        signs = set(now)
+        if not signs.isdisjoint(INVISIBLE):
             now = through(now, [(*m.span(), "") for m in UNSEEN.finditer(now)])
-        if FOLDED.search(now):
+        if not signs.isdisjoint(FOLDED):
             now = now.translate(FOLDING)
     lower = now.lower()
-    if any(h in lower for h in _HINTS):
+    if any(h in lower for h in _MARKED_HINTS):
         now = through(now, [(*m.span(), "@" if m["at"] else ".") for m in MARKED.finditer(now)])
-        if "dot" in lower or " at " in lower or "@" in now or "arroba" in lower or "arobase" in lower:
-            now = through(now, _addresses(now))
+        lower = now.lower()
+    if any(h in lower for h in _BARE_HINTS):
+        now = through(now, _addresses(now))
         lower = now.lower()
     if SPELLED_HINT.search(lower):
         pieces, runs = _spelled(now)
