@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from lectern.llm import (
+    centroids,
     collocations,
     decontaminate,
     exact_dedup,
@@ -17,7 +18,7 @@ from lectern.llm import (
     warc,
 )
 
-_MODULES = (ngram_join, source_mix, token_count, exact_dedup, license_scan, warc, decontaminate, quality_lm, url_filter, suffix_dedup, private_data, collocations)
+_MODULES = (ngram_join, source_mix, token_count, exact_dedup, license_scan, warc, decontaminate, quality_lm, url_filter, suffix_dedup, private_data, collocations, centroids)
 
 QUERIES: dict = {}
 ORACLE: dict = {}
