@@ -26,6 +26,8 @@ SPDX = (
     "EPL-2.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "ISC", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only",
     "LGPL-3.0-or-later", "MIT", "MPL-2.0", "Unlicense", "WTFPL", "Zlib",
 )
+#: Older tags and what they are called now.
+SPDX_OLD = (("AGPL-3.0", "AGPL-3.0-only"), ("GPL-2.0", "GPL-2.0-only"), ("GPL-3.0", "GPL-3.0-only"), ("LGPL-2.1", "LGPL-2.1-only"), ("LGPL-3.0", "LGPL-3.0-only"))
 #: Titles that stand in a line of their own, with the licence they name.
 TITLES = (
     ("MIT License", "MIT"), ("The MIT License", "MIT"), ("The MIT License (MIT)", "MIT"), ("ISC License", "ISC"), ("BSD 2-Clause License", "BSD-2-Clause"),
@@ -60,6 +62,7 @@ SENTENCES = (
     ("bsd-binary", "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."),
     ("bsd-endorse", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
     ("isc-grant", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("isc-grant-and", "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
     ("unlicense-free", "This is free and unencumbered software released into the public domain."),
     ("mpl2-notice", "This Source Code Form is subject to the terms of the Mozilla Public License, v."),
     ("mpl2-copy", "If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
@@ -93,6 +96,8 @@ RULES = (
     ("MPL-2.0", ("mpl2-notice",)),
     ("ISC", ("isc-grant", "mit-asis")),
     ("ISC", ("isc-grant",)),
+    ("ISC", ("isc-grant-and", "mit-asis")),
+    ("ISC", ("isc-grant-and",)),
     ("Unlicense", ("unlicense-free",)),
     ("BSD-3-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse")),
     ("BSD-2-Clause", ("bsd-grant", "bsd-source", "bsd-binary")),
@@ -101,6 +106,8 @@ RULES = (
 MARKS = r"\n[ \t\x0B\f]*(?:<!--|--|[*#/;%!>\-]+)?[ \t\x0B\f]*"
 SPACE = r"[ \t\x0B\f]"
 CUT = "\x01"
+#: A tag's name, and how many licences one tag may join to the first by OR or AND.
+TAG, JOINED_TAGS = rf"spdx-license-identifier:{SPACE}*\(*", 4
 
 
 def normal(sentence: str) -> str:
@@ -110,7 +117,8 @@ def normal(sentence: str) -> str:
 def lines_known(titles=TITLES, spdx=SPDX) -> list[tuple[str, str, str]]:
     """(normalised line, identifier, licence) of titles and tags."""
     out = [(normal(t), "title-" + normal(t).replace(" ", "-"), licence) for t, licence in titles]
-    return out + [(normal("SPDX-License-Identifier " + x), "spdx-" + x.lower(), x) for x in spdx]
+    tags = [*((x, x) for x in spdx), *SPDX_OLD]
+    return out + [(normal("SPDX-License-Identifier " + x), "spdx-" + x.lower(), licence) for x, licence in tags]
 
 
 def _parts(sentences=SENTENCES) -> dict[str, list[str]]:
@@ -130,17 +138,17 @@ def known_sentences(sentences=SENTENCES, titles=TITLES, spdx=SPDX) -> dict[str,
 
 
 def ordered_rules(rules=RULES, sentences=SENTENCES, titles=TITLES, spdx=SPDX) -> list[tuple[str, str]]:
-    """(licence, identifiers as ``,a,b,``), longest sequence first."""
+    """(licence, identifiers as ``,a,,b,``: each has commas of its own, so that neighbours are told apart), longest sequence first."""
     known, parts = known_sentences(sentences, titles, spdx), _parts(sentences)
     out = {(licence, f",{i},") for _, i, licence in lines_known(titles, spdx)}
-    out |= {(licence, "," + "".join(f"{known[p]}," for x in ids for p in parts[x])) for licence, ids in rules}
+    out |= {(licence, "".join(f",{known[p]}," for x in ids for p in parts[x])) for licence, ids in rules}
     return sorted(out, key=lambda r: (-r[1].count(","), r))
 
 
 def _title_pattern(titles=TITLES) -> str:
     """A line that is a title or a tag, whatever stands between its words and behind the last; lines are two line ends apart."""
     spaced = sorted({normal(t).replace(" ", r"[^A-Za-z0-9\n]+") for t, _ in titles}, key=lambda t: (-len(t), t))
-    return r"(?i)\n((?:" + "|".join(spaced) + rf"|spdx-license-identifier:{SPACE}*[a-z0-9.+\-]+)[^A-Za-z0-9\n]*)\n"
+    return r"(?i)\n((?:" + "|".join(spaced) + rf"|{TAG}[a-z0-9.+\-]+)[^A-Za-z0-9\n]*)\n"
 
 
 #: Steps in turn: pattern and replacement, with $1 for the first group.
@@ -148,8 +156,11 @@ def steps(titles=TITLES) -> list[tuple[str, str]]:
     return [
         (r"\r\n?", "\n"),
         (MARKS, "\n\n"),
+        (rf"(?i)({TAG}[a-z0-9.\-]+)\+", "$1-or-later"),
+        (rf"(?i)({TAG}[a-z0-9.\-]+)\)?{SPACE}+with{SPACE}+[a-z0-9.\-]+", "$1"),
+        *[(rf"(?i)({TAG})([a-z0-9.\-]+)\)?{SPACE}+(?:or|and){SPACE}+\(*", "$1$2\n\n$1")] * JOINED_TAGS,
         (_title_pattern(titles), "\n\n\n$1\n\n\n"),
-        (rf"(?i)(spdx-license-identifier):{SPACE}*", "$1 "),
+        (rf"(?i)(spdx-license-identifier):{SPACE}*\(*", "$1 "),
         (r"\n\n\n+", CUT),
         (rf"([.!?;:])[\n \t\x0B\f]+", "$1" + CUT),
     ]
@@ -170,7 +181,7 @@ def sentence_ids(text: Column, sentences=SENTENCES, titles=TITLES, spdx=SPDX) ->
 
 def matched(ids: Column, rules=RULES, sentences=SENTENCES, titles=TITLES, spdx=SPDX) -> tuple[Column, Column]:
     """Licences of the rules that match, and the identifiers that no rule covers."""
-    rest = F.concat(F.lit(","), F.array_join(F.transform(ids, lambda i: F.concat(i, F.lit(","))), ""))
+    rest = F.array_join(F.transform(ids, lambda i: F.concat(F.lit(","), i, F.lit(","))), "")
     found = F.array().cast("array<string>")
     listed = F.array(*[F.struct(F.lit(a).alias("licence"), F.lit(b).alias("ids")) for a, b in ordered_rules(rules, sentences, titles, spdx)])
     start = F.struct(rest.alias("rest"), found.alias("found"))
@@ -208,32 +219,34 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _sql() -> str:
     known = ", ".join(f"('{k}', '{v}')" for k, v in known_sentences().items())
-    rest = "',' || array_to_string(ids, ',') || ','"
+    rest = "',' || array_to_string(ids, ',,') || ','"
     cut = "chr(10) || coalesce(text, '') || chr(10)"
     for pattern, to in steps():
-        to = to.replace("$1", "\\1").replace("\n", "' || chr(10) || '").replace(CUT, "' || chr(1) || '")
+        to = to.replace("$1", "\\1").replace("$2", "\\2").replace("\n", "' || chr(10) || '").replace(CUT, "' || chr(1) || '")
         cut = f"regexp_replace({cut}, '{pattern}', '{to}', 'g')"
     chain, prev = [], "r0"
     for i, (licence, ids) in enumerate(ordered_rules(), 1):
-        chain.append(f"r{i} AS (SELECT doc_id, ids, replace(rest, '{ids}', ',;,') AS rest, CASE WHEN strpos(rest, '{ids}') > 0 THEN list_append(found, '{licence}') ELSE found END AS found FROM {prev})")
+        chain.append(f"r{i} AS (SELECT rn, ids, replace(rest, '{ids}', ',;,') AS rest, CASE WHEN strpos(rest, '{ids}') > 0 THEN list_append(found, '{licence}') ELSE found END AS found FROM {prev})")
         prev = f"r{i}"
     return rf"""
 WITH known(s, i) AS (VALUES {known}),
-y AS (
-  SELECT doc_id, string_split({cut}, chr(1)) AS ss FROM documents
+d AS MATERIALIZED (
+  SELECT row_number() OVER () AS rn, doc_id, text FROM documents
+), y AS (
+  SELECT rn, string_split({cut}, chr(1)) AS ss FROM d
 ), z AS (
-  SELECT doc_id, unnest(ss) AS s, generate_subscripts(ss, 1) AS k FROM y
+  SELECT rn, unnest(ss) AS s, generate_subscripts(ss, 1) AS k FROM y
 ), n AS (
-  SELECT doc_id, k, trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g')) AS s FROM z
+  SELECT rn, k, trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g')) AS s FROM z
 ), h AS (
-  SELECT doc_id, list(known.i ORDER BY k) AS ids FROM n JOIN known ON n.s = known.s GROUP BY doc_id
+  SELECT rn, list(known.i ORDER BY k) AS ids FROM n JOIN known ON n.s = known.s GROUP BY rn
 ), r0 AS (
-  SELECT doc_id, ids, {rest} AS rest, CAST([] AS VARCHAR[]) AS found FROM h
+  SELECT rn, ids, {rest} AS rest, CAST([] AS VARCHAR[]) AS found FROM h
 ), {", ".join(chain)}
 SELECT d.doc_id, coalesce(array_to_string(ids, ','), '') AS sentence_ids, coalesce(len(ids), 0) AS n_sentences,
        coalesce(array_to_string(list_sort(list_distinct(found)), '|'), '') AS licences,
        coalesce(len(list_filter(string_split(rest, ','), lambda q: q <> '' AND q <> ';')), 0) AS unmatched
-FROM documents d LEFT JOIN {prev} ON d.doc_id = {prev}.doc_id
+FROM d LEFT JOIN {prev} ON d.rn = {prev}.rn
 """
 
 

@@ -273,6 +273,20 @@ def wrapped(*paragraphs, mark="", width=70, end="\n"):
     return end.join(mark + line for x in paragraphs for line in [*textwrap.wrap(x, width), ""])
 
 
+def plain_rules(sentence_ids):
+    """Licences and what is left over, by walking lists: longest rule first, each place once, left to right."""
+    left, found = sentence_ids.split(",") if sentence_ids else [], []
+    rules = sorted(((licence, ids[1:-1].split(",,")) for licence, ids in license_scan.ordered_rules()), key=lambda r: (-len(r[1]), r[0], r[1]))
+    for licence, ids in rules:
+        i = 0
+        while i + len(ids) <= len(left):
+            if left[i : i + len(ids)] == ids:
+                left[i : i + len(ids)] = [None]
+                found.append(licence)
+            i += 1
+    return "|".join(sorted(set(found))), sum(x is not None for x in left)
+
+
 def test_licences(spark):
     known = dict(license_scan.SENTENCES)
     mit = [known[k] for k in ("mit-grant", "mit-condition")] + [known["mit-asis"] + " " + known["mit-liability"]]
@@ -285,10 +299,15 @@ def test_licences(spark):
         (8, "MIT License\n\nCopyright (c) 2020 X\n\n" + wrapped(*mit)), (9, wrapped("Copyright 2020 X", *apache, mark="# ")), (10, "/*\r\n" + wrapped(gpl, mark=" * ", end="\r\n")),
         (11, wrapped(*bsd)), (12, "MIT"), (13, "She studied at MIT.\nMIT."), (14, "// SPDX-License-Identifier: MIT"), (15, "# SPDX-License-Identifier: Apache-2.0"),
         (16, "=" * 900 + "\nMIT License\ncode"), (17, "MIT License\nISC License"), (18, "word " * 100_000 + "\n\n" + wrapped(*mit) + "\n\n" + "word " * 100_000), (19, "SPDX-License-Identifier:\nMIT"), (None, "\x01MIT License"),
+        (20, "Released under the MIT License.\n" * 2), (21, "Released under the MIT License.\n" * 3), (22, "MIT License\nMIT License"), (23, "// SPDX-License-Identifier: MIT OR Apache-2.0"), (24, "# SPDX-License-Identifier: GPL-2.0"),
+        (25, "SPDX-License-Identifier: (GPL-2.0+ WITH Classpath-exception-2.0) AND BSD-3-Clause AND ISC\nx"), (26, known["isc-grant-and"]), (27, "SPDX-License-Identifier: (MIT)"), (28, "MIT License\n\n" + known["mit-condition"] + "\nMIT License"),
     ]
     got = sorted(((r.doc_id, r.licences, r.unmatched > 0) for r in license_scan.scan_licences(frame(spark, rows)).collect()), key=str)
     want = {0: "MIT", 1: "CC-BY-NC-4.0|MIT", 6: "MIT", 8: "MIT", 9: "Apache-2.0", 10: "GPL-3.0-or-later", 11: "BSD-2-Clause", 14: "MIT", 15: "Apache-2.0", 16: "MIT", 17: "ISC|MIT", 18: "MIT", 19: "MIT", None: "MIT"}
-    assert got == sorted([(i, want.get(i, ""), i == 5) for i, _ in rows], key=str)
+    want |= {20: "MIT", 21: "MIT", 22: "MIT", 23: "Apache-2.0|MIT", 24: "GPL-2.0-only", 25: "BSD-3-Clause|GPL-2.0-or-later|ISC", 26: "ISC", 27: "MIT", 28: "MIT"}
+    assert got == sorted([(i, want.get(i, ""), i in (5, 28)) for i, _ in rows], key=str)
+    by_rules = sorted([plain_rules(r.sentence_ids) for r in license_scan.scan_licences(frame(spark, rows)).collect()], key=str)
+    assert by_rules == sorted([(r.licences, r.unmatched) for r in license_scan.scan_licences(frame(spark, rows)).collect()], key=str)
     assert license_scan.scan_licences(frame(spark, [])).count() == 0
     con = duckdb.connect()
     con.register("documents", pa.table({"doc_id": pa.array([i for i, _ in rows], pa.int64()), "text": pa.array([t for _, t in rows], pa.string())}))
