@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,9 +34,11 @@ BLOCK = 1 << 16
 #: Counters stop here; a minimum count has to be lower.
 FULL = 255
 #: Distinct words, and distinct pairs or triples, that a task holds before it gives out what it counted.
-WORDS, PHRASES = 1 << 19, 1 << 21
+WORDS, PHRASES = 1 << 18, 1 << 20
+#: Rows of a batch of partial counts.
+ROWS = 1 << 16
 #: Bytes read at once; a longer text is cut between pieces.
-CHUNK = 2 << 20
+CHUNK = 1 << 20
 #: Salts of a language's phrases in the first of two rounds that choose the best.
 SALTS = 64
 
@@ -199,17 +202,17 @@ class _Task:
 
     def counted(self) -> Iterator[pa.RecordBatch]:
         """What was counted so far; the task starts anew."""
-        words = self.vocabulary.words
+        words = pa.array(self.vocabulary.words, pa.binary())
         for lang, n in self.single.items():
             at = np.flatnonzero(n)
-            for lo in range(0, len(at), 1 << 16):
-                part = at[lo : lo + (1 << 16)].tolist()
-                yield _batch(lang, [words[i] for i in part], n[part])
-        for lang, counts in self.phrases.items():
-            keys, n = counts.merge()
-            for lo in range(0, len(n), 1 << 16):
-                rows = keys[lo : lo + (1 << 16)].tolist()
-                yield _batch(lang, [b" ".join([words[i] for i in r]) for r in rows], n[lo : lo + len(rows)])
+            for lo in range(0, len(at), ROWS):
+                part = at[lo : lo + ROWS]
+                yield _batch(lang, words.take(pa.array(part)), n[part])
+        for lang in list(self.phrases):
+            keys, n = self.phrases.pop(lang).merge()
+            for lo in range(0, len(n), ROWS):
+                parts = [words.take(pa.array(column)) for column in keys[lo : lo + ROWS].T]
+                yield _batch(lang, pc.binary_join_element_wise(*parts, b" "), n[lo : lo + ROWS])
         self.clear()
 
     def cells(self) -> Iterator[pa.RecordBatch]:
@@ -239,9 +242,9 @@ def _chunks(texts: pa.Array) -> Iterator[bytes]:
         yield b"\n".join(part)
 
 
-def _batch(lang: str, phrases: list[bytes], n: np.ndarray) -> pa.RecordBatch:
+def _batch(lang: str, phrases: pa.Array, n: np.ndarray) -> pa.RecordBatch:
     k = len(phrases)
-    return pa.RecordBatch.from_arrays([pa.array([lang] * k, pa.string()), pa.array(phrases, pa.binary()).cast(pa.string()), pa.nulls(k, pa.int32()), pa.array(n, pa.int64()), pa.nulls(k, pa.binary())], names=["lang", "phrase", "block", "n", "cells"])
+    return pa.RecordBatch.from_arrays([pa.array([lang] * k, pa.string()), phrases.cast(pa.string()), pa.nulls(k, pa.int32()), pa.array(n, pa.int64()), pa.nulls(k, pa.binary())], names=["lang", "phrase", "block", "n", "cells"])
 
 
 def _hash(word: bytes) -> int:
@@ -282,7 +285,7 @@ def _pass(texts: DataFrame, words: int, bits: int, frequent: Bitmap | None, cell
         yield from task.cells()
 
     spark = texts.sparkSession
-    with settings(spark, spark__sql__execution__arrow__maxRecordsPerBatch="4000", spark__sql__execution__arrow__maxBytesPerBatch=str(8 << 20)):
+    with settings(spark, spark__sql__execution__arrow__maxRecordsPerBatch="2000", spark__sql__execution__arrow__maxBytesPerBatch=str(4 << 20)):
         return durable(texts.mapInArrow(run, PARTIAL), f"phrases-{words}", compression="zstd")
 
 
