@@ -49,35 +49,46 @@ def unfenced(raw: Column) -> Column:
 
 def kind(v: Column) -> Column:
     """object, array, string, number, boolean or null; SQL null where there is no value."""
-    s = F.schema_of_variant(v)
-    named = F.when(s.startswith("OBJECT"), "object").when(s.startswith("ARRAY"), "array").when(s == "STRING", "string")
-    return named.when(s == "BOOLEAN", "boolean").when(s == "VOID", "null").when(s.isNotNull(), "number")
+
+    def name(s: Column) -> Column:
+        named = F.when(s.startswith("OBJECT"), "object").when(s.startswith("ARRAY"), "array").when(s == "STRING", "string")
+        return named.when(s == "BOOLEAN", "boolean").when(s == "VOID", "null").when(s.isNotNull(), "number")
+
+    return let(F.schema_of_variant(v), name)
 
 
 def member(v: Column, *names: str) -> Column:
     """The first of these fields that is there and not null."""
-    found = [F.try_variant_get(v, F.lit(f"$['{n}']"), "variant") for n in names]
-    return F.coalesce(*[F.when(~F.is_variant_null(x), x) for x in found])
+
+    def first(o: Column) -> Column:
+        found = [F.try_variant_get(o, F.lit(f"$['{n}']"), "variant") for n in names]
+        return F.coalesce(*[F.when(~F.is_variant_null(x), x) for x in found])
+
+    return let(v, first)
 
 
 def elements(v: Column) -> Column:
     """The elements of an array, null for any other value."""
-    return F.when(kind(v) == "array", F.try_variant_get(v, "$", "array<variant>"))
+    return let(v, lambda x: F.when(kind(x) == "array", F.try_variant_get(x, "$", "array<variant>")))
 
 
 def scalar(v: Column) -> Column:
     """Text of a string, number or boolean."""
-    return F.when(kind(v).isin("string", "number", "boolean"), F.try_variant_get(v, "$", "string"))
+    return let(v, lambda x: F.when(kind(x).isin("string", "number", "boolean"), F.try_variant_get(x, "$", "string")))
 
 
 def string(v: Column) -> Column:
-    return F.when(kind(v) == "string", F.try_variant_get(v, "$", "string"))
+    return let(v, lambda x: F.when(kind(x) == "string", F.try_variant_get(x, "$", "string")))
 
 
 def whole(v: Column) -> Column:
     """A whole number that is written as a number; 3.0 is one, "3" is not."""
-    n = F.try_variant_get(v, "$", "double")
-    return F.when((kind(v) == "number") & (n == F.floor(n)), F.try_variant_get(v, "$", "bigint"))
+
+    def read(x: Column) -> Column:
+        n = F.try_variant_get(x, "$", "double")
+        return F.when((kind(x) == "number") & (n == F.floor(n)), F.try_variant_get(x, "$", "bigint"))
+
+    return let(v, read)
 
 
 def picked(v: Column, names: tuple[str, ...]) -> Column:
@@ -86,10 +97,8 @@ def picked(v: Column, names: tuple[str, ...]) -> Column:
 
 def aliased(value: Column, names: dict[str, tuple[str, ...]]) -> Column:
     """The name that a value is an alias of, else the value."""
-    out = value
-    for name, aliases in names.items():
-        out = F.when(value.isin(*aliases), name).otherwise(out)
-    return out
+    known = F.create_map(*[F.lit(x) for name, aliases in names.items() for a in aliases for x in (a, name)])
+    return let(value, lambda x: F.coalesce(F.try_element_at(known, x), x))
 
 
 def decoded(raw: Column) -> Column:
@@ -151,15 +160,16 @@ def objects(candidates: Column) -> Column:
 
 
 def _block(item: Column) -> Column:
-    wire = block_kind(F.coalesce(scalar(member(item, "kind", "label")), F.lit("")))
-    label = F.lit(None).cast("string")
-    for w, name in BLOCK_KINDS:
-        label = F.when(wire == w, name).otherwise(label)
     fields = {"text": ("text", "body"), "stem": ("stem",), "solution": ("solution",)}
-    return F.struct(
-        wire.alias("kind"), F.coalesce(string(member(item, "title")), label).alias("title"), *[picked(item, names).alias(n) for n, names in fields.items()],
-        F.coalesce(string(member(item, "map")), F.lit("")).alias("map"), label.alias("name"),
-    )
+
+    def of(wire: Column) -> Column:
+        label = F.try_element_at(F.create_map(*[F.lit(x) for pair in BLOCK_KINDS for x in pair]), wire)
+        return F.struct(
+            wire.alias("kind"), F.coalesce(string(member(item, "title")), label).alias("title"), *[picked(item, names).alias(n) for n, names in fields.items()],
+            F.coalesce(string(member(item, "map")), F.lit("")).alias("map"), label.alias("name"),
+        )
+
+    return let(let(scalar(member(item, "kind", "label")), block_kind), of)
 
 
 def shown(kind_: Column, text: Column, stem: Column, solution: Column) -> Column:
@@ -193,11 +203,14 @@ def _topic(chapter: Column, t: Column) -> Column:
 
     def read(b: Column) -> Column:
         spoken = F.transform(b, lambda x: F.struct(F.when(bare(x["title"]) != "", bare(x["title"])).otherwise(x["name"]).alias("label"), shown(x["kind"], x["text"], x["stem"], x["solution"]).alias("text")))
-        texts, number = F.coalesce(spoken, passages(t)), whole(member(t, "t", "i"))
-        unknown = F.coalesce(F.exists(b, lambda x: x["kind"].isNull()), F.lit(False))
-        problem = F.when(number.isNull(), "TOPIC_NUMBER").when(unknown, "BLOCK_KIND").when(F.size(texts) == 0, "NO_BODY")
         plain = F.coalesce(F.transform(b, lambda x: F.struct(*[x[n].alias(n) for n in ("kind", "title", "text", "stem", "solution", "map")])), F.array().cast(f"array<{BLOCK}>"))
-        return F.struct(F.struct(chapter.alias("chapter"), number.alias("topic"), texts.alias("passages"), plain.alias("blocks")).alias("topic"), problem.alias("problem"))
+        unknown = F.coalesce(F.exists(b, lambda x: x["kind"].isNull()), F.lit(False))
+
+        def judged(x: Column) -> Column:
+            problem = F.when(x["number"].isNull(), "TOPIC_NUMBER").when(unknown, "BLOCK_KIND").when(F.size(x["texts"]) == 0, "NO_BODY")
+            return F.struct(F.struct(chapter.alias("chapter"), x["number"].alias("topic"), x["texts"].alias("passages"), plain.alias("blocks")).alias("topic"), problem.alias("problem"))
+
+        return let(F.struct(whole(member(t, "t", "i")).alias("number"), F.coalesce(spoken, passages(t)).alias("texts")), judged)
 
     return let(slots(t), read)
 
@@ -217,13 +230,13 @@ def _chapters(root: Column) -> Column:
         return F.transform(items, lambda c: F.struct(member(c, "c").alias("c"), elements(member(c, "topics", "items")).alias("topics")))
 
     def within(v: Column) -> Column:
-        c = member(v, "c")
-        lone = F.array(F.struct(F.when(kind(c) == "number", c).otherwise(F.parse_json(F.lit("1"))).alias("c"), F.array(v).alias("topics")))
+        number = let(member(v, "c"), lambda c: F.when(kind(c) == "number", c).otherwise(F.parse_json(F.lit("1"))))
+        lone = F.array(F.struct(number.alias("c"), F.array(v).alias("topics")))
         return F.when(member(v, "chapters").isNotNull(), listed(member(v, "chapters"))).when(kind(member(v, "slots")) == "array", lone)
 
     inner = F.filter(F.map_values(F.try_variant_get(root, "$", "map<string,variant>")), lambda v: F.coalesce((kind(v) == "object") & member(v, "chapters").isNotNull(), F.lit(False)))
     wrapped = F.when((kind(root) == "object") & member(root, "chapters").isNull(), F.get(inner, F.lit(0)))
-    return F.when(kind(root) == "array", listed(root)).otherwise(within(F.coalesce(wrapped, root)))
+    return F.when(kind(root) == "array", listed(root)).otherwise(let(F.coalesce(wrapped, root), within))
 
 
 def written_answer(raw: Column) -> Column:
@@ -281,8 +294,7 @@ def evidence(v: Column) -> Column:
 
 
 def _evidence_kind(name: Column) -> Column:
-    known = aliased(F.lower(name), EVIDENCE_KINDS)
-    return F.when(known.isin(*EVIDENCE_KINDS), known).otherwise(name)
+    return let(name, lambda n: let(aliased(F.lower(n), EVIDENCE_KINDS), lambda known: F.when(known.isin(*EVIDENCE_KINDS), known).otherwise(n)))
 
 
 def choices(v: Column) -> Column:
@@ -290,8 +302,8 @@ def choices(v: Column) -> Column:
     pattern = r"(?s)^\s*([A-Za-z])\s*[.、．)]\s*(.+)$"
 
     def line(x: Column) -> Column:
-        label, text = bare(picked(x, LABEL)), bare(picked(x, TEXT))
-        return F.when(kind(x) == "string", string(x)).when((kind(x) == "object") & (label != "") & (text != ""), F.concat(label, F.lit(". "), text))
+        named = let(F.struct(bare(picked(x, LABEL)).alias("label"), bare(picked(x, TEXT)).alias("text")), lambda c: F.when((c["label"] != "") & (c["text"] != ""), F.concat(c["label"], F.lit(". "), c["text"])))
+        return F.when(kind(x) == "string", string(x)).when(kind(x) == "object", named)
 
     lines = F.when(kind(v) == "string", F.split(string(v), "\n")).otherwise(F.transform(elements(v), line))
     fit = F.filter(F.transform(lines, lambda s: F.regexp_replace(bare(s), "\n", " ")), lambda s: s.rlike(pattern))
@@ -336,11 +348,14 @@ def question_turn(candidates: Column) -> Column:
 
 
 def _turn(n: Column, o: Column) -> Column:
-    tool, query = bare(string(member(o, "tool"))), bare(scalar(member(member(o, "args"), "query")))
-    called = tool != ""
-    problem = F.when(n == 0, "NO_JSON").when(o.isNull(), "NEITHER").when(called & ~tool.isin(*TOOLS), "TOOL_NOT_ALLOWED").when(called & (query == ""), "NO_QUERY")
-    ok = problem.isNull() & called
-    return F.struct(F.when(ok, tool).alias("tool"), F.when(ok, query).alias("query"), F.when(problem.isNull() & ~called, drafts(member(o, "questions"))).alias("questions"), problem.alias("problem"))
+    def judged(x: Column) -> Column:
+        tool, query = x["tool"], x["query"]
+        called = tool != ""
+        problem = F.when(n == 0, "NO_JSON").when(o.isNull(), "NEITHER").when(called & ~tool.isin(*TOOLS), "TOOL_NOT_ALLOWED").when(called & (query == ""), "NO_QUERY")
+        ok = problem.isNull() & called
+        return F.struct(F.when(ok, tool).alias("tool"), F.when(ok, query).alias("query"), F.when(problem.isNull() & ~called, drafts(member(o, "questions"))).alias("questions"), problem.alias("problem"))
+
+    return let(F.struct(bare(string(member(o, "tool"))).alias("tool"), bare(scalar(member(member(o, "args"), "query"))).alias("query")), judged)
 
 
 def duplicate_indexes(raw: Column, count: Column) -> Column:
