@@ -265,3 +265,36 @@ def int_or_null(spark, d):
     k = F.col("p_partkey")
     raw = F.when(k % 4 == 0, "1.5").when(k % 4 == 1, F.concat(F.lit(" "), F.col("p_size").cast("string"), F.lit(" "))).otherwise(F.concat(F.lit("0x"), F.hex(k)))
     return table(spark, d, "part").select("p_partkey", clock.int_or_null(raw).alias("n"))
+
+
+# links of notes: the pages' anchors written as links of every kind, by the page's number
+_ANCHOR = r'<a\s+href="/([^"]*)"[^>]*>([^<]*)</a>'
+_WRITTEN = ("[$2](/$1)", "[$2](zy://section/7/$1?t=9&page=2&t=12)", "![$2](zy-asset://$1)", "[$2]( )", "![$2](zy-ink:$1)", "zy://section/8/$1 ", "[$2](zy://section/$1)", "zy-asset://$1 ")
+_ANY_LINK = r"!?\[[^\]]*\]\([^)]*\)|zy://section/[^\s)]+|zy-asset://[^\s)]+"
+_NOTE_SQL = "CASE page_id % 8 " + " ".join(f"WHEN {i} THEN regexp_replace(html, '{_ANCHOR}', '{w.replace('$', chr(92))}', 'g')" for i, w in enumerate(_WRITTEN)) + " END"
+
+
+def _notes(spark, d):
+    text = F.lit(None).cast("string")
+    for i, w in enumerate(_WRITTEN):
+        text = F.when(F.col("page_id") % 8 == i, F.regexp_replace("html", _ANCHOR, w)).otherwise(text)
+    return table(spark, d, "pages").select("page_id", text.alias("note"))
+
+
+@query("notes_inline_links", rf"""
+WITH n AS (SELECT page_id, page_id % 8 AS k, {_NOTE_SQL} AS note FROM pages),
+m AS (SELECT page_id, k, regexp_extract_all(note, '{_ANY_LINK}') AS ms, regexp_split_to_array(note, '{_ANY_LINK}') AS ps FROM n),
+s AS (SELECT page_id, k, generate_subscripts(ms, 1) AS i, unnest(ms) AS raw, ms, ps FROM m),
+o AS (SELECT page_id, k, i, raw, CAST(list_sum(list_transform(ps[1:i], lambda p: length(p))) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda q: length(q))), 0) AS BIGINT) AS start,
+  regexp_extract(raw, '\[([^\]]*)\]', 1) AS label, CASE WHEN starts_with(raw, 'zy') THEN raw ELSE trim(regexp_extract(raw, '\]\(([^)]*)\)', 1)) END AS href FROM s)
+SELECT page_id, start, start + length(raw) AS "end", CASE WHEN k IN (1, 5, 6) THEN 'section' WHEN k IN (2, 7) THEN 'asset' ELSE 'other' END AS kind, href, CASE WHEN k IN (5, 7) THEN NULL ELSE label END AS label,
+  CASE k WHEN 0 THEN 'UNSUPPORTED_SCHEME' WHEN 3 THEN 'EMPTY_TARGET' WHEN 4 THEN 'BAD_SCHEME_SHAPE' WHEN 6 THEN 'BAD_SECTION_LINK' END AS code,
+  CASE k WHEN 1 THEN '7' WHEN 5 THEN '8' END AS course, CASE k WHEN 1 THEN regexp_extract(href, '7/([^?]*)', 1) WHEN 5 THEN regexp_extract(href, '8/(.*)', 1) END AS section,
+  CASE WHEN k = 1 THEN 2 END AS page, CASE WHEN k = 1 THEN 12 END AS at_sec, CASE WHEN k IN (2, 7) THEN substr(href, 12) END AS asset FROM o
+""")
+def inline_links(spark, d):
+    """Every link of every page's note with its offsets, what it leads to and why it can't be followed."""
+    from lectern.functions.links import links_udf
+
+    found = _notes(spark, d).select("page_id", F.explode(links_udf()(F.col("note"))).alias("x"))
+    return found.select("page_id", F.col("x.start").cast("long").alias("start"), F.col("x.end").cast("long").alias("end"), *[f"x.{c}" for c in ("kind", "href", "label", "code", "course", "section", "page", "at_sec", "asset")])
