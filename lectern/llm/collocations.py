@@ -428,10 +428,15 @@ WITH pieces AS (
          unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
   FROM documents
 ), w AS (
-  SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS ws FROM pieces
+  SELECT lang, row_number() OVER () AS p, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS ws FROM pieces
+), t AS (
+  SELECT lang, p, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM w
+), n AS (
+  SELECT lang, w, lead(w) OVER o AS w2, lead(w, 2) OVER o AS w3 FROM t WINDOW o AS (PARTITION BY p ORDER BY i)
 ), grams AS (
-  SELECT lang, k, unnest(list_transform(range(1, len(ws) - k + 2), lambda i: array_to_string(ws[i:i + k - 1], ' '))) AS phrase
-  FROM w, (VALUES (1), (2), (3)) t(k)
+  SELECT lang, 1 AS k, w AS phrase FROM n
+  UNION ALL SELECT lang, 2, w || ' ' || w2 FROM n WHERE w2 IS NOT NULL
+  UNION ALL SELECT lang, 3, w || ' ' || w2 || ' ' || w3 FROM n WHERE w3 IS NOT NULL
 ), f AS (
   SELECT lang, k, phrase, count(*) AS a FROM grams GROUP BY ALL
 ), cand AS (
