@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -11,7 +12,6 @@ from lectern.functions.slide_text import clean_line, is_noise
 
 # Schemes of links, code lists, words and phrases.
 SECTION_SCHEME, ASSET_SCHEME, ASSET_ALT = "zy://section/", "zy-asset://", "插图"
-MEDIA_HOST = "video.cmc.zju.edu.cn"
 BLOCK_KINDS = (("elaboration", "讲解"), ("definition", "定义"), ("procedure", "步骤"), ("example", "例题"), ("note", "说明"))
 BLOCK_ALIASES = (
     ("概念", "definition"), ("法则", "definition"), ("公式", "definition"), ("定理", "definition"), ("作业", "note"), ("教学安排", "note"), ("补充", "note"),
@@ -68,9 +68,9 @@ def material_id(section: Column, block: Column, revision: Column) -> Column:
     return F.concat(_text(section), F.lit("#b"), block.cast("string"), F.lit("@"), _text(revision))
 
 
-def resource_url(url: Column) -> Column:
-    """http becomes https for the media host alone; what follows stays as it is."""
-    return F.when(url.rlike(rf"(?i)^http://([^/?#@]*@)?{MEDIA_HOST}(:[0-9]*)?([/?#]|$)".replace(".", r"\.")), F.regexp_replace(url, "(?i)^http:", "https:")).otherwise(url)
+def resource_url(url: Column, host: str) -> Column:
+    """http becomes https for the given media host alone; what follows stays as it is."""
+    return F.when(url.rlike(rf"(?i)^http://([^/?#@]*@)?{re.escape(host)}(:[0-9]*)?([/?#]|$)"), F.regexp_replace(url, "(?i)^http:", "https:")).otherwise(url)
 
 
 def relative_label(at_ms: Column, now_ms: Column) -> Column:

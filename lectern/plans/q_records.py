@@ -47,12 +47,13 @@ def link_builders(spark, d):
     )
 
 
+MEDIA_HOST = "media.example.org"
 NOW = 1_700_000_000_000  # 2023-11-14 22:13:20 in UTC, the 15th in China
 IDS = (
-    ("sec", 3, "r1", "http://video.cmc.zju.edu.cn/a?b=http:", NOW - 30_000, " \n", ("sec#b3@r1", "https://video.cmc.zju.edu.cn/a?b=http:", "刚刚", False)),
-    (None, 0, None, "http://other.cn/video.cmc.zju.edu.cn", NOW - 59 * 60_000, "x", ("#b0@", "http://other.cn/video.cmc.zju.edu.cn", "59 分钟前", True)),
-    ("s", 1, "", "HTTP://video.cmc.zju.edu.cn:80", NOW - 23 * 3_600_000, None, ("s#b1@", "https://video.cmc.zju.edu.cn:80", "23 小时前", False)),
-    ("s", 1, "r", "https://video.cmc.zju.edu.cn/x", NOW - 6 * 86_400_000, " a ", ("s#b1@r", "https://video.cmc.zju.edu.cn/x", "6 天前", True)),
+    ("sec", 3, "r1", "http://media.example.org/a?b=http:", NOW - 30_000, " \n", ("sec#b3@r1", "https://media.example.org/a?b=http:", "刚刚", False)),
+    (None, 0, None, "http://other.cn/media.example.org", NOW - 59 * 60_000, "x", ("#b0@", "http://other.cn/media.example.org", "59 分钟前", True)),
+    ("s", 1, "", "HTTP://media.example.org:80", NOW - 23 * 3_600_000, None, ("s#b1@", "https://media.example.org:80", "23 小时前", False)),
+    ("s", 1, "r", "https://media.example.org/x", NOW - 6 * 86_400_000, " a ", ("s#b1@r", "https://media.example.org/x", "6 天前", True)),
     ("s", 2, "r", "ftp://x", NOW - 7 * 86_400_000, "", ("s#b2@r", "ftp://x", "11月8日", False)),
     ("s", 2, "r", "x", 0, "\t", ("s#b2@r", "x", "", False)),
 )
@@ -62,7 +63,7 @@ IDS = (
 def ids_urls_ages(spark, d):
     x = _sampled(spark, d, IDS, "section string, block int, revision string, url string, at long, body string")
     return x.select(
-        "p_partkey", lb.material_id(F.col("section"), F.col("block"), F.col("revision")).alias("material"), lb.resource_url(F.col("url")).alias("url"),
+        "p_partkey", lb.material_id(F.col("section"), F.col("block"), F.col("revision")).alias("material"), lb.resource_url(F.col("url"), MEDIA_HOST).alias("url"),
         lb.relative_label(F.col("at"), F.lit(NOW)).alias("age"), lb.has_content(F.col("body")).alias("content"),
     )
 
