@@ -210,3 +210,21 @@ def first_slide(spark, d):
     pos = F.row_number().over(W.partitionBy("user_id").orderBy("ts", "event_id"))
     first = e.filter("event_type = 'view'").withColumn("pos", pos).groupBy("user_id", "page").agg(F.min("pos").cast("long").alias("first_position"))
     return e.filter("event_type = 'purchase'").select("user_id", "page").distinct().join(first, ["user_id", "page"], "left")
+
+
+@query("admission_longest_run", r"""
+WITH t AS (SELECT conv_id, turn, regexp_replace(lower(text), '\s+', '', 'g') AS k FROM conversations),
+p AS (SELECT conv_id, turn, left(k, 60) AS a, lead(k) OVER (PARTITION BY conv_id ORDER BY turn) AS b FROM t),
+i AS (SELECT conv_id, turn, a, b, unnest(range(1, length(a) + 1)) AS i FROM p WHERE b IS NOT NULL),
+l AS (SELECT conv_id, turn, a, b, i, unnest(range(1, length(a) - i + 2)) AS n FROM i),
+m AS (SELECT conv_id, turn, a, b, i, n, row_number() OVER (PARTITION BY conv_id, turn ORDER BY n DESC, i) AS r FROM l WHERE contains(b, substr(a, i, n)))
+SELECT p.conv_id, p.turn, coalesce(n, 0) AS length, coalesce(i - 1, -1) AS start, coalesce(strpos(p.b, substr(p.a, i, n)) - 1, -1) AS at FROM p LEFT JOIN m ON m.conv_id = p.conv_id AND m.turn = p.turn AND r = 1 WHERE p.b IS NOT NULL
+""")
+def longest_run(spark, d):
+    """The longest run that the beginning of each turn shares with the whole next turn, and where it stands in both."""
+    from lectern.functions.runs import common_run
+    from lectern.functions.text import stem_key
+
+    w = W.partitionBy("conv_id").orderBy("turn")
+    x = table(spark, d, "conversations").select("conv_id", "turn", stem_key(F.col("text")).alias("k")).withColumn("b", F.lead("k").over(w)).filter("b IS NOT NULL")
+    return x.select("conv_id", "turn", common_run(F.substr("k", F.lit(1), F.lit(60)), F.col("b")).alias("r")).select("conv_id", "turn", "r.length", "r.start", "r.at")
