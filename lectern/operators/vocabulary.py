@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 
 from lectern.functions.variants import bare
 
-#: Names that are always there, in order, and how a new one is proposed.
+#: Names that are always there, in order, and how a new one is proposed. Marks are taken whole (``++``): a mark of
+#: proposal is never itself the name that is proposed.
 SEED = ("法则", "概念", "案例", "例题", "公式", "定理", "实验", "故事", "思想", "作业", "教学安排")
-PROPOSAL = r"^(?:新增\s*[:：]\s*)+(\S[\s\S]*)$"
+PROPOSAL = r"^(?:新增\s*[:：]\s*)++(\S[\s\S]*)$"
 
 
 def _contained(value: Column, seed: tuple[str, ...]) -> Column:

@@ -95,3 +95,9 @@ def test_tags_and_stored_terms(spark):
     assert sorted((r.vocabulary, r.name, r.aliases) for r in terms.collect()) == [("x", "n", ["m"]), ("x", "s", []), ("y", "s", [])]
     one = spark.createDataFrame([("x", 1, "m"), ("y", 2, "m")], "vocabulary string, place int, value string")
     assert {(r.vocabulary, r.decision, r.name) for r in vo.decide(one, ("s",), terms).withColumn("n", F.lit(1)).collect()} == {("x", "alias", "n"), ("y", "refused", None)}
+
+
+def test_marks_without_a_name_propose_nothing(spark):
+    rows = [("x", i, v) for i, v in enumerate(["新增：", "新增 : 新增: ", "新增:新增：新增 :", "新增：新增：n", "新增 : 新增:"])]
+    got = vo.decide(spark.createDataFrame(rows, "vocabulary string, place int, value string")).orderBy("place").collect()
+    assert [(r.decision, r.name) for r in got] == [("refused", None)] * 3 + [("added", "n"), ("refused", None)]
