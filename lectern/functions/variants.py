@@ -101,12 +101,27 @@ def aliased(value: Column, names: dict[str, tuple[str, ...]]) -> Column:
     return let(value, lambda x: F.coalesce(F.try_element_at(known, x), x))
 
 
+def parsed(text: Column) -> Column:
+    """The text as JSON, null where it is none or where anything stands behind the value.
+
+    The built-in parser ends with the first value. Here the text is read as the only element of an array and as a field: what
+    would close one early (``1] x``) breaks the other, and a comma makes a second element.
+    """
+
+    def read(t: Column) -> Column:
+        listed = F.try_parse_json(F.concat(F.lit("["), t, F.lit("]")))
+        field = F.try_parse_json(F.concat(F.lit('{"v":'), t, F.lit("}")))
+        return let(F.try_variant_get(listed, "$", "array<variant>"), lambda x: F.when((F.size(x) == 1) & field.isNotNull(), F.get(x, F.lit(0))))
+
+    return let(text, read)
+
+
 def decoded(raw: Column) -> Column:
     """The whole text as JSON, else the object between its first and last brace."""
     text = bare(raw)
     lo, hi = F.instr(text, "{"), F.length(text) - F.instr(F.reverse(text), "}") + 1
-    inner = F.try_parse_json(F.when((lo > 0) & (F.instr(text, "}") > 0) & (hi > lo), F.substr(text, lo, hi - lo + 1)))
-    return F.coalesce(F.try_parse_json(text), F.when(kind(inner) == "object", inner))
+    inner = parsed(F.when((lo > 0) & (F.instr(text, "}") > 0) & (hi > lo), F.substr(text, lo, hi - lo + 1)))
+    return F.coalesce(parsed(text), F.when(kind(inner) == "object", inner))
 
 
 # --- objects within prose
@@ -153,7 +168,7 @@ def json_candidates(raw: pd.Series) -> pd.Series:
 
 def objects(candidates: Column) -> Column:
     """array<variant>: the candidates that are JSON objects."""
-    return F.filter(F.transform(candidates, F.try_parse_json), lambda v: F.coalesce(kind(v) == "object", F.lit(False)))
+    return F.filter(F.transform(candidates, parsed), lambda v: F.coalesce(kind(v) == "object", F.lit(False)))
 
 
 # --- written lectures
@@ -261,7 +276,7 @@ def written_answer(raw: Column) -> Column:
 
         return let(F.flatten(F.transform(_chapters(v), _chapter)), judge)
 
-    return let(F.try_parse_json(unfenced(raw)), read)
+    return let(parsed(unfenced(raw)), read)
 
 
 # --- questions
@@ -368,7 +383,7 @@ def duplicate_indexes(raw: Column, count: Column) -> Column:
         fit = F.array_sort(F.array_distinct(F.filter(numbers, lambda n: F.coalesce(n < count, F.lit(False)))))
         return F.struct(F.coalesce(fit, F.array().cast("array<int>")).alias("indexes"), problem.alias("problem"))
 
-    return let(F.try_parse_json(raw), read)
+    return let(parsed(raw), read)
 
 
 def vocabulary(raw: Column, seed: tuple[str, ...]) -> Column:
@@ -400,4 +415,4 @@ def vocabulary(raw: Column, seed: tuple[str, ...]) -> Column:
         return let(listed, filled)
 
     fresh = F.struct(F.concat(sown, none).alias("terms"), F.array().cast("array<string>").alias("issues"))
-    return F.when(raw.isNull(), fresh).otherwise(let(F.try_parse_json(raw), read))
+    return F.when(raw.isNull(), fresh).otherwise(let(parsed(raw), read))

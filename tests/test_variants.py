@@ -109,3 +109,11 @@ def test_vocabulary(spark):
 @pytest.mark.parametrize("value", ["3", "3.0", "1e3", "-4"])
 def test_whole(spark, value):
     assert run(spark, lambda d: va.whole(F.try_parse_json(d.raw)), value, f'"{value}"', "2.5", "true") == [int(float(value)), None, None, None]
+
+
+def test_nothing_stands_behind_a_value(spark):
+    texts = ["7 men", '{"a": 1} so', "1] x", '1} x', "1]}", "1}]", "1, 2", "1],[2", '{"a": 1}, "b": 2', '[1]"x"', "", " ", None, ' {"a": 1} ', "[1, 2]", "7", '"]"', "null"]
+    read = run(spark, lambda d: F.to_json(va.parsed(d.raw)), *texts)
+    assert read == [None] * 13 + ['{"a":1}', "[1,2]", "7", '"]"', "null"]
+    problems = run(spark, lambda d: va.written_answer(d.raw)["problem"], "4537 and more", '[] end', '{"slots": [], "t": 1} end', "4537")
+    assert problems == ["NOT_JSON", "NOT_JSON", "NOT_JSON", "NOT_OBJECT"]
