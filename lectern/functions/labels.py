@@ -147,7 +147,11 @@ def tidy_written(raw: Column) -> Column:
         return F.trim(F.regexp_replace(t, "([。！？])[，、；]+", "$1"))
 
     lines = F.transform(F.split(text, "\n"), squashed)
-    kept = F.filter(lines, lambda t: (t != "") & (clean_line(t) != "") & ~is_noise(clean_line(t)) & ~t.rlike(VISION_BEGIN))
+    def says(line: Column) -> Column:
+        # the cleaned line is bound to a name: the rules of noise ask for it some forty times
+        return F.exists(F.array(clean_line(line)), lambda c: (c != "") & ~is_noise(c))
+
+    kept = F.filter(lines, lambda t: (t != "") & ~t.rlike(VISION_BEGIN) & says(t))
     return F.array_join(kept, "\n")
 
 

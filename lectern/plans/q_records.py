@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lectern.functions import labels as lb
 from lectern.functions import protocol as pr
 from lectern.plans.registry import query
-from lectern.session import table
+from lectern.session import dealt, table
 
 
 def _quoted(x) -> str:
@@ -27,7 +27,7 @@ def _expected(names: str, samples: tuple, types: str = "") -> str:
 def _sampled(spark, d, samples: tuple, schema: str):
     rows = spark.createDataFrame([(i, *s[:-1]) for i, s in enumerate(samples)], f"i int, {schema}")
     parts = table(spark, d, "part").select("p_partkey", (F.col("p_partkey") % len(samples)).cast("int").alias("i"))
-    return parts.join(F.broadcast(rows), "i")
+    return dealt(parts, "p_partkey").join(F.broadcast(rows), "i")
 
 
 LINKS = (

@@ -27,3 +27,8 @@ def local_session(cores: str | int = "*", shuffle_partitions: int = 8, memory: s
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A Parquet table by name; ``sf_dir`` may be any path Spark can read."""
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+
+
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt out to four tasks a core: for tables of few bytes a row in one file, which else are one task, and much work behind each row."""
+    return df.repartition(4 * df.sparkSession.sparkContext.defaultParallelism, *keys)
