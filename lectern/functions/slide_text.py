@@ -31,6 +31,8 @@ CLEAN_STEPS = (
     (r"\.{3,}|…+", "……"),
 )
 CLEAN_ROUNDS = 8
+#: What a step could change: a trimmed line without any of it stays as it is, and most lines of prose have none.
+CLEANABLE = r"[*_`\t　…：:]|~~|  |\.{3}|^[☞✂·•▪◦●○◆◇■□★☆→>\-–—+]|^[0-9]+[.)、]"
 FORMULAS = (r"^\$\$[^$]*\$\$$", r"^\$[^$]*\$$")
 INLINE_FORMULA = r"\$[^$]{0,80}\$"
 #: A literal bracket followed by this very text, as the rule has it.
@@ -86,14 +88,15 @@ def clean_line(raw: Column) -> Column:
             s = F.regexp_replace(s, pattern, to)
         return s
 
-    # a fold over the rounds keeps the plan small; a round that finds the text as it was before does nothing
-    trimmed = F.regexp_replace(raw, r"^\s+|\s+$", "")
-    start = F.struct(trimmed.alias("s"), F.lit(None).cast("string").alias("before"))
-    rounds = F.aggregate(
-        F.array_repeat(F.lit(0), CLEAN_ROUNDS), start, lambda acc, _: F.when(acc["s"].eqNullSafe(acc["before"]), acc).otherwise(F.struct(once(acc["s"]).alias("s"), acc["s"].alias("before")))
-    )
-    out = rounds["s"]
-    return F.when(trimmed.startswith(FENCE) | trimmed.rlike(TABLE_RULE), F.lit("")).otherwise(out)
+    def cleaned(trimmed: Column) -> Column:
+        # a fold over the rounds keeps the plan small; a round that finds the text as it was before does nothing
+        start = F.struct(trimmed.alias("s"), F.lit(None).cast("string").alias("before"))
+        rounds = F.aggregate(
+            F.array_repeat(F.lit(0), CLEAN_ROUNDS), start, lambda acc, _: F.when(acc["s"].eqNullSafe(acc["before"]), acc).otherwise(F.struct(once(acc["s"]).alias("s"), acc["s"].alias("before")))
+        )
+        return F.when(trimmed.startswith(FENCE) | trimmed.rlike(TABLE_RULE), F.lit("")).when(~trimmed.rlike(CLEANABLE), trimmed).otherwise(rounds["s"])
+
+    return F.transform(F.array(F.regexp_replace(raw, r"^\s+|\s+$", "")), cleaned)[0]
 
 
 def notation_only(line: Column) -> Column:

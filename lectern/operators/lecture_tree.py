@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import slide_text as st
 from lectern.operators.tree import expanded_outline, template_class
+from lectern.session import dealt
 
 #: When a line that many pages share is their header.
 HEADER_MIN_PAGES, HEADER_PAGE_RATIO, HEADER_FIRST_RATIO = 3, 0.4, 0.8
@@ -23,8 +24,10 @@ HEADER_SPAN, HEADER_DENSITY = 11, 0.6
 def page_lines(slides: DataFrame) -> DataFrame:
     """deck, page, ord, line, noise of each cleaned line that is not empty; ``slides``: deck, page, text."""
     cleaned = F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), st.clean_line), lambda c: c != "")
-    lines = slides.select("deck", "page", F.posexplode(cleaned).alias("o", "line")).select("deck", "page", (F.col("o") + 1).alias("ord"), "line")
-    return lines.withColumn("noise", st.is_noise(F.col("line")))
+    # dealt out before cleaning, which is most of the work, for a deck's pages come numbered in one task; and after it, so that both readers of the lines share one shuffle
+    dealt_pages = dealt(slides.select("deck", "page", "text"), "deck", "page")
+    lines = dealt_pages.select("deck", "page", F.posexplode_outer(cleaned).alias("o", "line")).filter("line IS NOT NULL").select("deck", "page", (F.col("o") + 1).alias("ord"), "line")
+    return dealt(lines.withColumn("noise", st.is_noise(F.col("line"))), "deck", "page")
 
 
 def page_heads(slides: DataFrame) -> DataFrame:
@@ -88,9 +91,10 @@ def placed_blocks(topics: DataFrame, blocks: DataFrame) -> DataFrame:
     span = F.struct("topic", "from_page", "to_page", "divided")
     a = topics.select("deck", F.col("from_page").cast("long").alias("at"), F.lit(0).alias("kind"), span.alias("span"), F.lit(None).cast("long").alias("block"))
     b = blocks.select("deck", F.coalesce("page", F.lit(0)).cast("long").alias("at"), F.lit(1).alias("kind"), F.lit(None).cast(a.schema["span"].dataType).alias("span"), F.col("block").cast("long").alias("block"))
-    w = W.partitionBy("deck").orderBy("at", "kind")
+    w, back = W.partitionBy("deck").orderBy("at", "kind"), W.partitionBy("deck").orderBy(F.desc("at"), F.desc("kind"))
+    # both frames grow with the rows; one that ends with the partition would be read again for every row
     both = a.unionByName(b).withColumns({
-        "before": F.last("span", ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0)), "after": F.first("span", ignorenulls=True).over(w.rowsBetween(1, W.unboundedFollowing)),
+        "before": F.last("span", ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0)), "after": F.last("span", ignorenulls=True).over(back.rowsBetween(W.unboundedPreceding, -1)),
     }).filter("kind = 1 AND (before IS NOT NULL OR after IS NOT NULL)")
     inside = F.coalesce(F.col("at") <= F.col("before.to_page"), F.lit(False))
     nearer = F.col("before").isNull() | F.coalesce(F.col("after.from_page") - F.col("at") < F.col("at") - F.col("before.to_page"), F.lit(False))

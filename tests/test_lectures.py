@@ -85,3 +85,28 @@ def test_search_of_one_lesson(spark):
     assert found(query="密度", mode=search.TAG_FILTER, role="支线") == [] and found(query="密度", mode=search.TAG_FILTER, facets=("概念", "x")) == ["teacher"]
     assert found(mode=search.TAG_FILTER, role="主线") == ["final"] and found() == [] and found(query=" ") == []
     assert found(query="密度", layers=("glossary", "rag")) == ["glossary"] and found(query="密度", limit=2) == ["teacher", "outline"]
+
+
+def test_blocks_are_placed_in_linear_time(spark):
+    """No window's frame ends with its partition: such a frame is read again for every row."""
+    topics = spark.createDataFrame([("d", 1, 3, 4, False), ("d", 2, 5, 9, False), ("d", 3, 20, 20, False)], "deck string, topic int, from_page int, to_page int, divided boolean")
+    blocks = spark.createDataFrame([("d", i, p) for i, p in enumerate((1, 3, 4, 5, 9, 14, 15, 20, 30))], "deck string, block int, page int")
+    placed = lt.placed_blocks(topics, blocks)
+    assert [(r.topic, r.orphan) for r in placed.orderBy("block").collect()] == [(1, True), (1, False), (1, False), (2, False), (2, False), (2, True), (3, True), (3, False), (3, True)]
+    assert "unboundedfollowing" not in placed._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_lines_are_cleaned_as_by_every_round(spark):
+    from pyspark.sql import functions as F
+
+    from lectern.functions import slide_text as st
+
+    texts = ["plain words, and more.", "a  b", "a\tb", "1. x", "1.5 x", "- x", "x...", "x..", "x……y", "标题：x", "a: b", "~~x~~", "a~b", "*x*", "x_1", "　x", "+", "12) y", "`q`", " x ", ""]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    x = F.regexp_replace("t", r"^\s+|\s+$", "")
+    for _ in range(st.CLEAN_ROUNDS):
+        for pattern, to in st.CLEAN_STEPS:
+            x = F.regexp_replace(x, pattern, to)
+        rows = rows.withColumn("x", x).localCheckpoint()
+        x = F.col("x")
+    assert [r[0] for r in rows.orderBy("i").select(st.clean_line(F.col("t")) == F.col("x")).collect()] == [True] * len(texts)
