@@ -16,8 +16,17 @@ def _let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+#: A whole number with or without a unit, as most are: it needs none of the steps below.
+_PLAIN = r"^([0-9]{1,15}) ?([a-zµω°·/]*)\z"
+
+
 def parse_rational(raw: Column) -> Column:
     """struct(num, den, unit), or null where the text is no number that can be kept exactly."""
+    plain = F.struct(F.regexp_extract(raw, _PLAIN, 1).try_cast(_D).alias("num"), F.lit(1).cast(_D).alias("den"), F.regexp_extract(raw, _PLAIN, 2).alias("unit"))
+    return F.when(raw.rlike(_PLAIN), plain).otherwise(_any_rational(raw))
+
+
+def _any_rational(raw: Column) -> Column:
     trimmed = F.replace(F.lower(F.trim(fold_width(raw))), F.lit("−"), F.lit("-"))
     return _let(trimmed, lambda s: _let(F.trim(F.regexp_replace(s, "%$", "")), lambda t: _with_unit(t, s.endswith("%"))))
 

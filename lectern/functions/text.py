@@ -72,6 +72,11 @@ def option_key(text: Column) -> Column:
 
     A digit label is no label when a digit follows, so that 0.5 stays different from 5.
     """
+    plain = r"^[0-9a-z ]*\z"  # nothing but blanks to take away
+    return F.when(text.rlike(plain), F.replace(text, F.lit(" "), F.lit(""))).otherwise(_any_option_key(text))
+
+
+def _any_option_key(text: Column) -> Column:
     marks = "[" + TRAILING_MARKS.replace("]", "\\]") + "]+$"
     bare = F.regexp_replace(F.lower(F.regexp_replace(fold_width(text), r"\s+", "")), marks, "")
     return F.regexp_replace(bare, r"^(?:[a-z][.)、:：]|[0-9]{1,2}[.)、:：](?![0-9]))", "")

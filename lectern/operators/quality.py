@@ -35,16 +35,16 @@ def option_count(options: Column) -> Column:
 
 def duplicate_options(options: Column) -> Column:
     keys = F.transform(options, lambda o: option_key(o["text"]))
-    return verdict(F.size(F.array_distinct(keys)) == F.size(keys))
+    return verdict(F.size(F.array_distinct(keys)) == F.size(options))
 
 
 def single_correct(options: Column, answer: Column) -> Column:
     """Exactly one option is right by label, by text or as the same number."""
-    wanted = F.transform(F.array(answer), lambda a: F.struct(option_key(a).alias("key"), parse_rational(a).alias("value")))[0]
+    wanted = F.transform(F.array(answer), lambda a: F.struct(a.alias("label"), option_key(a).alias("key"), parse_rational(a).alias("value")))[0]
     keyed = F.transform(options, lambda o: F.struct(o["label"].alias("label"), option_key(o["text"]).alias("key"), parse_rational(o["text"]).alias("value")))
 
     def right(o: Column, w: Column) -> Column:
-        return (o["label"] == answer) | (o["key"] == w["key"]) | F.coalesce(equal_value(o["value"], w["value"]), F.lit(False))
+        return (o["label"] == w["label"]) | (o["key"] == w["key"]) | F.coalesce(equal_value(o["value"], w["value"]), F.lit(False))
 
     return verdict(F.transform(F.array(wanted), lambda w: F.size(F.filter(keyed, lambda o: right(o, w))))[0] == 1)
 

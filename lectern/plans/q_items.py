@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lectern.operators import item_checks as ic
 from lectern.plans.registry import query
-from lectern.session import table
+from lectern.session import dealt, table
 
 AB = (("A", "0.5"), ("B", "2/3"), ("C", "3"))
 TEXTS = (("A", "energy"), ("B", "force"), ("C", "mass"))
@@ -44,7 +44,7 @@ def _items(spark, d):
     """p_partkey with a sample; every part's name is behind the stem, where it changes nothing."""
     samples = spark.createDataFrame([(i, *s[:5]) for i, s in enumerate(SAMPLES)], f"i int, {_SCHEMA}")
     parts = table(spark, d, "part").select("p_partkey", (F.col("p_partkey") % len(SAMPLES)).cast("int").alias("i"), "p_name")
-    return parts.join(F.broadcast(samples), "i").withColumn("stem", F.concat_ws(" ; ", "stem", "p_name"))
+    return dealt(parts, "p_partkey").join(F.broadcast(samples), "i").withColumn("stem", F.concat_ws(" ; ", "stem", "p_name"))
 
 
 def _expected() -> str:

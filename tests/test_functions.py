@@ -97,3 +97,13 @@ def test_many_sections_and_lines_take_one_pass(spark):
 
 def test_a_tidied_line_is_cleaned_once(spark):
     assert labels.tidy_written(F.lit("x"))._jc.toString().count("页面中央|页面顶部") == 1
+
+
+def test_plain_numbers_and_keys_are_read_as_all_others(spark):
+    raws = ["17", "17 kg", "17kg", "17\n", "17 kg\n", "007", "", " ", "5/", "1/2", "12e5", "1e", "12x", "12x10", "9" * 15, "9" * 16, "17  kg", " 17", "17 KG", "3µω°·", "a b", "1.5", "1,000", "1. x", "kg", "１７", "50%", None]
+    rows = spark.createDataFrame([(i, r) for i, r in enumerate(raws)], "i int, r string").orderBy("i")
+    r = F.col("r")
+    got = rows.select(rational.parse_rational(r), rational._any_rational(r), text.option_key(r), text._any_option_key(r)).collect()
+    assert [(g[0], g[2]) for g in got] == [(g[1], g[3]) for g in got]
+    plan = rows.select(text.option_key(r).alias("k"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "^[0-9a-z ]*" in plan
