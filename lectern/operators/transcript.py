@@ -20,7 +20,8 @@ def slide_bounds(slides: DataFrame, lesson: str = "lesson", page: str = "page",
     """
     w = W.partitionBy(lesson).orderBy(page)
     start = F.last(anchor_ms, ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0))
-    end = F.first(anchor_ms, ignorenulls=True).over(w.rowsBetween(1, W.unboundedFollowing))
+    back = W.partitionBy(lesson).orderBy(F.desc(page))  # a frame that ends with its partition would be read again for every row
+    end = F.last(anchor_ms, ignorenulls=True).over(back.rowsBetween(W.unboundedPreceding, -1))
     bound = F.when(end.isNotNull(), F.greatest(F.coalesce(start, F.lit(-1)), end))
     marked = slides.withColumns({"raw_bound": bound})
     top = F.max("raw_bound").over(w.rowsBetween(W.unboundedPreceding, 0))

@@ -47,10 +47,10 @@ SELECT lesson, CAST(page AS INTEGER) AS page, anchor_ms, s AS from_ms, f AS to_m
 """)
 def slide_windows(spark, d):
     slides, _ = _timed(spark, d)
-    w = W.partitionBy("lesson").orderBy("page")
+    w, back = W.partitionBy("lesson").orderBy("page"), W.partitionBy("lesson").orderBy(F.desc("page"))
     return slides.withColumns({
         "from_ms": F.last("anchor_ms", ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0)),
-        "to_ms": F.first("anchor_ms", ignorenulls=True).over(w.rowsBetween(1, W.unboundedFollowing)),
+        "to_ms": F.last("anchor_ms", ignorenulls=True).over(back.rowsBetween(W.unboundedPreceding, -1)),
     })
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import duckdb
 import pytest
 
@@ -48,3 +50,10 @@ def test_first_block_beyond_a_million_parts(spark, tmp_path):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{path}'")
     assert got == {r[0]: r[4] for r in con.execute(all_oracles()["notes_locate"]).fetchall()}
+
+
+@pytest.mark.parametrize("name", ["transcript_anchor_assign", "transcript_slide_windows", "tree_build_blocks"])
+def test_no_frame_ends_with_its_partition(spark, name):
+    """Such a frame is read again for every row, unless it is the whole partition."""
+    plan = all_queries()[name](spark, DIR)._jdf.queryExecution().optimizedPlan().toString()
+    assert not re.search(r"(?<!unboundedpreceding\$\(\)), unboundedfollowing", plan)
