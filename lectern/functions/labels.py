@@ -90,10 +90,8 @@ def has_content(text: Column) -> Column:
 
 def block_kind(raw: Column) -> Column:
     """The wire name of a kind by wire name, label or alias; null for any other."""
-    s, out = F.trim(_text(raw)), F.lit(None).cast("string")
-    for name, kind in [*BLOCK_ALIASES, *((label, wire) for wire, label in BLOCK_KINDS), *((wire, wire) for wire, _ in BLOCK_KINDS)]:
-        out = F.when(s == name, kind).otherwise(out)
-    return out
+    names = [*BLOCK_ALIASES, *((label, wire) for wire, label in BLOCK_KINDS), *((wire, wire) for wire, _ in BLOCK_KINDS)]
+    return F.try_element_at(F.create_map(*[F.lit(x) for pair in names for x in pair]), F.trim(_text(raw)))
 
 
 def subtitle(raw: Column, kind: Column, body: Column) -> Column:

@@ -25,7 +25,7 @@ QUESTION_TYPES = {"mcq": ("mcq", "选择", "选择题", "单选"), "cloze": ("cl
 EVIDENCE_KINDS = {"web": ("web", "网上", "课外", "网络"), "knowledge": ("knowledge", "知识库", "课程", "")}
 YES = ("true", "yes", "1", "通过", "是")
 TOOLS = ("search_course", "web_search")
-SPACES = r"[\s 　﻿]"
+BLANKS = " \t\n\x0b\f\r\u00a0\u3000\ufeff"
 
 PASSAGE = "struct<label: string, text: string>"
 BLOCK = "struct<kind: string, title: string, text: string, stem: string, solution: string, map: string>"
@@ -38,7 +38,7 @@ def let(value: Column, then: Callable[[Column], Column]) -> Column:
 
 
 def bare(text: Column) -> Column:
-    return F.regexp_replace(F.coalesce(text, F.lit("")), rf"^{SPACES}+|{SPACES}+$", "")
+    return F.btrim(F.coalesce(text, F.lit("")), F.lit(BLANKS))
 
 
 def unfenced(raw: Column) -> Column:

@@ -9,6 +9,8 @@ A text is read by splits at its marks, and the original's references stand besid
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,20 +26,29 @@ WIRES = {wire: label for wire, label in BLOCK_KINDS}
 
 
 def one_line(text: Column) -> Column:
-    return va.bare(F.regexp_replace(F.coalesce(text, F.lit("")), r"[\r\n|]", " "))
+    return va.bare(F.translate(F.coalesce(text, F.lit("")), "\r\n|", "   "))
+
+
+def _unix(text: Column) -> Column:
+    return F.replace(text, F.lit("\r\n"), F.lit("\n"))
+
+
+def _where(found: Callable[[Column], Column], then: Callable[[Column], Column], text: Column) -> Column:
+    """``then(text)`` for the texts that hold a mark, so that a pattern runs over few of them; the others as they are."""
+    return va.let(text, lambda t: F.when(found(t), then(t)).otherwise(t))
 
 
 def body(text: Column) -> Column:
     """A unit's text as the protocol keeps it: plain line ends, nothing blank around."""
-    return va.bare(F.regexp_replace(F.coalesce(text, F.lit("")), "\r\n?", "\n"))
+    return va.bare(F.replace(_unix(F.coalesce(text, F.lit(""))), F.lit("\r"), F.lit("\n")))
 
 
 def written(text: Column) -> Column:
-    return F.regexp_replace(body(text), rf"(?dm)^(\\*)(?={MARK})", r"$1\\")
+    return _where(lambda t: t.contains("#!") | t.contains(">>> "), lambda t: F.regexp_replace(t, rf"(?dm)^(\\*)(?={MARK})", r"$1\\"), body(text))
 
 
 def unwritten(text: Column) -> Column:
-    return F.regexp_replace(text, rf"(?dm)^\\(\\*)(?={MARK})", "$1")
+    return _where(lambda t: t.contains("\\"), lambda t: F.regexp_replace(t, rf"(?dm)^\\(\\*)(?={MARK})", "$1"), text)
 
 
 def effective_blocks(blocks: Column, passages: Column) -> Column:
@@ -55,12 +66,15 @@ def review_units(topics: DataFrame) -> DataFrame:
     ``topics``: deck, chapter, chapter_title, topic, title, sources (array<int>), blocks (with ``sources`` of their own, which
     may be null or empty). Units are numbered within their topic, blank ones left out.
     """
-    said = F.filter("blocks", lambda b: va.shown(b["kind"], body(b["text"]), body(b["stem"]), body(b["solution"])) != "")
-    rows = topics.select("deck", "chapter", "chapter_title", "topic", F.col("title").alias("topic_title"), F.col("sources").alias("topic_sources"), F.posexplode(said).alias("i", "b"))
+    fields = ("text", "stem", "solution")
+    tidy = F.transform("blocks", lambda b: F.struct(b["kind"].alias("kind"), b["title"].alias("title"), *[body(b[f]).alias(f) for f in fields], b["sources"].alias("sources")))
+    said = F.filter(tidy, lambda b: va.shown(b["kind"], *[b[f] for f in fields]) != "")
+    rows = topics.select("deck", "chapter", "chapter_title", "topic", F.col("title").alias("topic_title"), F.col("sources").alias("topic_sources"), F.posexplode_outer(said).alias("i", "b"))
+    rows = rows.filter("i IS NOT NULL")  # an inner explode would first filter by its array, and compute that twice
     example = F.col("b.kind") == "example"
     return rows.select(
         "deck", "chapter", "chapter_title", "topic", "topic_title", (F.col("i") + 1).alias("unit"), F.format_string("c%dt%db%d", "chapter", "topic", F.col("i") + 1).alias("ref"), F.col("b.kind").alias("kind"), F.col("b.title").alias("title"),
-        F.when(example, "").otherwise(body(F.col("b.text"))).alias("text"), F.when(example, body(F.col("b.stem"))).otherwise("").alias("stem"), F.when(example, body(F.col("b.solution"))).otherwise("").alias("solution"),
+        F.when(example, "").otherwise(F.col("b.text")).alias("text"), F.when(example, F.col("b.stem")).otherwise("").alias("stem"), F.when(example, F.col("b.solution")).otherwise("").alias("solution"),
         F.when(F.size(F.coalesce("b.sources", F.array().cast("array<int>"))) > 0, F.col("b.sources")).otherwise(F.col("topic_sources")).alias("sources"),
     )
 
@@ -94,38 +108,48 @@ def _block(piece: Column) -> Column:
 
         none = F.array().cast("array<string>")
         title, srcs = F.get(f["parts"], F.lit(1)), F.coalesce(listed("src="), none)
-        halves = F.split(F.regexp_replace(f["rest"], r"(?dm)^#!.*\n?", ""), r"(?dm)^>>> SOLUTION$\n?")
         return F.struct(
             block_kind(F.get(f["parts"], F.lit(0))).alias("kind"), F.when(title.rlike("^(ref|src)="), "").otherwise(F.coalesce(title, F.lit(""))).alias("title"), F.coalesce(listed("ref="), none).alias("refs"),
             F.array_distinct(F.filter(F.transform(srcs, lambda s: s.try_cast("int")), lambda s: s.isNotNull())).alias("sources"), F.exists(srcs, lambda s: ~s.rlike("^[0-9]+$")).alias("odd_source"),
-            unwritten(va.bare(F.get(halves, F.lit(0)))).alias("text"), unwritten(va.bare(F.array_join(F.slice(halves, F.lit(2), F.greatest(F.lit(0), F.size(halves) - 1)), ""))).alias("solution"), (F.size(halves) > 1).alias("solved"),
+            unwritten(va.bare(F.get(f["halves"], F.lit(0)))).alias("text"), unwritten(va.bare(F.array_join(_behind(f["halves"]), ""))).alias("solution"), (F.size(f["halves"]) > 1).alias("solved"),
         )
 
-    parts = F.transform(F.split(F.substr(F.substring_index(piece, "\n", 1), F.lit(len(BLOCK) + 1)), r"\|"), va.bare)
-    return va.let(F.struct(parts.alias("parts"), F.regexp_replace(piece, r"^[^\n]*\n?", "").alias("rest")), read)
+    def split(line: Column) -> Column:
+        parts = F.transform(F.split(F.substr(line, F.lit(len(BLOCK) + 1)), r"\|"), va.bare)
+        rest = _where(lambda t: t.contains("#!"), lambda t: F.regexp_replace(t, r"(?dm)^#!.*\n?", ""), F.substr(piece, F.length(line) + 2))
+        halves = va.let(rest, lambda t: F.when(t.contains(SOLUTION), F.split(t, r"(?dm)^>>> SOLUTION$\n?")).otherwise(F.array(t)))
+        return F.struct(parts.alias("parts"), halves.alias("halves"))
+
+    return va.let(va.let(F.substring_index(piece, "\n", 1), split), read)
+
+
+def _behind(parts: Column) -> Column:
+    """All but the first."""
+    return F.slice(parts, F.lit(2), F.lit(1 << 30))
 
 
 def read_lecture(raw: Column) -> Column:
     """struct(sections, stray, topics) of an edited text: the names of its section lines, whether a block stands before any topic, and topics with their blocks."""
 
     def topic(part: Column) -> Column:
-        line = F.substring_index(part, "\n", 1)
-        ok = line.rlike(TOPIC_LINE)
-        pieces = F.split(part, r"\n(?=>>> BLOCK )")
-        got = [F.when(ok, F.regexp_extract(line, TOPIC_LINE, i)) for i in (1, 2, 3, 4)]
-        return F.struct(
-            got[0].try_cast("int").alias("chapter"), got[1].try_cast("int").alias("topic"), va.bare(got[2]).alias("title"), va.bare(got[3]).alias("chapter_title"),
-            F.transform(F.slice(pieces, F.lit(2), F.greatest(F.lit(0), F.size(pieces) - 1)), _block).alias("blocks"),
-        )
+        def named(line: Column) -> Column:
+            ok = line.rlike(TOPIC_LINE)
+            got = [F.when(ok, F.regexp_extract(line, TOPIC_LINE, i)) for i in (1, 2, 3, 4)]
+            return F.struct(
+                got[0].try_cast("int").alias("chapter"), got[1].try_cast("int").alias("topic"), va.bare(got[2]).alias("title"), va.bare(got[3]).alias("chapter_title"),
+                F.transform(_behind(F.split(part, r"\n(?=>>> BLOCK )")), _block).alias("blocks"),
+            )
+
+        return va.let(F.substring_index(part, "\n", 1), named)
 
     def read(parts: Column) -> Column:
         front = F.get(parts, F.lit(0))
         return F.struct(
             F.regexp_extract_all(front, F.lit(r"(?dm)^#!section (\S+) "), F.lit(1)).alias("sections"), front.contains("\n" + BLOCK).alias("stray"),
-            F.transform(F.slice(parts, F.lit(2), F.greatest(F.lit(0), F.size(parts) - 1)), topic).alias("topics"),
+            F.transform(_behind(parts), topic).alias("topics"),
         )
 
-    return va.let(F.split(F.concat(F.lit("\n"), F.regexp_replace(raw, "\r\n", "\n")), r"\n(?=##!topic )"), read)
+    return va.let(F.split(F.concat(F.lit("\n"), _unix(raw)), r"\n(?=##!topic )"), read)
 
 
 def merge_lecture(edits: DataFrame, units: DataFrame, sources: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -14,7 +14,8 @@ KINDS = ("elaboration", "definition", "procedure", "note", "example")
 def _lectures(spark, d):
     """Topics, decks and sources of the documents: a unit per line, two a topic, three topics a chapter; a unit rests on the source of its number."""
     lines = F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lt.body), lambda s: s != "")
-    flat = table(spark, d, "documents").select(F.col("doc_id").alias("deck"), F.posexplode(lines).alias("k", "line"))
+    # an outer explode: an inner one would first filter by its array, and compute that twice
+    flat = table(spark, d, "documents").select(F.col("doc_id").alias("deck"), F.posexplode_outer(lines).alias("k", "line")).filter("k IS NOT NULL").repartition("deck")
     kind = F.element_at(F.array(*map(F.lit, KINDS)), (F.col("k") % len(KINDS) + 1).cast("int"))
     empty, number = F.lit(""), (F.col("k") + 1).cast("int")
     example = kind == "example"

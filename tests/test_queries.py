@@ -57,3 +57,13 @@ def test_no_frame_ends_with_its_partition(spark, name):
     """Such a frame is read again for every row, unless it is the whole partition."""
     plan = all_queries()[name](spark, DIR)._jdf.queryExecution().optimizedPlan().toString()
     assert not re.search(r"(?<!unboundedpreceding\$\(\)), unboundedfollowing", plan)
+
+
+def test_lectures_whose_lines_end_in_odd_line_ends(spark, tmp_path):
+    """A blank before a last U+0085 or U+2028 is part of the line."""
+    path = str(tmp_path / "documents.parquet")
+    duckdb.connect().execute(f"COPY (SELECT * FROM (VALUES (9, 'a ' || chr(133)), (18, 'b ' || chr(8232) || chr(10) || ' c ')) t(doc_id, text)) TO '{path}'")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{path}'")
+    got = {(r.deck, r.units, r.digest) for r in all_queries()["lecture_text_round_trip"](spark, str(tmp_path)).collect()}
+    assert got == set(con.execute(all_oracles()["lecture_text_round_trip"]).fetchall())
