@@ -98,6 +98,45 @@ def cleaned(passages: Column) -> Column:
     return va.let(tidy, lambda t: F.when(F.size(t) > 0, t).otherwise(passages))
 
 
+def _outcomes(own: Column, tries: Column) -> Column:
+    """array<struct(chapter, topic, passages, slots, own, code)> of one request with its topics ``own`` and ``tries``, array<struct(attempt, w)> or null.
+
+    Its own topics come first, each once (``own`` is true) with what the first useful attempt says of it, else no passages; then what that
+    attempt says of others or again; then the request itself (no topic) where no attempt is useful, which is told instead of its topics.
+    """
+
+    def key(t: Column) -> Column:
+        return F.struct(*[t[c].alias(c) for c in TOPIC[1:]])
+
+    def row(t: Column | None, said: Column | None, is_own: bool, code: Column) -> Column:
+        values = {c: F.lit(None).cast("long") if t is None else t[c] for c in TOPIC[1:]}
+        values |= {n: (F.lit(None) if said is None else said[f]).cast(f"array<{kind}>") for n, f, kind in (("passages", "passages", va.PASSAGE), ("slots", "blocks", va.BLOCK))}
+        return F.struct(*[v.alias(n) for n, v in values.items()], F.lit(is_own).alias("own"), code.cast("string").alias("code"))
+
+    def listed(k: Column) -> Column:
+        topics, problem = k["topics"], k["problem"]
+
+        def first(o: Column) -> Column:
+            return va.let(F.get(F.filter(topics, lambda t: key(t) == o), F.lit(0)), lambda f: row(o, f, True, F.when(problem.isNull() & f.isNull(), "NOT_RETURNED")))
+
+        def other(t: Column, i: Column) -> Column:
+            again = F.exists(F.slice(topics, F.lit(1), i), lambda x: key(x) == key(t))
+            return row(t, None, False, F.when(~F.array_contains(own, key(t)), "FOREIGN").when(again, "REPEATED"))
+
+        odd = F.filter(F.transform(topics, other), lambda e: e["code"].isNotNull())
+        return F.concat(F.transform(own, first), odd, F.filter(F.array(row(None, None, False, problem)), lambda e: e["code"].isNotNull()))
+
+    def chosen(x: Column) -> Column:
+        topics = F.flatten(F.transform(F.filter(tries, lambda a: a["attempt"] == x["useful"]), lambda a: a["w"]["topics"]))
+        code = F.coalesce(F.get(F.filter(tries, lambda a: a["attempt"] == x["last"]), F.lit(0))["w"]["problem"], F.lit("NO_OWN_TOPIC"))
+        problem = F.when(x["useful"].isNull(), F.when(x["last"].isNull(), "NO_ANSWER").otherwise(code))
+        return F.struct(F.coalesce(topics, F.array().cast(f"array<{va.TOPIC}>")).alias("topics"), problem.alias("problem"))
+
+    useful = F.filter(tries, lambda a: F.exists(a["w"]["topics"], lambda t: F.array_contains(own, key(t))))
+    numbers = [F.array_min(F.transform(useful, lambda a: a["attempt"])).alias("useful"), F.array_max(F.transform(tries, lambda a: a["attempt"])).alias("last")]
+    return va.let(va.let(F.struct(*numbers), chosen), listed)
+
+
 def assemble(topics: DataFrame, blocks: DataFrame, answers: DataFrame, max_topics: int = PART_TOPICS, max_chars: int = PART_CHARS) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(lecture, failures, warnings).
 
@@ -109,34 +148,22 @@ def assemble(topics: DataFrame, blocks: DataFrame, answers: DataFrame, max_topic
     """
     bodies = draft_bodies(topics, blocks)
     parts = parts_of(bodies, max_topics, max_chars)
-    read = answers.select("deck", "part", "attempt", va.written_answer(F.col("raw")).alias("w"))
-    said = read.select("deck", "part", "attempt", F.posexplode("w.topics").alias("pos", "t")).select("deck", "part", "attempt", "pos", F.col("t.chapter").alias("chapter"), F.col("t.topic").alias("topic"), "t.passages", F.col("t.blocks").alias("slots"))
-    keys = parts.select("deck", "part", *[F.col(c).cast("long").alias(c) for c in TOPIC[1:]], F.lit(True).alias("own"))
-    said = said.join(keys, ["deck", "part", *TOPIC[1:]], "left").withColumn("own", F.coalesce("own", F.lit(False)))
-
-    useful = said.filter("own").groupBy("deck", "part").agg(F.min("attempt").alias("attempt"))
-    last = read.groupBy("deck", "part").agg(F.max_by(F.coalesce("w.problem", F.lit("NO_OWN_TOPIC")), "attempt").alias("code"))
-    asked = parts.select("deck", "part").distinct()
-    unread = asked.join(useful, ["deck", "part"], "left_anti").join(last, ["deck", "part"], "left")
-    unread = unread.select("deck", "part", F.lit(None).cast("long").alias("chapter"), F.lit(None).cast("long").alias("topic"), F.coalesce("code", F.lit("NO_ANSWER")).alias("code"))
-
-    told = said.join(useful, ["deck", "part", "attempt"])
-    turn = F.row_number().over(W.partitionBy("deck", "part", *TOPIC[1:]).orderBy("pos"))
-    told = told.withColumn("turn", F.when(F.col("own"), turn).otherwise(0))
-    odd = told.filter("turn <> 1").select("deck", "part", "chapter", "topic", F.when(F.col("own"), "REPEATED").otherwise("FOREIGN").alias("code"))
-
-    drafts = bodies.filter("text <> ''").join(parts, TOPIC).withColumns({c: F.col(c).cast("long") for c in TOPIC[1:]})
-    first = told.filter("turn = 1").select("deck", "part", "chapter", "topic", cleaned(F.col("passages")).alias("passages"), "slots")
-    met = drafts.join(first, ["deck", "part", "chapter", "topic"], "left")
+    own = F.struct(*[F.col(c).cast("long").alias(c) for c in TOPIC[1:]])
+    asked = parts.groupBy("deck", "part").agg(F.collect_list(own).alias("own"))
+    tries = answers.select("deck", "part", F.struct("attempt", va.written_answer(F.col("raw")).alias("w")).alias("a")).groupBy("deck", "part").agg(F.collect_list("a").alias("tries"))
+    # an answer is read in one place of each plan: all that it says about a request leaves here, each row once
+    told = asked.join(tries, ["deck", "part"], "left").select("deck", "part", F.explode_outer(_outcomes(F.col("own"), F.col("tries"))).alias("e")).select("deck", "part", "e.*")
+    drafts = bodies.filter("text <> ''").withColumns({c: F.col(c).cast("long") for c in TOPIC[1:]})
+    met = told.withColumn("passages", F.when(F.col("passages").isNotNull(), cleaned(F.col("passages")))).join(drafts, TOPIC, "left")
     body = F.array_join(F.transform("passages", lambda p: p["text"]), "\n\n")
     met = met.withColumn("g", F.when(F.col("passages").isNotNull(), guarded(F.col("text"), body)))
     taken = F.col("g").isNotNull() & F.col("g.refused").isNull()
-    noted = met.select("deck", "part", "chapter", "topic", F.explode(F.when(taken, F.col("g.notes")).otherwise(F.array(F.coalesce("g.refused", F.lit("NOT_RETURNED"))))).alias("code"))
-    noted = noted.join(unread.select("deck", "part"), ["deck", "part"], "left_anti")  # an unread request is told once
+    codes = F.when(taken, F.col("g.notes")).otherwise(F.array(F.coalesce("g.refused", "code")))
+    failures = met.select("deck", "part", "chapter", "topic", F.explode_outer(codes).alias("code")).filter("code IS NOT NULL")
 
     whole = F.array(F.struct(F.lit("").alias("label"), F.col("text")))
-    chapters = drafts.select("deck", "chapter").distinct().withColumn("chapter_no", F.row_number().over(W.partitionBy("deck").orderBy("chapter")))
-    lecture = met.join(chapters, ["deck", "chapter"]).select(
+    chapters = parts.select("deck", F.col("chapter").cast("long").alias("chapter")).distinct().withColumn("chapter_no", F.row_number().over(W.partitionBy("deck").orderBy("chapter")))
+    lecture = met.filter("own").join(chapters, ["deck", "chapter"]).select(
         "deck", "chapter", "topic", "chapter_no", "title", "from_page", "to_page", "blocks", F.col("text").alias("draft"),
         F.when(taken, F.col("passages")).otherwise(whole).alias("passages"), F.when(taken, F.col("slots")).otherwise(F.array().cast(f"array<{va.BLOCK}>")).alias("slots"),
         F.when(taken, F.col("g.register")).otherwise("failed").alias("register"), F.when(taken, F.col("g.notes")).otherwise(F.array().cast("array<string>")).alias("notes"),
@@ -146,7 +173,7 @@ def assemble(topics: DataFrame, blocks: DataFrame, answers: DataFrame, max_topic
         F.count_if(F.col("blocks").isNull()).alias("NO_BLOCKS"), F.count_if(F.col("blocks").isNotNull() & (F.col("text") == "")).alias("NO_TEXT"), F.sum(F.coalesce(F.size("silent"), F.lit(0))).alias("SILENT_BLOCK")
     )
     warnings = silent.unpivot("deck", ["NO_BLOCKS", "NO_TEXT", "SILENT_BLOCK"], "code", "n").filter("n > 0")
-    return lecture, unread.unionByName(odd).unionByName(noted), warnings
+    return lecture, failures, warnings
 
 
 def titled_chapters(lecture: DataFrame, chapters: DataFrame) -> DataFrame:
