@@ -56,17 +56,28 @@ _MARKS = shingles.mix(np.array([1, 2], np.uint64))  # START and END among the wo
 _KEYS = shingles.mix(np.arange(1, 3, dtype=np.uint64)) | np.uint64(1)
 
 
-def _named_words(column: pa.Array, langs: list) -> Iterator[np.ndarray]:
-    """For each text its words' hashes mixed with its language's, between a START and an END; none without words."""
-    data, offsets = text_bytes(column)
-    starts, _, w = shingles.word_spans(data, offsets, shingles.PLAIN)
-    at = np.searchsorted(starts, offsets)
-    salts = {x: np.uint64(int.from_bytes(hashlib.blake2b((x or "").encode(), digest_size=8).digest(), "big")) for x in set(langs)}
-    for i, (lo, hi) in enumerate(zip(at[:-1], at[1:], strict=True)):
-        if hi > lo:
-            yield shingles.mix(np.concatenate([_MARKS[:1], w[lo:hi], _MARKS[1:]]) ^ salts[langs[i]]) >> np.uint64(64 - _ID_BITS)
-        else:
-            yield w[:0]
+def _sequences(column: pa.Array, langs: list, texts: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For so many texts at a time: which of them have words, the symbols of these in turn, and where each text begins and ends.
+
+    Symbols are the words' hashes mixed with their language's, between a START and an END for each text.
+    """
+    salts = {x: int.from_bytes(hashlib.blake2b((x or "").encode(), digest_size=8).digest(), "big") for x in set(langs)}
+    salt = np.array([salts[x] for x in langs], np.uint64)
+    for lo in range(0, len(column), texts):
+        data, offsets = text_bytes(column.slice(lo, texts))
+        starts, _, w = shingles.word_spans(data, offsets, shingles.PLAIN)
+        n = np.diff(np.searchsorted(starts, offsets))
+        own = np.flatnonzero(n)
+        if not len(own):
+            continue
+        sizes = n[own] + 2
+        ends = np.cumsum(sizes)
+        begins = ends - sizes
+        word = np.ones(ends[-1], bool)
+        word[begins] = word[ends - 1] = False
+        x = np.empty(ends[-1], np.uint64)
+        x[begins], x[ends - 1], x[word] = _MARKS[0], _MARKS[1], w
+        yield own + lo, shingles.mix(x ^ np.repeat(salt[own + lo], sizes)) >> np.uint64(64 - _ID_BITS), begins, ends
 
 
 def _key(*words: np.ndarray) -> np.ndarray:
@@ -81,19 +92,16 @@ def _bigrams(part: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, len(batch), 1024):
-                piece = batch.slice(lo, 1024)
-                langs = piece.column(0).to_pylist()
-                found: dict[str, list] = {}
-                for lang, x in zip(langs, _named_words(piece.column(1), langs), strict=True):
-                    if len(x):
-                        pairs = np.stack([x[:-1], x[1:]])
-                        found.setdefault(lang, []).append(pairs[:, x[1:] % np.uint64(SLICES) == part])
-                for lang, parts in found.items():
-                    pairs = np.concatenate(parts, axis=1)
-                    _, first, n = np.unique(_key(*pairs), return_index=True, return_counts=True)
-                    pairs = pairs[:, first].view(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n)), *(pa.array(x) for x in pairs), pa.array(n.astype(np.int32))], ["lang", "b", "c", "n"])
+            names, codes = np.unique(np.array(batch.column(0).to_pylist(), object), return_inverse=True)
+            for own, x, begins, ends in _sequences(batch.column(1), batch.column(0).to_pylist(), 1024):
+                mine = x[1:] % np.uint64(SLICES) == part
+                mine[ends[:-1] - 1] = False  # an END and the START behind it
+                at = np.flatnonzero(mine)
+                pairs = np.stack([x[at], x[at + 1]])
+                _, first, n = np.unique(_key(*pairs), return_index=True, return_counts=True)  # words hold their language
+                lang = codes[own][np.searchsorted(ends, at[first], "right")].astype(np.int32)
+                lang = pa.DictionaryArray.from_arrays(pa.array(lang), pa.array(names, pa.string())).dictionary_decode()
+                yield pa.RecordBatch.from_arrays([lang, *(pa.array(c) for c in pairs[:, first].view(np.int64)), pa.array(n.astype(np.int32))], ["lang", "b", "c", "n"])
 
     return run
 
@@ -124,8 +132,12 @@ class _Head:
         return at, there
 
 
-def _keys_of(x: np.ndarray) -> np.ndarray:
-    return np.concatenate([_key(x), _key(x[:-1], x[1:])])
+def _keys_of(x: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of all symbols, then of all pairs within a text, with the place of the (first) symbol of each."""
+    pair = np.ones(len(x) - 1, bool)
+    pair[ends[:-1] - 1] = False
+    at = np.flatnonzero(pair)
+    return np.concatenate([_key(x), _key(x[at], x[at + 1])]), np.concatenate([np.arange(len(x)), at])
 
 
 def _heads(sent) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -136,11 +148,13 @@ def _heads(sent) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch
         for batch in batches:
             langs = batch.column(3).to_pylist()
             symbols, s, known = np.zeros(len(batch), np.int64), np.zeros(len(batch)), np.zeros(len(batch), np.int64)
-            for i, x in enumerate(_named_words(batch.column(4), langs)):
-                if len(x):
-                    at, there = head.places(_keys_of(x))
-                    at = at[there]
-                    symbols[i], s[i], known[i] = len(x) - 1, head.v[at].sum(), head.u[at].sum(dtype=np.int64)
+            for own, x, begins, ends in _sequences(batch.column(4), langs, 256):
+                keys, where = _keys_of(x, ends)
+                at, there = head.places(keys)
+                at, text = at[there], np.searchsorted(ends, where[there], "right")
+                symbols[own] = ends - begins - 1
+                s[own] = np.bincount(text, head.v[at], len(own))
+                known[own] = np.bincount(text, head.u[at], len(own)).astype(np.int64)
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(symbols), pa.array(s), pa.array(known)], ["id", "lang", "row", "model", "symbols", "s0", "known0"])
 
     return run
@@ -152,19 +166,20 @@ def _tails(sent) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head: _Head = sent.value
         for batch in batches:
-            for lo in range(0, len(batch), 256):
-                part = batch.slice(lo, 256)
-                rows, langs = part.column(0).to_numpy(), part.column(1).to_pylist()
-                ks, rs, ns = [], [], []
-                for row, x in zip(rows, _named_words(part.column(2), langs), strict=True):
-                    if len(x):
-                        k = _keys_of(x)
-                        k, n = np.unique(k[~head.places(k)[1]], return_counts=True)
-                        ks.append(k)
-                        ns.append(n.astype(np.int32))
-                        rs.append(np.full(len(k), row))
-                if ks:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ks).view(np.int64)), pa.array(np.concatenate(rs)), pa.array(np.concatenate(ns))], ["k", "row", "n"])
+            rows = batch.column(0).to_numpy()
+            for own, x, _, ends in _sequences(batch.column(2), batch.column(1).to_pylist(), 256):
+                keys, where = _keys_of(x, ends)
+                away = ~head.places(keys)[1]
+                keys, where = keys[away], where[away]
+                text = np.searchsorted(ends, where, "right").astype(np.uint16)
+                order = np.argsort(keys)
+                order = order[np.argsort(text[order], kind="stable")]  # by text, then key
+                keys, text = keys[order], text[order]
+                fresh = np.ones(len(keys), bool)
+                fresh[1:] = (keys[1:] != keys[:-1]) | (text[1:] != text[:-1])
+                first = np.flatnonzero(fresh)
+                n = np.diff(first, append=len(keys)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(keys[first].view(np.int64)), pa.array(rows[own][text[first]]), pa.array(n)], ["k", "row", "n"])
 
     return run
 
@@ -211,7 +226,7 @@ class WordModel:
         self.spark = spark
         counted = "lang string, b long, c long, n int"
         parts = [
-            durable(trusted.mapInArrow(_bigrams(i), counted).groupBy("lang", "b", "c").agg(F.sum("n").cast("int").alias("n")).sortWithinPartitions("lang", "b", "c"), "lm-pairs", compression="zstd")
+            durable(trusted.mapInArrow(_bigrams(i), counted).groupBy("lang", "b", "c").agg(F.sum("n").cast("int").alias("n")).sortWithinPartitions("b", "c"), "lm-pairs", compression="zstd")
             for i in range(SLICES)
         ]
         two = reduce(DataFrame.unionByName, parts)

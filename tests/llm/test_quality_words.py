@@ -109,3 +109,28 @@ def test_every_language_has_its_own_model_and_limits(spark):
     assert all(kept[f"x{k}"] >= 27 for k in range(17))
     assert kept["en"] >= 380
     assert len({r.high for r in judged if r.lang.startswith("x")}) == 17
+
+
+def test_texts_are_hashed_together(monkeypatch):
+    """Some hundred texts pass through the word model in a few array steps, with the same sums as each by itself."""
+    import numpy as np
+    import pyarrow as pa
+
+    texts = ["w1 w2 w3 w1 w2", "", None, "  ", "w4", "w1 w2 w3 w9"] * 40
+    langs = ["en", "de", "en", "en", "fr", "de"] * 40
+    counts = next(quality_lm._bigrams(0)(iter([pa.RecordBatch.from_arrays([pa.array(langs), pa.array(texts, pa.string())], ["lang", "text"])])))
+    k = quality_lm._key(*[c.to_numpy().view(np.uint64) for c in counts.columns[1:3]])
+
+    class Sent:
+        value = quality_lm._Head(pa.table({"k": k.view(np.int64), "v": np.arange(1.0, len(k) + 1), "u": np.ones(len(k), np.int32)}))
+
+    def heads(lo, hi):
+        ids = pa.array(range(lo, hi))
+        batch = pa.RecordBatch.from_arrays([ids, pa.array(langs[lo:hi]), ids, pa.array(langs[lo:hi]), pa.array(texts[lo:hi], pa.string())], ["id", "lang", "row", "model", "text"])
+        return pa.Table.from_batches(list(quality_lm._heads(Sent)(iter([batch])))).to_pylist()
+
+    each = [r for i in range(len(texts)) for r in heads(i, i + 1)]
+    steps, mix = [], quality_lm.shingles.mix
+    monkeypatch.setattr(quality_lm.shingles, "mix", lambda x: steps.append(1) or mix(x))
+    assert heads(0, len(texts)) == each and any(r["s0"] for r in each)
+    assert len(steps) < 10
