@@ -152,12 +152,14 @@ SELECT doc_id, ord, line FROM ok WHERE fine AND (pages >= 2 OR regexp_matches(li
 """)
 def titles(spark, d):
     """Lines that look like titles: not rejected, and on several pages, or begun like one, or the only short line of their page."""
-    lines = _lines(spark, d)
     line, page = F.col("line"), W.partitionBy("doc_id")
-    shared = lines.groupBy("line").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("line", F.lit(2).alias("pages"))  # few lines: those on two pages or more
-    bare, short = ~line.contains("|"), (F.length(line) <= st.SHORT_LINE) & ~line.contains("|")
+    bare = ~line.contains("|")
+    # a line too long for a title only counts as one more of its page: its text moves nowhere
+    lines = _lines(spark, d).select("doc_id", "ord", F.when(F.length(line) <= st.TITLE_LIMIT, line).alias("line"), bare.alias("bare"), (bare & (F.length(line) <= st.SHORT_LINE)).alias("short"))
+    shared = lines.filter("line IS NOT NULL").groupBy("line").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("line", F.lit(2).alias("pages"))  # few lines: those on two pages or more
     same = F.count(F.lit(1)).over(W.partitionBy("doc_id", "line"))
-    x = lines.repartition("doc_id").withColumns({"others": F.count_if(bare).over(page) - F.when(bare, same).otherwise(0), "shorts": F.count_if(short).over(page) - F.when(short, same).otherwise(0)})
+    x = lines.repartition("doc_id").withColumns({"others": F.count_if("bare").over(page) - F.when(F.col("bare"), same).otherwise(0), "shorts": F.count_if("short").over(page) - F.when(F.col("short"), same).otherwise(0)})
+    x = x.filter("line IS NOT NULL")
     x = x.filter(~st.rejected_as_title(line)).join(shared, "line", "left")
     return x.filter(st.title_evidence(line, F.coalesce("pages", F.lit(1)), F.col("others"), F.col("shorts"))).select("doc_id", "ord", "line")
 

@@ -67,3 +67,16 @@ def test_lectures_whose_lines_end_in_odd_line_ends(spark, tmp_path):
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{path}'")
     got = {(r.deck, r.units, r.digest) for r in all_queries()["lecture_text_round_trip"](spark, str(tmp_path)).collect()}
     assert got == set(con.execute(all_oracles()["lecture_text_round_trip"]).fetchall())
+
+
+def test_titles_move_no_long_lines(spark, tmp_path):
+    """Lines too long for a title count as lines of their page, but only as such."""
+    path = str(tmp_path / "documents.parquet")
+    long = "x" * 91
+    duckdb.connect().execute(f"COPY (SELECT * FROM (VALUES (1, 'Short' || chr(10) || '{long}'), (2, 'Shared' || chr(10) || '{long}'), (3, 'Shared' || chr(10) || 'Alone | no'), (4, 'Only'), (5, '{long}')) t(doc_id, text)) TO '{path}'")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{path}'")
+    df = all_queries()["tree_titles"](spark, str(tmp_path))
+    assert sorted(map(tuple, df.collect())) == sorted(con.execute(all_oracles()["tree_titles"]).fetchall())
+    windows = [line for line in df._jdf.queryExecution().optimizedPlan().toString().split("Window", 1)[1].splitlines() if "CASE WHEN (length(" in line]
+    assert windows and all("<= 90" in line for line in windows)
