@@ -45,10 +45,10 @@ _SMALL = 16
 _PAIR_BYTES = 1 << 23
 
 
-def bounded_batches(spark: SparkSession) -> None:
+def bounded_batches(spark: SparkSession, most: int = 8 << 20) -> None:
     """Arrow batches that fit a small Python worker, whatever the length of texts."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(most))
 
 
 def _required(n: int) -> int:

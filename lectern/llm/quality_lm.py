@@ -47,10 +47,16 @@ TAILS = (TAIL, 0.005, 0.01, 0.02, 0.05)
 SHRINK = 20
 #: One in so many trusted documents is kept from training, to set the limits.
 HELD_OUT = 5
-#: So many weights at most go to every task (some 17 MB); all others are joined.
+#: So many weights at most go to every task (some 25 MB); all others are joined.
 HEAD = 1 << 20
 #: Parts in which counts, weights and texts pass.
 SLICES = 5
+#: So many texts are hashed at once, and so many bytes of text reach a task at once: so a task holds some tens of MB beside the head.
+PIECE = 128
+BATCH_BYTES = 2 << 20
+#: A task sums some so many pairs, and gives out so many rows at once.
+SUMMED = 1 << 18
+ROWS = 1 << 16
 _ID_BITS = 40
 _MARKS = shingles.mix(np.array([1, 2], np.uint64))  # START and END among the words
 _KEYS = shingles.mix(np.arange(1, 3, dtype=np.uint64)) | np.uint64(1)
@@ -87,21 +93,41 @@ def _key(*words: np.ndarray) -> np.ndarray:
     return shingles.mix(out + np.uint64(len(words)))
 
 
+def _pairs(batches: Iterator[pa.RecordBatch], part: int) -> Iterator[tuple[np.ndarray, np.ndarray, list]]:
+    """For some PIECE texts at a time: the pairs whose second word falls to a slice, and the language of each by its number in a list."""
+    for batch in batches:
+        langs = batch.column(0).to_pylist()
+        names, codes = np.unique(np.array(langs, object), return_inverse=True)
+        for own, x, _, ends in _sequences(batch.column(1), langs, PIECE):
+            mine = x[1:] % np.uint64(SLICES) == part
+            mine[ends[:-1] - 1] = False  # an END and the START behind it
+            at = np.flatnonzero(mine)
+            yield np.stack([x[at], x[at + 1]]), codes[own][np.searchsorted(ends, at, "right")].astype(np.int32), names.tolist()
+
+
 def _bigrams(part: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """(lang, text) in; (lang, b, c, n) of the pairs whose second word falls to a slice out, summed within some hundred texts."""
+    """(lang, text) in; (lang, b, c, n) of the pairs whose second word falls to a slice out, summed within some SUMMED pairs."""
+
+    def summed(found: list[tuple[np.ndarray, np.ndarray]], names: list[str]) -> Iterator[pa.RecordBatch]:
+        pairs = np.concatenate([p for p, _ in found], axis=1)
+        _, first, n = np.unique(_key(*pairs), return_index=True, return_counts=True)  # words hold their language
+        lang = np.concatenate([c for _, c in found])[first]
+        for lo in range(0, len(first), ROWS):
+            here = slice(lo, lo + ROWS)
+            own = pa.DictionaryArray.from_arrays(pa.array(lang[here]), pa.array(names, pa.string())).dictionary_decode()
+            yield pa.RecordBatch.from_arrays([own, *(pa.array(c) for c in pairs[:, first[here]].view(np.int64)), pa.array(n[here].astype(np.int32))], ["lang", "b", "c", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            names, codes = np.unique(np.array(batch.column(0).to_pylist(), object), return_inverse=True)
-            for own, x, begins, ends in _sequences(batch.column(1), batch.column(0).to_pylist(), 1024):
-                mine = x[1:] % np.uint64(SLICES) == part
-                mine[ends[:-1] - 1] = False  # an END and the START behind it
-                at = np.flatnonzero(mine)
-                pairs = np.stack([x[at], x[at + 1]])
-                _, first, n = np.unique(_key(*pairs), return_index=True, return_counts=True)  # words hold their language
-                lang = codes[own][np.searchsorted(ends, at[first], "right")].astype(np.int32)
-                lang = pa.DictionaryArray.from_arrays(pa.array(lang), pa.array(names, pa.string())).dictionary_decode()
-                yield pa.RecordBatch.from_arrays([lang, *(pa.array(c) for c in pairs[:, first].view(np.int64)), pa.array(n.astype(np.int32))], ["lang", "b", "c", "n"])
+        numbers: dict[str, int] = {}
+        found, held = [], 0
+        for pairs, codes, names in _pairs(batches, part):
+            found.append((pairs, np.array([numbers.setdefault(x, len(numbers)) for x in names], np.int32)[codes]))
+            held += len(codes)
+            if held >= SUMMED:
+                yield from summed(found, list(numbers))
+                found, held, numbers = [], 0, {}
+        if held:
+            yield from summed(found, list(numbers))
 
     return run
 
@@ -113,7 +139,7 @@ class _Head:
         k = rows["k"].to_numpy().view(np.uint64)
         order = np.argsort(k)
         self.k, self.v, self.u = k[order], rows["v"].to_numpy()[order], rows["u"].to_numpy()[order].astype(np.int8)
-        self.bits = max(1, min(22, 2 + len(k).bit_length()))
+        self.bits = max(1, min(21, 2 + len(k).bit_length()))
         counts = np.bincount((self.k >> np.uint64(64 - self.bits)).astype(np.int64), minlength=1 << self.bits)
         self.begin = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
 
@@ -148,7 +174,7 @@ def _heads(sent) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch
         for batch in batches:
             langs = batch.column(3).to_pylist()
             symbols, s, known = np.zeros(len(batch), np.int64), np.zeros(len(batch)), np.zeros(len(batch), np.int64)
-            for own, x, begins, ends in _sequences(batch.column(4), langs, 256):
+            for own, x, begins, ends in _sequences(batch.column(4), langs, PIECE):
                 keys, where = _keys_of(x, ends)
                 at, there = head.places(keys)
                 at, text = at[there], np.searchsorted(ends, where[there], "right")
@@ -167,7 +193,7 @@ def _tails(sent) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch
         head: _Head = sent.value
         for batch in batches:
             rows = batch.column(0).to_numpy()
-            for own, x, _, ends in _sequences(batch.column(2), batch.column(1).to_pylist(), 256):
+            for own, x, _, ends in _sequences(batch.column(2), batch.column(1).to_pylist(), PIECE):
                 keys, where = _keys_of(x, ends)
                 away = ~head.places(keys)[1]
                 keys, where = keys[away], where[away]
@@ -343,7 +369,7 @@ def classify(
     some row of the id says good and none says bad. Repeated rows are judged alike.
     """
     spark = docs.sparkSession
-    bounded_batches(spark)
+    bounded_batches(spark, BATCH_BYTES)
     spark.conf.set("spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold", "16MB")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
     bad = (F.col("quality") == 0) | (F.col("toxic") == 1)
